@@ -181,6 +181,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = automaton()
         for batch in batches:
+            if not len(batch):
+                continue
             spans = [[{"kind": k, "start": s, "stop": e} for k, s, e in find(text, found)] for text in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "spans": spans})
 

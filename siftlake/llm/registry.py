@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from siftlake.llm import attribution, fingerprint, media, packing, pii
+from siftlake.llm import attribution, fingerprint, media, mixing, packing, pii, quality
 
 QUERIES = {
     query.__name__: query
     for query in (
         fingerprint.op1_weighted_fingerprints,
+        quality.op2_quality_scores,
+        mixing.op3_mixed_sources,
         pii.op4_personal_data,
         media.op5_media_columns,
         attribution.op8_token_counts,
