@@ -37,39 +37,44 @@ _CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ",."
 _CLASS[128:] = 7
 
 
+#: Weights, in bytes, words and lines, with which every statistic is drawn to a usual value: those of a few words say little.
+BYTES, WORDS, LINES = 100, 20, 5
+
+
 def statistics(text: str) -> np.ndarray:
     """The transformed statistics of one whole text."""
     data = np.frombuffer(text.encode(), dtype=np.uint8)
     counts = np.bincount(data, minlength=256)
     kinds = np.bincount(_CLASS, weights=counts, minlength=8)
-    n = max(1, len(data))
+    n = len(data)
     words = text.split()
-    n_words = max(1, len(words))
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) if words else np.zeros(1, dtype=np.int64)
-    share = counts[counts > 0] / n
+    n_words = len(words)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=n_words)
+    share = counts[counts > 0] / max(1, n)
     lines = text.split("\n")
-    letters = max(1.0, kinds[2] + kinds[3])
-    root = lambda x: float(np.sqrt(x))
+    drawn = lambda count, whole, usual, weight: float(np.sqrt((count + usual * weight) / (whole + weight)))
+    mean = (lengths.sum() + 5.5 * WORDS) / (n_words + WORDS)
+    spread = (((lengths - mean) ** 2).sum() + 9 * WORDS) / (n_words + WORDS)
     return np.array(
         [
-            np.log1p(len(data)),
-            np.log1p(lengths.mean()),
-            np.log1p(lengths.std()),
-            root(kinds[1] / n),
-            root(kinds[3] / letters),
-            root(kinds[4] / n),
-            root(kinds[5] / n),
-            root(kinds[6] / n),
-            root(kinds[7] / n),
-            root(counts[33] / n),
-            root(counts[124] / n),
-            root(counts[10] / n),
-            root(len(set(words)) / n_words),
-            root(len(set(lines)) / len(lines)),
-            root(np.count_nonzero(lengths <= 3) / n_words),
-            root(np.count_nonzero(lengths >= 16) / n_words),
-            float(-(share * np.log2(share)).sum()) if len(share) else 0.0,
-            root(counts.max() / n),
+            np.log(n + BYTES),
+            np.log(mean),
+            0.5 * np.log(spread),
+            drawn(kinds[1], n, 0.16, BYTES),
+            drawn(kinds[3], kinds[2] + kinds[3], 0.03, BYTES),
+            drawn(kinds[4], n, 0.002, BYTES),
+            drawn(kinds[5], n, 0.03, BYTES),
+            drawn(kinds[6], n, 0.002, BYTES),
+            drawn(kinds[7], n, 0.02, BYTES),
+            drawn(counts[33], n, 0.0, BYTES),
+            drawn(counts[124], n, 0.0, BYTES),
+            drawn(counts[10], n, 0.004, BYTES),
+            drawn(len(set(words)), n_words, 0.75, WORDS),
+            drawn(len(set(lines)), len(lines), 0.95, LINES),
+            drawn(np.count_nonzero(lengths <= 3), n_words, 0.35, WORDS),
+            drawn(np.count_nonzero(lengths >= 16), n_words, 0.01, WORDS),
+            float(4.2 * BYTES - n * (share * np.log2(share)).sum()) / (n + BYTES),
+            drawn(counts.max(), n, 0.16, BYTES),
         ]
     )
 

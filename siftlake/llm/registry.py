@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftlake.llm import attribution, fingerprint, media, mixing, packing, pii, quality
+from siftlake.llm import attribution, fingerprint, line_dedup, media, mixing, packing, pii, quality, simhash
 
 QUERIES = {
     query.__name__: query
@@ -12,9 +12,11 @@ QUERIES = {
         mixing.op3_mixed_sources,
         pii.op4_personal_data,
         media.op5_media_columns,
+        simhash.op6_simhash_components,
+        line_dedup.op7_line_dedup,
         attribution.op8_token_counts,
         packing.op9_pack_sequences,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.OP7_SQL}
