@@ -16,17 +16,19 @@ def text_or_empty(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
-
-    The folder is the session's spark.checkpoint.dir. Only where none is set (local tests) a
-    temporary folder is used.
-    """
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where none is set (local tests) a temporary folder."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoints-"))
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlake.llm import common
@@ -90,13 +90,17 @@ def schedule(spark: SparkSession, shares: list[float], n_slots: int) -> DataFram
     return slots.join(offsets, ["chunk", "ix"]).select("slot", "ix", (F.col("offset") + F.col("within")).alias("rank"))
 
 
+def size_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized_documents(docs: DataFrame) -> DataFrame:
-    size = F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    size = size_of(docs["text"])
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block_words: int = 1024, least_slots: int = 256, max_sources: int = 100_000) -> DataFrame:
-    """Per document: size, source_size, target and taken.
+    """Per document: source, size, source_size, target and taken.
 
     block_words: most words of a block; sources with a small target get smaller blocks, so that
     `least_slots` slots make it up and the target is still met closely.
@@ -114,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     table = [(r["source"], i, s, t, b, n) for i, (r, s, t, b, n) in enumerate(zip(rows, sizes, goal, block, blocks, strict=True))]
     known = spark.createDataFrame(table, "source string, ix int, source_size long, target double, block_words int, n_blocks long")
     named = sized.join(known.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
-    empty = named.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    empty = named.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     shares = [t / b for t, b in zip(goal, block, strict=True)]
     n_slots = round(sum(shares))
     if not n_slots:
@@ -134,9 +138,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     slots = schedule(spark, shares, n_slots).join(known.where("n_blocks > 0").select("ix", "n_blocks"), "ix")
     times = slots.where(F.col("rank") < cap * F.col("n_blocks")).groupBy("ix", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
     taken = pieces.join(times, ["ix", "block"], "left").withColumn("taken", words * F.coalesce("times", F.lit(0)))
-    full = taken.groupBy("doc_id", "size", "source_size", "target", "ix", "start").agg(F.sum("taken").cast("long").alias("taken"))
-    return full.select("doc_id", "size", "source_size", "target", "taken").unionByName(empty)
+    full = taken.groupBy("doc_id", "source", "size", "source_size", "target", "ix", "start").agg(F.sum("taken").cast("long").alias("taken"))
+    return full.select("doc_id", "source", "size", "source_size", "target", "taken").unionByName(empty)
 
 
 def op3_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(common.documents(spark, sf_dir))
+    return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")

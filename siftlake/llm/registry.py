@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftlake.llm import attribution, fingerprint, line_dedup, media, mixing, packing, pii, quality, simhash
+from siftlake.llm import attribution, fingerprint, line_dedup, media, mixing, packing, pii, quality, repeats, simhash
 
 QUERIES = {
     query.__name__: query
@@ -16,6 +16,7 @@ QUERIES = {
         line_dedup.op7_line_dedup,
         attribution.op8_token_counts,
         packing.op9_pack_sequences,
+        repeats.op10_repeated_strings,
     )
 }
 
