@@ -31,14 +31,19 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def key_of(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
+def lowered(text: Column) -> Column:
+    """A-Z in lower case; texts of ASCII alone take the faster function."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def keys_of(text: Column) -> Column:
+    return F.transform(lines_of(lowered(text)), lambda line: F.btrim(line, F.lit(WHITE)))
 
 
 def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
     """One row per keyed line: the hashes of its key, its document and its position."""
     text = common.text_or_empty(docs)
-    hashed = F.transform(lines_of(text), lambda line, at: F.struct(at.alias("pos"), F.char_length(key_of(line)).alias("n"), F.xxhash64(key_of(line)).alias("h1"), F.xxhash64(F.lit(7), key_of(line)).alias("h2")))
+    hashed = F.transform(keys_of(text), lambda key, at: F.struct(at.alias("pos"), F.char_length(key).alias("n"), F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")))
     keyed = F.filter(hashed, lambda line: line["n"] >= max(1, least_chars))
     rows = docs.select(docs["doc_id"].alias("doc"), F.xxhash64(text).alias("body"), F.explode(keyed).alias("line"))
     return rows.select("line.h1", "line.h2", "doc", "body", "line.pos")
@@ -49,10 +54,14 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", least_
     if keep not in ("none", "first"):
         raise ValueError(f"unknown keep {keep!r}")
     spark = docs.sparkSession
-    ranged = _occurrences(docs, least_chars).repartitionByRange(common.shuffle_partitions(spark), "h1", "h2", "doc", "body").sortWithinPartitions("h1", "h2", "doc", "body", "pos")
+    # Both tables are read twice, by sampling and by joins: the first so that the texts are split once,
+    # the second so that the join on a hot key can be split at run time.
+    found = common.checkpointed(_occurrences(docs, least_chars))
+    ranged = found.repartitionByRange(common.shuffle_partitions(spark), "h1", "h2", "doc", "body").sortWithinPartitions("h1", "h2", "doc", "body", "pos")
     by_doc = ranged.groupBy("h1", "h2", "doc", "body").agg(F.collect_set("pos").alias("at"))
     place = F.struct(F.col("doc"), F.col("body"), F.array_min("at").alias("pos"))
     keys = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= min_docs)
+    keys = common.checkpointed(keys)
     hits = by_doc.join(keys, ["h1", "h2"])
     if keep == "first":
         kept = F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.body") == F.col("body"))
