@@ -12,13 +12,14 @@ of a repeated passage repeats phrase for phrase.
 2. Dictionary. The rows are dealt by trigger and sorted by phrase, document and start: the first of
    a phrase is its dictionary entry, the others are repeats. Entries that share a trigger with
    another entry may still share single strings with it; all others have none.
-3. Suffixes. The entries with a shared trigger are cut into their strings (the dictionary's
-   suffixes up to `length` bytes); the first in corpus order of equal ones stays. These minima are
-   pre-aggregated, so no group is gathered.
+3. Suffixes. The suffixes of the entries with a shared trigger, up to `length` bytes, are sorted
+   and equal ones put in the order of the parse, which gives corpus order: all but the first of
+   equal ones are repeats. Triggers with very many entries are settled by pre-aggregated minima
+   instead, so no task gathers more than a bounded number.
 
 For repeats of a fixed length, order among different suffixes does not matter, only which are equal
-and which comes first in the parse: so suffixes are ordered by two 64-bit hashes and corpus order
-instead of by their bytes, and no global suffix array is written.
+and which comes first in the parse: so suffixes are compared by trigger and a 64-bit hash of their
+bytes, and no suffix array of the whole corpus is written.
 
 The bytes of all repeats are then removed in one join with the texts.
 
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from siftlake.llm import common
 from siftlake.llm.fingerprint import mixed, prefix_hashes
 
-GRAM = 40
+GRAM = 32
 SEGMENT = 1 << 22
 #: A place is one number: tag of the text (15 bits), start (34 bits), strings (7 bits), trigger's offset (7 bits).
 TAG, START, COUNT = 48, 14, 7
@@ -151,46 +152,144 @@ def _by_document(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return rows.join(lists, rows["doc_id"].eqNullSafe(lists["_doc"]), how).drop("_doc")
 
 
-def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc_id, and spans: tag, start and bytes of the repeats of each document that has any."""
-    marks = settled(units(docs, length))
-    start = F.shiftright("place", START).bitwiseAND((1 << (TAG - START)) - 1)
-    strings = F.shiftright("place", COUNT).bitwiseAND((1 << (START - COUNT)) - 1)
-    tag = F.shiftright("place", TAG)
-    whole = marks.where(F.col("kind") == REPEAT).select("doc_id", tag.alias("tag"), start.alias("start"), (strings + length - 1).alias("bytes"))
+def _places(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, number of strings, and offset of the trigger."""
+    return (places >> START) & ((1 << (TAG - START)) - 1), (places >> COUNT) & ((1 << (START - COUNT)) - 1), places & ((1 << COUNT) - 1)
+
 
-    shared = marks.where(F.col("kind") == SHARED).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+def _each(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at starts."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _entries(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
+    """The bytes of dictionary entries (k, doc_id, place)."""
+    lists = marked.groupBy("doc_id").agg(F.collect_list(F.struct("k", "place")).alias("marks"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc_id, text, places in zip(batch["doc_id"], batch["text"], batch["places"], strict=True):
+            rows = []
+            for doc_id, text, marks in zip(batch["doc_id"], batch["text"], batch["marks"], strict=True):
                 data = text.encode()
-                places = np.asarray(places, dtype=np.int64)
-                places = places[(places >> TAG) == tag_of(data)]
-                if not len(places):
-                    continue
-                begin = (places >> START) & ((1 << (TAG - START)) - 1)
-                count = (places >> COUNT) & ((1 << (START - COUNT)) - 1)
-                trigger = begin + (places & ((1 << COUNT) - 1))
-                at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
-                sums, down = prefix_hashes(np.frombuffer(data, dtype=np.uint8))
-                hashed = (sums[at + length] - sums[at]) * down[at]
-                gram = mixed((sums[trigger + GRAM] - sums[trigger]) * down[trigger])
-                other = mixed(np.repeat(gram, count) ^ mixed((np.repeat(trigger, count) - at).astype(np.uint64)))
-                frame = pd.DataFrame({"h1": mixed(hashed).view(np.int64), "h2": other.view(np.int64), "doc_id": doc_id, "start": at})
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                frame["tag"] = tag_of(data)
-                yield frame
-
-    strings_of = _by_document(docs, shared, "inner").mapInPandas(cut, "h1 long, h2 long, doc_id long, start long, tag long")
+                mine = tag_of(data)
+                for mark in marks:
+                    place = mark["place"]
+                    if place >> TAG == mine:
+                        start, count = (place >> START) & ((1 << (TAG - START)) - 1), (place >> COUNT) & ((1 << (START - COUNT)) - 1)
+                        rows.append((mark["k"], doc_id, place, data[start : start + count + length - 1]))
+            if rows:
+                yield pd.DataFrame(rows, columns=["k", "doc_id", "place", "body"]).astype({"k": "int64", "doc_id": "Int64", "place": "int64"})
+
+    return _by_document(docs, lists, "inner").mapInPandas(run, "k long, doc_id long, place long, body binary")
+
+
+def _later_strings(group: np.ndarray, doc: np.ndarray, place: np.ndarray, bodies: list[bytes], length: int) -> pd.DataFrame:
+    """Runs of strings of the entries that an entry with the same trigger holds earlier in the corpus.
+
+    The suffixes of all entries are sorted by trigger, offset from it, content (a 64-bit hash of
+    `length` bytes) and corpus order; all but the first of equal ones are repeats.
+    """
+    start, count, offset = _places(place)
+    sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies))
+    sums, down = prefix_hashes(np.frombuffer(b"".join(bodies), dtype=np.uint8))
+    at = _each(np.cumsum(sizes) - sizes, count)
+    entry = np.repeat(np.arange(len(bodies)), count)
+    within = at - np.repeat(np.cumsum(sizes) - sizes, count)
+    content = mixed((sums[at + length] - sums[at]) * down[at])
+    from_trigger, begin = offset[entry] - within, start[entry] + within
+    order = np.lexsort((begin, place[entry] >> TAG, doc[entry], content, from_trigger, group[entry]))
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = True
+    for key in (group[entry], from_trigger, content):
+        same[1:] &= key[order[1:]] == key[order[:-1]]
+    later = np.zeros(len(order), dtype=bool)
+    later[order] = same
+    runs = np.flatnonzero(np.diff(later.astype(np.int8), prepend=0) == 1)  # strings of an entry stand together, in order
+    split = np.flatnonzero(later[1:] & later[:-1] & (entry[1:] != entry[:-1])) + 1
+    runs = np.union1d(runs, split)
+    ends = np.union1d(np.flatnonzero(np.diff(later.astype(np.int8), append=0) == -1), split - 1)
+    return pd.DataFrame({"entry": entry[runs], "tag": place[entry[runs]] >> TAG, "start": begin[runs], "bytes": ends - runs + length})
+
+
+def _sorted_suffixes(entries: DataFrame, length: int) -> DataFrame:
+    """Repeats among entries whose triggers have few entries: dealt and sorted by trigger, a buffer of triggers at a time."""
+    dealt = entries.repartition(common.shuffle_partitions(entries.sparkSession), "k").sortWithinPartitions("k")
+
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = rows["doc_id"].astype("Int64").reset_index(drop=True)
+        doc = ids.rank(method="dense", na_option="top").to_numpy(dtype=np.int64)
+        found = _later_strings(rows["k"].to_numpy(), doc, rows["place"].to_numpy(), list(rows["body"]), length)
+        return pd.DataFrame({"doc_id": ids.iloc[found["entry"]].reset_index(drop=True), "tag": found["tag"], "start": found["start"], "bytes": found["bytes"]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if len(held) >= 4096:
+                whole = held["k"] != held["k"].iloc[-1]  # the last trigger may go on
+                if whole.any():
+                    yield solved(held[whole])
+                    held = held[~whole].reset_index(drop=True)
+        if held is not None and len(held):
+            yield solved(held)
+
+    return dealt.mapInPandas(run, "doc_id long, tag long, start long, bytes long")
+
+
+def _hashed_suffixes(entries: DataFrame, length: int) -> DataFrame:
+    """The same among entries of any number: each string is a row, and the first of equal ones a pre-aggregated minimum."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            start, count, offset = _places(batch["place"].to_numpy())
+            sizes = batch["body"].map(len).to_numpy(dtype=np.int64)
+            sums, down = prefix_hashes(np.frombuffer(b"".join(batch["body"]), dtype=np.uint8))
+            at = _each(np.cumsum(sizes) - sizes, count)
+            entry = np.repeat(np.arange(len(batch)), count)
+            within = at - np.repeat(np.cumsum(sizes) - sizes, count)
+            other = mixed(batch["k"].to_numpy().view(np.uint64)[entry] ^ mixed((offset[entry] - within).astype(np.uint64)))
+            yield pd.DataFrame(
+                {
+                    "h1": mixed((sums[at + length] - sums[at]) * down[at]).view(np.int64),
+                    "h2": other.view(np.int64),
+                    "doc_id": batch["doc_id"].astype("Int64").iloc[entry].reset_index(drop=True),
+                    "tag": batch["place"].to_numpy()[entry] >> TAG,
+                    "start": start[entry] + within,
+                }
+            )
+
+    strings = common.checkpointed(entries.mapInPandas(run, "h1 long, h2 long, doc_id long, tag long, start long"))
     order = F.struct(F.col("doc_id"), F.col("tag"), F.col("start"))
-    firsts = strings_of.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = strings_of.join(firsts, ["h1", "h2"]).where(~order.eqNullSafe(F.col("first")))
-    single = later.select("doc_id", "tag", "start", F.lit(length).cast("long").alias("bytes"))
-    return whole.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "bytes")).alias("spans"))
+    firsts = common.checkpointed(strings.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    later = strings.join(firsts, ["h1", "h2"]).where(~order.eqNullSafe(F.col("first")))
+    return later.select("doc_id", "tag", "start", F.lit(length).cast("long").alias("bytes"))
+
+
+def repeated_spans(docs: DataFrame, length: int = 100, sorted_entries: int = 4096) -> DataFrame:
+    """doc_id, and spans: tag, start and bytes of the repeats of each document that has any.
+
+    sorted_entries: triggers with more dictionary entries than that are not sorted in one task but
+    settled by pre-aggregated minima over their strings; the result is the same.
+    """
+    marks = common.checkpointed(settled(units(docs, length)).where(F.col("kind") != UNIT))
+    start = F.shiftright("place", START).bitwiseAND((1 << (TAG - START)) - 1)
+    strings = F.shiftright("place", COUNT).bitwiseAND((1 << (START - COUNT)) - 1)
+    tag = F.shiftright("place", TAG)
+    found = marks.where(F.col("kind") == REPEAT).select("doc_id", tag.alias("tag"), start.alias("start"), (strings + length - 1).alias("bytes"))
+
+    shared = marks.where(F.col("kind") == SHARED).select("k", "doc_id", "place")
+    many = common.checkpointed(shared.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > sorted_entries).select("k"))
+    few = shared
+    if not many.isEmpty():
+        few = shared.join(many, "k", "left_anti")
+        found = found.unionByName(_hashed_suffixes(_entries(docs, shared.join(many, "k", "left_semi"), length), length))
+    found = found.unionByName(_sorted_suffixes(_entries(docs, few, length), length))
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "bytes")).alias("spans"))
 
 
-def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 100, sorted_entries: int = 4096) -> DataFrame:
     """Per document: n_bytes, the removed spans (start, stop), and the kept bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,7 +311,7 @@ def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             if len(frame):
                 yield frame.astype({"doc_id": "Int64", "n_bytes": "int64"})
 
-    found = _by_document(docs, repeated_spans(docs, length), "left")
+    found = _by_document(docs, repeated_spans(docs, length, sorted_entries), "left")
     return found.mapInPandas(run, "doc_id long, n_bytes long, removed array<struct<start: long, stop: long>>, kept binary")
 
 
