@@ -51,7 +51,7 @@ def targets(sizes: list[int], weights: tuple[int, ...] = (1, 2, 3), cap: float =
                 out[i] = share[i]
             break
         for i in over:
-            out[i] = cap * sizes[i]
+            out[i] = float(cap * sizes[i])
             left -= out[i]
         free = [i for i in free if share[i] <= cap * sizes[i]]
     return out
