@@ -57,7 +57,7 @@ def fenced_json(text: Column) -> Column:
     """The JSON of a model's answer: a fenced block's body, else from the first brace to the last."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(fenced != "", F.trim(fenced)).when(braces != "", braces)
+    return F.when(fenced != "", F.btrim(fenced, F.lit(" \t\r\n"))).when(braces != "", braces)
 
 
 def is_transient_error(message: Column) -> Column:
