@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CODE = r"\b(?:A0[1-9]|A10|API[1-9]0?|LLM0[1-9]|LLM10)\b"
 
@@ -46,7 +47,7 @@ def truncated(text: Column, most: int = 15_000, notice: str = "\n[truncated]") -
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(notice))).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redact_keys(texts: pd.Series) -> pd.Series:
     """Private-key blocks replaced by a notice of as many lines."""
     block = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
