@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,23 +67,35 @@ def is_manifest(path: Column, strict: bool = True) -> Column:
     return name.isin(dims.MANIFESTS if strict else [m.lower() for m in dims.MANIFESTS])
 
 
-def has_any(content: Column, patterns: list[str]) -> Column:
-    """One alternation per letter case: the content is searched twice at most, not once per pattern."""
-    sensitive = [p for p in patterns if not p.startswith("(?i)")]
-    free = [p[4:] for p in patterns if p.startswith("(?i)")]
+def required_word(pattern: str) -> str:
+    """The longest run of letters that every match of a pattern holds; empty if none is sure. Patterns have no alternation outside groups."""
+    bare = re.sub(r"\([^()]*\)[?*]?|\[[^\]]*\][?*+]?|\\[A-Za-z][*+?]?|\\[^A-Za-z][*+?]?", " ", pattern.removeprefix("(?i)"))
+    return max(re.findall(r"[A-Za-z_-]+", re.sub(r".[?*]", " ", bare)), key=len, default="")
+
+
+def has_any(content: Column, patterns: list[str], lower: Column | None = None) -> Column:
+    """Whether one of the patterns is found. Each is searched for only where its required word is, which is a plain search and rules most texts out.
+
+    lower: the content in lower case, for a caller that asks for many patterns.
+    """
+    lower = F.lower(content) if lower is None else lower
     out = F.lit(False)
-    if sensitive:
-        out = out | content.rlike("|".join(f"(?:{p})" for p in sensitive))
-    if free:
-        out = out | content.rlike("(?i)" + "|".join(f"(?:{p})" for p in free))
+    for pattern in patterns:
+        free, word = pattern.startswith("(?i)"), required_word(pattern)
+        test = content.rlike(pattern)
+        if word:
+            inside = F.contains(lower, F.lit(word.lower())) if free else F.contains(content, F.lit(word))
+            test = inside if word == pattern.removeprefix("(?i)") else inside & test
+        out = out | test
     return out
 
 
 def signals(files: DataFrame, handler_names: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """path and signals. Manifests and config files have that signal alone; the others are independent."""
     content = F.col("content")
-    flags = [F.when(has_any(content, patterns), F.lit(name)) for name, patterns in dims.SIGNAL_PATTERNS.items()]
-    dynamic = has_any(content, dims.DYNAMIC_EXEC) | (content.rlike(r"exec\s*\(") & ~content.rlike(r"exec\s*\(\s*\)"))
+    lower = F.col("_lower")
+    flags = [F.when(has_any(content, patterns, lower), F.lit(name)) for name, patterns in dims.SIGNAL_PATTERNS.items()]
+    dynamic = has_any(content, dims.DYNAMIC_EXEC, lower) | (content.rlike(r"exec\s*\(") & ~content.rlike(r"exec\s*\(\s*\)"))
     flags.append(F.when(dynamic, F.lit("dynamic_exec")))
     found = files
     if handler_names is not None:  # a file that exports a route's handler
@@ -90,7 +104,7 @@ def signals(files: DataFrame, handler_names: DataFrame | None = None, strict: bo
         flags.insert(0, F.col("_route"))
     by_content = F.array_compact(F.array(*flags))
     alone = F.when(is_manifest(F.col("path"), strict), F.array(F.lit("dep_manifest"))).when(is_config(F.col("path")), F.array(F.lit("config_file")))
-    return found.select("path", F.coalesce(alone, by_content).alias("signals"))
+    return found.withColumn("_lower", F.lower("content")).select("path", F.coalesce(alone, by_content).alias("signals"))
 
 
 def escape_hatches(files: DataFrame, snippet: int = 200) -> DataFrame:
