@@ -34,3 +34,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """Each row of a table as one struct `row`, so that no name of its columns can clash with an operator's, beside
+    `id` (doc_id) and `body` (a hash of the text), which together tell rows apart."""
+    columns = [docs[f"`{name}`"] for name in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(text_or_empty(docs)).alias("body"))
+
+
+def unboxed(rows: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    """The columns of the boxed table again, some of them replaced."""
+    return rows.select(*[replaced.get(name, F.col("row")[name]).alias(name) for name in columns])

@@ -8,12 +8,12 @@ partial sums. Keys found in at least `min_docs` documents lose their lines: all
 (keep="none") or all but the first one of the lowest document (keep="first").
 
 The result is a bitmap per document, not text: 64-bit words of dropped positions, words without
-one left out. apply_bitmaps() joins them with the texts.
+one left out. applied() joins them with the texts.
 
 Defined results: null and empty texts are one empty line, which has no key and stays; rows equal
 in doc_id and text are one document, whose lines count once, and each of them loses the same
-lines; null is a doc_id like any other and sorts first; other columns are kept by apply_bitmaps()
-and ignored otherwise; an empty table gives no rows.
+lines; null is a doc_id like any other and sorts first; other columns are carried along by
+applied(), whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
     text = common.text_or_empty(docs)
     hashed = F.transform(keys_of(text), lambda key, at: F.struct(at.alias("pos"), F.char_length(key).alias("n"), F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")))
     keyed = F.filter(hashed, lambda line: line["n"] >= max(1, least_chars))
-    rows = docs.select(docs["doc_id"].alias("doc"), F.xxhash64(text).alias("body"), F.explode(keyed).alias("line"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc"), F.xxhash64(text).alias("body"), F.explode(keyed).alias("line"))
     return rows.select("line.h1", "line.h2", "doc", "body", "line.pos")
 
 
@@ -71,25 +71,29 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", least_
     return words.groupBy("doc", "body").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """All columns of docs with `text` replaced by its kept lines, and `_lines` with n_lines and n_dropped."""
-    text = common.text_or_empty(docs)
-    marks = bitmaps.select(F.col("doc").alias("_doc"), F.col("body").alias("_body"), F.col("words").alias("_words"))
-    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_doc"]) & (F.xxhash64(text) == marks["_body"]), "left")
-    lines = lines_of(text)
-    dropped = F.aggregate(F.map_values("_words"), F.lit(0).cast("long"), lambda total, bits: total + F.bit_count(bits))
-    dense = F.transform(F.sequence(F.lit(0), F.expr("(size(_all) - 1) div 64")), lambda word: F.coalesce(F.try_element_at("_words", word.cast("long")), F.lit(0).cast("long")))
-    split = joined.withColumn("_all", lines).withColumn("_dense", F.when(F.col("_words").isNotNull(), dense))
-    kept = F.filter("_all", lambda line, at: F.getbit(F.get("_dense", F.floor(at / 64).cast("int")), at % 64) == 0)
-    out = {"text": F.when(F.col("_words").isNull(), split["text"]).otherwise(F.array_join(kept, "\n"))}
-    counts = F.struct(F.size("_all").cast("long").alias("n_lines"), F.coalesce(dropped, F.lit(0)).alias("n_dropped"))
-    return split.withColumns({**out, "_lines": counts}).select(*docs.columns, "_lines")
+def applied(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Boxed rows (common.boxed) with `kept` (the text without dropped lines), n_lines and n_dropped."""
+    rows = common.boxed(docs)
+    joined = rows.join(bitmaps.withColumnRenamed("body", "its_body"), rows["id"].eqNullSafe(F.col("doc")) & (rows["body"] == F.col("its_body")), "left")
+    text = F.col("row")["text"].cast("string")
+    split = joined.withColumn("lines", lines_of(F.coalesce(text, F.lit(""))))
+    dense = F.transform(F.sequence(F.lit(0), F.expr("(size(lines) - 1) div 64")), lambda word: F.coalesce(F.try_element_at("words", word.cast("long")), F.lit(0).cast("long")))
+    split = split.withColumn("dense", F.when(F.col("words").isNotNull(), dense))
+    kept = F.filter("lines", lambda line, at: F.getbit(F.get("dense", F.floor(at / 64).cast("int")), at % 64) == 0)
+    dropped = F.aggregate(F.map_values("words"), F.lit(0).cast("long"), lambda total, bits: total + F.bit_count(bits))
+    return split.select(
+        "row",
+        "id",
+        F.when(F.col("words").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(dropped, F.lit(0)).alias("n_dropped"),
+    )
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    kept = apply_bitmaps(docs, drop_bitmaps(docs))
-    return kept.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    kept = applied(docs, drop_bitmaps(docs))
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP7_SQL = r"""

@@ -172,15 +172,15 @@ def links(prints: DataFrame, max_bits: int = 2, sample: int = 50_000, shard_rows
 
 
 def near_components(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and component_id."""
-    made = docs.select(docs["doc_id"].cast("long").alias("doc_id"), fingerprint_column(width)(common.text_or_empty(docs)).alias("fp"))
+    """doc_id, body (a hash of the text), fp (the fingerprint as a signed long) and component_id."""
+    made = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(common.text_or_empty(docs)).alias("body"), fingerprint_column(width)(common.text_or_empty(docs)).alias("fp"))
     prints = common.checkpointed(made)
     classes = common.checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     grouped = roots(links(classes, max_bits))
     named = classes.join(grouped.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = named.join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "body", "fp", "component_id")
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def test_empty_tables_give_no_rows(spark, empty):
     assert quality.fit(quality.with_statistics(empty), labels).share == 0.5
     for made in (mixing.mix(empty), pii.find_spans(empty), media.to_media(empty), simhash.near_components(empty), attribution.count_tokens(empty), packing.pack(empty), repeats.cut_repeats(empty)):
         assert made.count() == 0
-    assert line_dedup.apply_bitmaps(empty, line_dedup.drop_bitmaps(empty)).count() == 0
+    assert line_dedup.applied(empty, line_dedup.drop_bitmaps(empty)).count() == 0
 
 
 def test_neighbour_fingerprints(docs, rows):
@@ -262,9 +262,8 @@ def test_line_dedup(docs, rows, keep):
                 kept.append(line)
             seen.add(k)
         expected[doc] = (len(doc[1].split("\n")), "\n".join(kept))
-    got = line_dedup.apply_bitmaps(docs, line_dedup.drop_bitmaps(docs, 10, keep))
-    assert got.columns == [*docs.columns, "_lines"]
-    made = sorted(((r["doc_id"], r["_lines"]["n_lines"], r["text"] or "") for r in got.collect()), key=repr)
+    got = line_dedup.applied(docs, line_dedup.drop_bitmaps(docs, 10, keep))
+    made = sorted(((r["id"], r["n_lines"], r["kept"] or "") for r in got.collect()), key=repr)
     assert made == sorted(((i, *expected[(i, t or "")]) for i, t, _ in rows), key=repr)
 
 
