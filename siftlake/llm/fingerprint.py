@@ -166,9 +166,9 @@ def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     heads = {r["range"]: r["head"] for r in rows.groupBy("range").agg(F.max(key).alias("head")).collect()}  # a number per range
     order = sorted(heads)
     before = {now: last for last, now in zip(order, order[1:], strict=False)} | ({order[0]: order[-1]} if order else {})
-    spare = F.lit(None).cast("int")
-    for now, head in heads.items():
-        spare = F.when((F.col("range") == now) & (key == head), F.lit(before[now])).otherwise(spare)
+    is_head = F.array_contains(F.array(*map(F.lit, heads.values())), key) if heads else F.lit(False)
+    pairs = [F.lit(x) for pair in before.items() for x in pair]
+    spare = F.when(is_head, F.try_element_at(F.create_map(*pairs), F.col("range"))) if heads else F.lit(None).cast("int")
     own = F.struct(F.col("range"), F.lit(0).alias("spare"))
     twice = F.array(own, F.struct(spare.alias("range"), F.lit(1).alias("spare")))
     return rows.select("doc_id", "text", F.explode(F.when(spare.isNull(), F.array(own)).otherwise(twice)).alias("to")).select("doc_id", "text", "to.range", "to.spare")
