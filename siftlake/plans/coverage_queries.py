@@ -146,3 +146,56 @@ _SINKS = {"outbound": r"\b(?:fetch|axios|request)\s*\(\s*[^'\"\s)]", "injection"
 def sink_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.expr("element_at(array('fetch(url)', 'eval(x)', 'fetch(\"/fixed\")'), cast(ord % 3 AS int) + 1)")
     return R.grep(V.files(spark, sf_dir).select("path", code.alias("content")), _SINKS)
+
+
+@query(V.with_views("v_file", "SELECT path, CASE WHEN ord % 3 = 1 THEN concat('x', ord, ' new') ELSE CASE ord % 3 WHEN 0 THEN concat('x', ord, ' none') ELSE concat('x', ord, ' old old') END END AS content, ord % 3 = 1 AS applied FROM v_file"))
+def corpus_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A literal patch that must occur exactly once: files where it does not are left as they are."""
+    files = V.files(spark, sf_dir).select("path", F.expr("concat('x', ord, CASE ord % 3 WHEN 0 THEN ' none' WHEN 1 THEN ' old' ELSE ' old old' END)").alias("content"))
+    return K.patched(files, files.select("path", F.lit("old").alias("find"), F.lit("new").alias("put"))).select("path", "content", "applied")
+
+
+@query(V.with_views("v_file", "SELECT path, concat('a: 1', chr(10), '  fix: ''''', chr(10), '- fix: ''''', chr(10), 'other: ', ord) AS content FROM v_file"))
+def corpus_blank_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("concat('a: 1\\n  fix: secret ', ord, '\\n- fix: more\\nother: ', ord)")
+    return K.blanked_fields(V.files(spark, sf_dir).select("path", text.alias("content")), "fix").select("path", "content")
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT concat('M', p_size) AS model, p_size FROM part WHERE p_size % 2 = 0), s AS (SELECT DISTINCT concat('src/', CASE p_partkey % 2 WHEN 0 THEN 'm' ELSE 'q' END, p_size, '.ts') AS file, concat('M', p_size + 1) AS name, p_size, p_partkey % 2 AS odd FROM part)
+SELECT c.model, s.file FROM c JOIN s ON s.name = c.model UNION SELECT c.model, s.file FROM c JOIN s ON s.p_size = c.p_size AND s.odd = 0"""
+)
+def crud_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Auto-CRUD models met by an exported symbol or by the file's own name."""
+    from siftlake.operators.routes import crud_of_files
+
+    part = V.table(spark, sf_dir, "part")
+    crud = part.where("p_size % 2 = 0").select(F.concat(F.lit("M"), "p_size").alias("model")).distinct()
+    symbols = part.select(F.expr("concat('src/', CASE p_partkey % 2 WHEN 0 THEN 'm' ELSE 'q' END, p_size, '.ts')").alias("file"), F.expr("concat('M', p_size + 1)").alias("name")).distinct()
+    return crud_of_files(crud, symbols).select("model", "file")
+
+
+@query(V.with_views("v_file", "SELECT dir AS lane_id, list_sort(list(DISTINCT path))[1:3] AS seed_files FROM v_file WHERE ord % 2 = 0 OR ord % 7 = 0 GROUP BY 1"))
+def seed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each lane's handlers and extras, once each, the first three in order."""
+    from siftlake.operators.ranking import first_of_group
+
+    files = V.files(spark, sf_dir).select(F.col("dir").alias("lane_id"), "path", "ord")
+    every = files.where("ord % 2 = 0").unionByName(files.where("ord % 7 = 0")).select("lane_id", "path").distinct()
+    first = first_of_group(every, ["lane_id"], ["path"], 3)
+    return first.groupBy("lane_id").agg(F.array_sort(F.collect_list("path")).alias("seed_files"))
+
+
+@query(V.with_views("v_file", "SELECT count_if(ord % 4 = 0) > 0 AS sequelize, false AS mongoose, count_if(ord % 4 = 1) > 0 AS typeorm, count_if(ord % 4 = 2)::BIGINT AS raw_files FROM v_file"))
+def persistence_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.expr("""element_at(array('import S from "sequelize"', "const t = require('typeorm')", 'db.query(sql)', 'import x from "./mongoose"'), cast(ord % 4 AS int) + 1)""")
+    return K.persistence(V.files(spark, sf_dir).select("path", code.alias("content")))
+
+
+@query("WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations) SELECT conv_id, turn, CASE WHEN length(t) > 100 THEN concat(substring(t, 1, 100), chr(10), '[truncated]') ELSE t END AS section FROM t")
+def seed_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut at a length with a notice."""
+    from siftlake.functions.text import truncated
+
+    talk = V.table(spark, sf_dir, "conversations")
+    return talk.select("conv_id", "turn", truncated(F.coalesce("text", F.lit("")), 100).alias("section"))
