@@ -21,7 +21,6 @@ table gives no rows. Reruns agree: order and schedule depend on doc_id, size and
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from siftlake.llm import common
 GOLDEN = 0x9E3779B97F4A7C15
 WORD = r"[^\x20\x09-\x0D]+"
 SLOTS_A_CHUNK = 1 << 16
-DOCS_A_CHUNK = 4096
+DOCS_A_CHUNK = 1024
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> list[float]:
@@ -87,7 +86,8 @@ def schedule(spark: SparkSession, shares: list[float], n_slots: int) -> DataFram
     counts = chunks.mapInPandas(counted, "chunk long, ix int, n long")
     offsets = counts.select("chunk", "ix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     slots = chunks.mapInPandas(ranked, "slot long, chunk long, ix int, within long")
-    return slots.join(offsets, ["chunk", "ix"]).select("slot", "ix", (F.col("offset") + F.col("within")).alias("rank"))
+    # Catalyst takes a map's output to be as small as its input, here a range of chunks, and would broadcast it.
+    return slots.join(offsets.hint("merge"), ["chunk", "ix"]).select("slot", "ix", (F.col("offset") + F.col("within")).alias("rank"))
 
 
 def size_of(text: Column) -> Column:
@@ -115,8 +115,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     goal = targets(sizes, weights, cap)
     block = [max(1, min(block_words, int(t) // least_slots)) for t in goal]
     blocks = [-(-s // b) for s, b in zip(sizes, block, strict=True)]
-    table = [(r["source"], i, s, t, b, n) for i, (r, s, t, b, n) in enumerate(zip(rows, sizes, goal, block, blocks, strict=True))]
-    known = spark.createDataFrame(table, "source string, ix int, source_size long, target double, block_words int, n_blocks long")
+    chunks_of = [-(-r["docs"] // DOCS_A_CHUNK) for r in rows]
+    table = [(r["source"], i, s, t, b, n, c) for i, (r, s, t, b, n, c) in enumerate(zip(rows, sizes, goal, block, blocks, chunks_of, strict=True))]
+    # At most max_sources rows, so it may be broadcast.
+    known = F.broadcast(spark.createDataFrame(table, "source string, ix int, source_size long, target double, block_words int, n_blocks long, n_chunks long"))
     named = sized.join(known.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
     empty = named.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     shares = [t / b for t, b in zip(goal, block, strict=True)]
@@ -124,8 +126,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     if not n_slots:
         return empty
 
-    n_chunks = math.ceil(sum(r["docs"] for r in rows) / DOCS_A_CHUNK)
-    shuffled = named.where("size > 0").withColumn("place", F.xxhash64("doc_id", "size", F.lit("mix"))).withColumn("chunk", F.pmod("place", F.lit(n_chunks)))
+    shuffled = named.where("size > 0").withColumn("place", F.xxhash64("doc_id", "size", F.lit("mix"))).withColumn("chunk", F.pmod("place", "n_chunks"))
     before = Window.partitionBy("ix").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = shuffled.groupBy("ix", "chunk").agg(F.sum("size").alias("words"))
     chunks = chunks.select("ix", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("chunk_start"))
@@ -135,9 +136,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     pieces = laid.withColumn("block", F.explode(F.expr("sequence(start div block_words, (start + size - 1) div block_words)")))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("block_words")) - F.greatest("start", F.col("block") * F.col("block_words"))
 
-    slots = schedule(spark, shares, n_slots).join(known.where("n_blocks > 0").select("ix", "n_blocks"), "ix")
+    slots = schedule(spark, shares, n_slots).join(known.select("ix", "n_blocks"), "ix").where("n_blocks > 0")
     times = slots.where(F.col("rank") < cap * F.col("n_blocks")).groupBy("ix", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
-    taken = pieces.join(times, ["ix", "block"], "left").withColumn("taken", words * F.coalesce("times", F.lit(0)))
+    taken = pieces.join(times.hint("merge"), ["ix", "block"], "left").withColumn("taken", words * F.coalesce("times", F.lit(0)))
     full = taken.groupBy("doc_id", "source", "size", "source_size", "target", "ix", "start").agg(F.sum("taken").cast("long").alias("taken"))
     return full.select("doc_id", "source", "size", "source_size", "target", "taken").unionByName(empty)
 
