@@ -70,6 +70,42 @@ def test_near_stage_keeps_one_of_each_group(spark, rows, sf_dir):
     assert got == sorted(least.values(), key=repr)
 
 
+def similarity(one, other):
+    sets = []
+    for text in (one, other):
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("small", [16, 2])
+def test_near_stage_finds_planted_copies(spark, small, monkeypatch):
+    draw = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = []
+    for group in range(30):
+        base = draw.choice(words, 300)
+        texts.append((group, " ".join(base)))
+        for copy in range(40 if group == 0 else 3):  # some below the bound, most above it
+            edited = base.copy()
+            at = draw.choice(300, [1, 3, 5, 8, 20][(copy + group) % 5], replace=False)
+            edited[at] = draw.choice(words, len(at))
+            texts.append((group, " ".join(edited)))
+    order = draw.permutation(len(texts))
+    rows = [(int(i), texts[j][1], "s0") for i, j in enumerate(order)]
+    group_of = {int(i): texts[j][0] for i, j in enumerate(order)}
+    monkeypatch.setattr(P.near_copies.distinct_documents, "__defaults__", (small,))
+    kept = {r["doc_id"] for r in P.drop_near_copies(spark, made(spark, rows), "").collect()}
+    near = {(a, b): similarity(rows[a][1], rows[b][1]) >= 0.8 for a in group_of for b in group_of if a < b and group_of[a] == group_of[b]}
+    assert sum(near.values()) > 100
+    assert not [p for p, is_near in near.items() if is_near and set(p) <= kept]
+    top = groups(len(rows), np.array([p for p, is_near in near.items() if is_near]))
+    least = [min(i for i in group_of if top[i] == g) for g in sorted(set(top))]
+    assert set(least) <= kept
+    alone = {i for i in group_of if not any(is_near for p, is_near in near.items() if i in p)}
+    assert alone and alone <= kept
+
+
 def test_mix_stage_repeats_by_target(spark, rows, sf_dir):
     docs = made(spark, rows)
     got = P.mix_sources(spark, docs, sf_dir).collect()
