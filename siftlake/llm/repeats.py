@@ -24,29 +24,29 @@ bytes, and no suffix array of the whole corpus is written.
 The bytes of all repeats are then removed in one join with the texts.
 
 Defined results: null and empty texts, and texts shorter than `length`, lose nothing; null doc_ids
-come first; rows with equal doc_id are documents of their own, in order of a hash of their text
-(15 bits of it tell them apart), and rows equal in both lose the same bytes; other columns are
-ignored; an empty table gives no rows.
+come first; rows with equal doc_id are documents of their own, in order of a 64-bit hash of their
+text; rows equal in both are at the same place of the corpus, so neither repeats the other, and
+they lose the same bytes; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from siftlake.llm import common
 from siftlake.llm.fingerprint import mixed, prefix_hashes
 
 GRAM = 32
 SEGMENT = 1 << 22
-#: A place is one number: tag of the text (15 bits), start (34 bits), strings (7 bits), trigger's offset (7 bits).
-TAG, START, COUNT = 48, 14, 7
-UNITS = "k long, u long, doc_id long, place long, kind int"
+#: A place is one number: start (34 bits), strings (7 bits), trigger's offset (7 bits). The text's hash is the column `tag`.
+END, START, COUNT = 48, 14, 7
+UNITS = "k long, u long, doc_id long, tag long, place long, kind int"
 UNIT, REPEAT, SHARED = 0, 1, 2
 
 
@@ -78,7 +78,9 @@ def parse(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def tag_of(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=2).digest(), "big") >> 1
+    """Spark's xxhash64 of the text."""
+    value = xxh64_intdigest(data, 42)
+    return value - (1 << 64) if value >> 63 else value
 
 
 def units(docs: DataFrame, length: int) -> DataFrame:
@@ -87,23 +89,28 @@ def units(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.sort_values("doc_id", na_position="first", kind="stable")
-            columns: list[list] = [[] for _ in range(4)]
+            columns: list[list] = [[] for _ in range(5)]
             for i, text in enumerate(batch["text"]):
                 data = text.encode()
                 g, u, start, count, offset = parse(np.frombuffer(data, dtype=np.uint8), length)
                 if len(g):
-                    place = (np.int64(tag_of(data)) << TAG) | (start << START) | (count << COUNT) | offset
-                    for column, values in zip(columns, (g, u, place, np.full(len(g), i)), strict=True):
+                    place = (start << START) | (count << COUNT) | offset
+                    tags = np.full(len(g), tag_of(data), dtype=np.int64)
+                    for column, values in zip(columns, (g, u, tags, place, np.full(len(g), i)), strict=True):
                         column.append(values)
             if columns[0]:
-                g, u, place, row = (np.concatenate(column) for column in columns)
-                order = np.lexsort((place, row, u, g))
-                g, u, place, row = g[order], u[order], place[order], row[order]
-                repeat = np.zeros(len(g), dtype=bool)
-                repeat[1:] = (g[1:] == g[:-1]) & (u[1:] == u[:-1])
+                g, u, tags, place, row = (np.concatenate(column) for column in columns)
+                doc = batch["doc_id"].astype("Int64").rank(method="dense", na_option="top").to_numpy(dtype=np.int64)[row]
+                order = np.lexsort((place, tags, doc, u, g))
+                g, u, tags, place, row, doc = g[order], u[order], tags[order], place[order], row[order], doc[order]
+                new, again = np.ones(len(g), dtype=bool), np.zeros(len(g), dtype=bool)
+                new[1:] = (g[1:] != g[:-1]) | (u[1:] != u[:-1])
+                again[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (tags[1:] == tags[:-1]) & (place[1:] == place[:-1])
+                some = ~again  # a row of equal doc_id and text is at the same place
+                g, u, tags, place, row, repeat = g[some], u[some], tags[some], place[some], row[some], ~new[some]
                 k = np.where(repeat, mixed(g ^ place.view(np.uint64) ^ row.astype(np.uint64)), g).view(np.int64)
                 ids = batch["doc_id"].astype("Int64").iloc[row].reset_index(drop=True)
-                yield pd.DataFrame({"k": k, "u": u.view(np.int64), "doc_id": ids, "place": place, "kind": np.where(repeat, REPEAT, UNIT).astype(np.int32)})
+                yield pd.DataFrame({"k": k, "u": u.view(np.int64), "doc_id": ids, "tag": tags, "place": place, "kind": np.where(repeat, REPEAT, UNIT).astype(np.int32)})
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
     return rows.mapInPandas(run, UNITS)
@@ -112,21 +119,25 @@ def units(docs: DataFrame, length: int) -> DataFrame:
 def settled(found: DataFrame) -> DataFrame:
     """Repeated phrases as REPEAT, dictionary entries that share a trigger with another as SHARED."""
     n = common.shuffle_partitions(found.sparkSession)
-    dealt = found.repartition(n, "k").sortWithinPartitions("kind", "k", "u", F.asc_nulls_first("doc_id"), "place")
+    dealt = found.repartition(n, "k").sortWithinPartitions("kind", "k", "u", F.asc_nulls_first("doc_id"), "tag", "place")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None  # trigger and phrase of the row before
+        last = None  # trigger, phrase and place of the row before
         first = None  # the first entry of the trigger at hand, while it is the only one
         for batch in batches:
             given = batch[batch["kind"] == REPEAT]
             if len(given):
-                yield given[["k", "doc_id", "place", "kind"]]
+                yield given[["k", "doc_id", "tag", "place", "kind"]]
             batch = batch[batch["kind"] == UNIT].reset_index(drop=True)
             if not len(batch):
                 continue
             k, u = batch["k"].to_numpy(), batch["u"].to_numpy()
+            own = batch["doc_id"].astype("Int64")
+            at = np.stack([own.fillna(0).to_numpy(dtype=np.int64), own.isna().to_numpy().astype(np.int64), batch["tag"].to_numpy(), batch["place"].to_numpy()])
             new_k = np.append(last is None or k[0] != last[0], k[1:] != k[:-1])
             new_u = new_k | np.append(last is None or u[0] != last[1], u[1:] != u[:-1])
+            before = np.concatenate([at[:, :1] if last is None else last[2], at[:, :-1]], axis=1)
+            again = ~new_u & (at == before).all(axis=0)  # a row of equal doc_id and text is at the same place
             group = np.cumsum(new_k)
             shared = np.zeros(group[-1] + 1, dtype=bool)
             shared[group[new_u & ~new_k]] = True
@@ -134,27 +145,29 @@ def settled(found: DataFrame) -> DataFrame:
             if first is not None and shared[0] and not new_k[0]:
                 yield first.assign(kind=np.int32(SHARED))
                 first = None
-            out = batch[["k", "doc_id", "place"]].assign(kind=kind)
+            kind[again] = UNIT
+            out = batch[["k", "doc_id", "tag", "place"]].assign(kind=kind)
             heads = np.flatnonzero(new_k)
             if len(heads):
                 only = not shared[group[heads[-1]]]
                 first = out.iloc[[heads[-1]]] if only else None
             yield out[kind != UNIT]
-            last = (k[-1], u[-1])
+            last = (k[-1], u[-1], at[:, -1:])
 
-    return dealt.mapInPandas(run, "k long, doc_id long, place long, kind int")
+    return dealt.mapInPandas(run, "k long, doc_id long, tag long, place long, kind int")
 
 
 def _by_document(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """Texts with the marks of their documents as lists."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
-    lists = marks.withColumnRenamed("doc_id", "_doc")
-    return rows.join(lists, rows["doc_id"].eqNullSafe(lists["_doc"]), how).drop("_doc")
+    """Texts with the marks of their doc_id and text as lists."""
+    text = common.text_or_empty(docs)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
+    lists = marks.withColumnsRenamed({"doc_id": "_doc", "tag": "_tag"})
+    return rows.join(lists, rows["doc_id"].eqNullSafe(lists["_doc"]) & (rows["tag"] == lists["_tag"]), how).drop("_doc", "_tag")
 
 
 def _places(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, number of strings, and offset of the trigger."""
-    return (places >> START) & ((1 << (TAG - START)) - 1), (places >> COUNT) & ((1 << (START - COUNT)) - 1), places & ((1 << COUNT) - 1)
+    return (places >> START) & ((1 << (END - START)) - 1), (places >> COUNT) & ((1 << (START - COUNT)) - 1), places & ((1 << COUNT) - 1)
 
 
 def _each(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -163,27 +176,25 @@ def _each(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
-    """The bytes of dictionary entries (k, doc_id, place)."""
-    lists = marked.groupBy("doc_id").agg(F.collect_list(F.struct("k", "place")).alias("marks"))
+    """The bytes of dictionary entries (k, doc_id, tag, place)."""
+    lists = marked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("k", "place")).alias("marks"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text, marks in zip(batch["doc_id"], batch["text"], batch["marks"], strict=True):
+            for doc_id, tag, text, marks in zip(batch["doc_id"], batch["tag"], batch["text"], batch["marks"], strict=True):
                 data = text.encode()
-                mine = tag_of(data)
                 for mark in marks:
                     place = mark["place"]
-                    if place >> TAG == mine:
-                        start, count = (place >> START) & ((1 << (TAG - START)) - 1), (place >> COUNT) & ((1 << (START - COUNT)) - 1)
-                        rows.append((mark["k"], doc_id, place, data[start : start + count + length - 1]))
+                    start, count = (place >> START) & ((1 << (END - START)) - 1), (place >> COUNT) & ((1 << (START - COUNT)) - 1)
+                    rows.append((mark["k"], doc_id, tag, place, data[start : start + count + length - 1]))
             if rows:
-                yield pd.DataFrame(rows, columns=["k", "doc_id", "place", "body"]).astype({"k": "int64", "doc_id": "Int64", "place": "int64"})
+                yield pd.DataFrame(rows, columns=["k", "doc_id", "tag", "place", "body"]).astype({"k": "int64", "doc_id": "Int64", "tag": "int64", "place": "int64"})
 
-    return _by_document(docs, lists, "inner").mapInPandas(run, "k long, doc_id long, place long, body binary")
+    return _by_document(docs, lists, "inner").mapInPandas(run, "k long, doc_id long, tag long, place long, body binary")
 
 
-def _later_strings(group: np.ndarray, doc: np.ndarray, place: np.ndarray, bodies: list[bytes], length: int) -> pd.DataFrame:
+def _later_strings(group: np.ndarray, doc: np.ndarray, tag: np.ndarray, place: np.ndarray, bodies: list[bytes], length: int) -> pd.DataFrame:
     """Runs of strings of the entries that an entry with the same trigger holds earlier in the corpus.
 
     The suffixes of all entries are sorted by trigger, offset from it, content (a 64-bit hash of
@@ -197,7 +208,7 @@ def _later_strings(group: np.ndarray, doc: np.ndarray, place: np.ndarray, bodies
     within = at - np.repeat(np.cumsum(sizes) - sizes, count)
     content = mixed((sums[at + length] - sums[at]) * down[at])
     from_trigger, begin = offset[entry] - within, start[entry] + within
-    order = np.lexsort((begin, place[entry] >> TAG, doc[entry], content, from_trigger, group[entry]))
+    order = np.lexsort((begin, tag[entry], doc[entry], content, from_trigger, group[entry]))
     same = np.zeros(len(order), dtype=bool)
     same[1:] = True
     for key in (group[entry], from_trigger, content):
@@ -208,7 +219,7 @@ def _later_strings(group: np.ndarray, doc: np.ndarray, place: np.ndarray, bodies
     split = np.flatnonzero(later[1:] & later[:-1] & (entry[1:] != entry[:-1])) + 1
     runs = np.union1d(runs, split)
     ends = np.union1d(np.flatnonzero(np.diff(later.astype(np.int8), append=0) == -1), split - 1)
-    return pd.DataFrame({"entry": entry[runs], "tag": place[entry[runs]] >> TAG, "start": begin[runs], "bytes": ends - runs + length})
+    return pd.DataFrame({"entry": entry[runs], "tag": tag[entry[runs]], "start": begin[runs], "bytes": ends - runs + length})
 
 
 def _sorted_suffixes(entries: DataFrame, length: int) -> DataFrame:
@@ -218,13 +229,14 @@ def _sorted_suffixes(entries: DataFrame, length: int) -> DataFrame:
     def solved(rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["doc_id"].astype("Int64").reset_index(drop=True)
         doc = ids.rank(method="dense", na_option="top").to_numpy(dtype=np.int64)
-        found = _later_strings(rows["k"].to_numpy(), doc, rows["place"].to_numpy(), list(rows["body"]), length)
+        found = _later_strings(rows["k"].to_numpy(), doc, rows["tag"].to_numpy(), rows["place"].to_numpy(), list(rows["body"]), length)
         return pd.DataFrame({"doc_id": ids.iloc[found["entry"]].reset_index(drop=True), "tag": found["tag"], "start": found["start"], "bytes": found["bytes"]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            held = held.drop_duplicates(["k", "doc_id", "tag", "place"], ignore_index=True)  # rows of equal doc_id and text
             if len(held) >= 4096:
                 whole = held["k"] != held["k"].iloc[-1]  # the last trigger may go on
                 if whole.any():
@@ -255,7 +267,7 @@ def _hashed_suffixes(entries: DataFrame, length: int) -> DataFrame:
                     "h1": mixed((sums[at + length] - sums[at]) * down[at]).view(np.int64),
                     "h2": other.view(np.int64),
                     "doc_id": batch["doc_id"].astype("Int64").iloc[entry].reset_index(drop=True),
-                    "tag": batch["place"].to_numpy()[entry] >> TAG,
+                    "tag": batch["tag"].to_numpy()[entry],
                     "start": start[entry] + within,
                 }
             )
@@ -268,25 +280,24 @@ def _hashed_suffixes(entries: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, sorted_entries: int = 4096) -> DataFrame:
-    """doc_id, and spans: tag, start and bytes of the repeats of each document that has any.
+    """doc_id, tag, and spans: start and bytes of the repeats of each text that has any.
 
     sorted_entries: triggers with more dictionary entries than that are not sorted in one task but
     settled by pre-aggregated minima over their strings; the result is the same.
     """
     marks = common.checkpointed(settled(units(docs, length)).where(F.col("kind") != UNIT))
-    start = F.shiftright("place", START).bitwiseAND((1 << (TAG - START)) - 1)
+    start = F.shiftright("place", START).bitwiseAND((1 << (END - START)) - 1)
     strings = F.shiftright("place", COUNT).bitwiseAND((1 << (START - COUNT)) - 1)
-    tag = F.shiftright("place", TAG)
-    found = marks.where(F.col("kind") == REPEAT).select("doc_id", tag.alias("tag"), start.alias("start"), (strings + length - 1).alias("bytes"))
+    found = marks.where(F.col("kind") == REPEAT).select("doc_id", "tag", start.alias("start"), (strings + length - 1).alias("bytes"))
 
-    shared = marks.where(F.col("kind") == SHARED).select("k", "doc_id", "place")
+    shared = marks.where(F.col("kind") == SHARED).select("k", "doc_id", "tag", "place")
     many = common.checkpointed(shared.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > sorted_entries).select("k"))
     few = shared
     if not many.isEmpty():
         few = shared.join(many, "k", "left_anti")
         found = found.unionByName(_hashed_suffixes(_entries(docs, shared.join(many, "k", "left_semi"), length), length))
     found = found.unionByName(_sorted_suffixes(_entries(docs, few, length), length))
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "bytes")).alias("spans"))
+    return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "bytes")).alias("spans"))
 
 
 def cut_repeats(docs: DataFrame, length: int = 100, sorted_entries: int = 4096) -> DataFrame:
@@ -299,8 +310,7 @@ def cut_repeats(docs: DataFrame, length: int = 100, sorted_entries: int = 4096)
                 data = text.encode()
                 removed: list[dict] = []
                 if spans is not None and len(spans):
-                    mine = tag_of(data)
-                    for start, stop in sorted((s["start"], s["start"] + s["bytes"]) for s in spans if s["tag"] == mine):
+                    for start, stop in sorted((s["start"], s["start"] + s["bytes"]) for s in spans):
                         if removed and start <= removed[-1]["stop"]:
                             removed[-1]["stop"] = max(stop, removed[-1]["stop"])
                         else:

@@ -363,6 +363,35 @@ def test_repeats(spark, rows, sorted_entries, batch):
     assert len(got) == len(made)
 
 
+@pytest.mark.parametrize("sorted_entries, batch", [(4096, 10_000), (0, 7)])
+def test_repeated_rows_and_shared_ids(spark, sorted_entries, batch):
+    """Rows of equal doc_id and text are at one place of the corpus; a thousand texts of a null doc_id are told apart."""
+    draw = np.random.default_rng(9)
+    texts = ["".join(draw.choice(list("abcdefgh"), 130)) for _ in range(1000)]
+    made = [(None, t + (texts[i - 1][:110] if i % 10 == 9 else "")) for i, t in enumerate(texts)]
+    made += [(5, "".join(draw.choice(list("xyz"), 250)))] * 3 + [(6, "q" * 150)] * 2
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = repeats.cut_repeats(df, 100, sorted_entries).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    first, at = {}, lambda i, t: (i is not None, i or 0, repeats.tag_of(t.encode()))
+    for i, t in made:
+        for s in range(len(t) - 99):
+            first[t[s : s + 100]] = min(first.get(t[s : s + 100], (*at(i, t), s)), (*at(i, t), s))
+    wanted = []
+    for i, t in made:
+        gone = np.zeros(len(t), dtype=bool)
+        for s in range(len(t) - 99):
+            if first[t[s : s + 100]] < (*at(i, t), s):
+                gone[s : s + 100] = True
+        wanted.append((i, "".join(np.array(list(t))[~gone])))
+    assert sorted(((r["doc_id"], bytes(r["kept"]).decode()) for r in got), key=repr) == sorted(wanted, key=repr)
+    assert sum(r["doc_id"] == 5 and len(r["kept"]) == 250 for r in got) == 3
+
+
 def test_phrases_do_not_depend_on_segments(monkeypatch):
     data = np.random.default_rng(0).integers(97, 100, 3000).astype(np.uint8)
 
