@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from siftlake.operators.findings import walked
+
 OUT = "run string, ord long, lane_id string, ok boolean, stop string, framing string, run_tokens long"
 NONE, TOKENS, SECONDS, GLOBAL = "none", "lane_token_ceiling", "lane_wall_clock_ceiling", "global_cap"
 
@@ -23,7 +25,7 @@ class Tracker:
 
     def __init__(self, plan: dict[str, tuple[int, int]], cap: int | None, state: dict | None = None):
         self.plan, self.cap = plan, cap
-        self.state = state or {"tokens": {}, "stopped": [], "over": False}
+        self.state = state or {"tokens": {}, "stopped": {}, "over": False, "total": 0}
 
     @staticmethod
     def framing(report: dict, ceiling: float) -> str:
@@ -39,7 +41,9 @@ class Tracker:
         elif lane in state["stopped"]:
             stop = (TOKENS, "architectural_concern")
         else:
-            state["tokens"][lane] = int(report["tokens_used"])
+            latest = int(report["tokens_used"])
+            state["total"] += latest - state["tokens"].get(lane, 0)
+            state["tokens"][lane] = latest
             if lane in self.plan:
                 most, seconds = self.plan[lane]
                 if report["tokens_used"] >= most:
@@ -47,12 +51,17 @@ class Tracker:
                 elif report["seconds_elapsed"] >= seconds:
                     stop = (SECONDS, self.framing(report, seconds))
                 if stop:
-                    state["stopped"].append(lane)
-                elif self.cap is not None and sum(state["tokens"].values()) >= self.cap:
+                    state["stopped"][lane] = True
+                elif self.cap is not None and state["total"] >= self.cap:
                     state["over"] = True
                     stop = (GLOBAL, self.framing(report, 0))
-        total = sum(state["tokens"].values())
-        return (stop is None, *(stop or (NONE, None)), total)
+        return (stop is None, *(stop or (NONE, None)), state["total"])
+
+    def take(self, report: dict) -> list[tuple]:
+        return [(report["run"], report["ord"], report["lane_id"], *self.report(report))]
+
+    def close(self) -> list[tuple]:
+        return []
 
 
 def _rows(tracker: Tracker, run: str, frame: pd.DataFrame) -> pd.DataFrame:
@@ -61,8 +70,8 @@ def _rows(tracker: Tracker, run: str, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def track(reports: DataFrame, plan: dict[str, tuple[int, int]], cap: int | None = None) -> DataFrame:
-    """The tracker's answer to every report of finished runs."""
-    return reports.groupBy("run").applyInPandas(lambda frame: _rows(Tracker(plan, cap), frame["run"].iloc[0], frame), OUT)
+    """The tracker's answer to every report of finished runs. A run's reports are walked in order; a task holds the state of one run."""
+    return walked(reports, ["run"], ["ord"], lambda: Tracker(plan, cap), OUT)
 
 
 class TrackRun(StatefulProcessor):

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -85,22 +86,35 @@ def finding(title="t", lines=(1, 5), names=("injection",), **more):
     return row | more
 
 
+def lane_of(*findings):
+    lane = G.LaneFindings()
+    return lane, [lane.fold(f) for f in findings]
+
+
 def test_merge_extends_a_trace():
-    known = [finding(lines=(1, 5, 9))]
-    out, added, revised = G.merge_turn(known, [finding(lines=(1, 9, 7, 3, 3), description="longer", confidence=0.9)])
-    assert (added, revised) == (0, 1) and [s["line"] for s in out[0]["trace"]] == [1, 5, 3, 7, 9]
-    assert out[0]["trace"][0]["kind"] == "entrypoint" and out[0]["trace"][-1]["kind"] == "sink" and out[0]["classes"][0]["step"] == 4
-    assert out[0]["description"] == "longer" and out[0]["confidence"] == 0.9 and len(known[0]["trace"]) == 3
+    first = finding(lines=(1, 5, 9))
+    lane, outcomes = lane_of(first, finding(lines=(1, 9, 7, 3, 3), description="longer", confidence=0.9))
+    (known,) = lane.known
+    assert outcomes == ["added", "revised"] and [s["line"] for s in known["trace"]] == [1, 5, 3, 7, 9]
+    assert known["trace"][0]["kind"] == "entrypoint" and known["trace"][-1]["kind"] == "sink" and known["classes"][0]["step"] == 4
+    assert known["description"] == "longer" and known["confidence"] == 0.9 and len(first["trace"]) == 3
+
+
+def test_a_trace_of_one_step_gets_a_sink():
+    lane, _ = lane_of(finding(lines=(4,)), finding(lines=(2, 4, 9)))
+    assert [(s["line"], s["kind"]) for s in lane.known[0]["trace"]] == [(4, "sink"), (2, "propagation"), (9, "sink")]
 
 
 def test_merge_tells_defects_apart():
-    known = [finding()]
-    assert G.merge_turn(known, [finding(lines=(1, 8), title="other")])[1:] == (1, 0)  # one line, another title
-    assert G.merge_turn(known, [finding(lines=(1, 8))])[1:] == (0, 1)  # one line, the same title
-    assert G.merge_turn(known, [finding(names=("ssrf",))])[1:] == (1, 0)  # no class in common
-    assert G.merge_turn(known, [])[1:] == (0, 0) and G.merge_turn(*[known] * 2)[1:] == (0, 0)
-    both = G.merge_turn(known, [finding(lines=(1, 5), names=("injection", "ssrf"))])[0]
-    assert [c["class"] for c in both[0]["classes"]] == ["injection", "ssrf"]
+    assert lane_of(finding(), finding(lines=(1, 8), title="other"))[1][1] == "added"  # one line, another title
+    assert lane_of(finding(), finding(lines=(1, 8)))[1][1] == "revised"  # one line, the same title
+    assert lane_of(finding(), finding(names=("ssrf",)))[1][1] == "added"  # no class in common
+    assert lane_of(finding(), finding())[1][1] == "known"
+    lane, _ = lane_of(finding(), finding(lines=(1, 5), names=("injection", "ssrf")))
+    assert [c["class"] for c in lane.known[0]["classes"]] == ["injection", "ssrf"]
+    lane, outcomes = lane_of(finding(lines=(1, 5), title="p"), finding(lines=(2, 6, 7), title="q"), finding(lines=(1, 5, 6, 7), title="r"), finding(lines=(6, 7, 8), title="q"))
+    assert outcomes == ["added", "added", "revised", "revised"]  # equal scores go to the earlier, more lines and the title to the better
+    assert [[s["line"] for s in f["trace"]] for f in lane.known] == [[1, 6, 7, 5], [2, 6, 8, 7]]
 
 
 def test_replay_stops_at_a_turn_without_yield(spark):
@@ -115,6 +129,26 @@ def test_greedy_dedup(spark):
     assert sorted(r["finding_id"] for r in G.deduplicated(df).collect()) == ["v", "w", "z"]
 
 
+def test_greedy_dedup_equals_a_plain_scan(spark):
+    draw = np.random.default_rng(0)
+    rows = [(f"f{int(draw.integers(0, 4))}", int(draw.integers(0, 200)), float(draw.integers(0, 9)) / 10, i, str(i)) for i in range(600)]
+    kept: dict[str, list] = {}
+    seen = set()
+    for row in rows:
+        own = kept.setdefault(row[0], [])
+        if (row[0], row[1] // 15) not in seen:
+            seen.add((row[0], row[1] // 15))
+            own.append(row)
+            continue
+        for i, other in enumerate(own):
+            if abs(other[1] - row[1]) <= 15:
+                if row[2] > other[2]:
+                    own[i] = row
+                break
+    df = spark.createDataFrame(rows, "file string, line long, confidence double, ord long, finding_id string").repartition(3)
+    assert sorted(tuple(r) for r in G.deduplicated(df).collect()) == sorted(r for own in kept.values() for r in own)
+
+
 def test_outermost_blocks(spark):
     df = spark.createDataFrame([("a", 1, 10), ("a", 2, 5), ("a", 10, 12), ("a", 11, 12), ("b", 1, 1)], "file string, start long, stop long")
     assert sorted(tuple(r) for r in G.outermost(df).collect()) == [("a", 1, 10), ("a", 11, 12), ("b", 1, 1)]
@@ -129,6 +163,34 @@ def test_shards_hold_their_budget(spark):
     assert sum(used.values()) == sum(r[3] for r in rows) and all(v <= 150 for v in used.values())
 
 
+def test_shards_equal_a_plain_first_fit(spark):
+    draw = np.random.default_rng(1)
+    rows = [(f"z{i % 3}", f"d{int(draw.integers(0, 40))}", f"f{i}", int(draw.integers(1, 90)), i) for i in range(700)]
+    rows += [("z0", "wide", f"w{i}", 70, 1000 + i) for i in range(9)] + [("z1", "one", "huge", 900, 2000)]
+    expected = set()
+    for zone in ("z0", "z1", "z2"):
+        folders: dict[str, list] = {}
+        for _, folder, path, size, order in (r for r in rows if r[0] == zone):
+            folders.setdefault(folder, []).append((order, path, size))
+        shards: list[int] = []
+        for folder, files in sorted(folders.items(), key=lambda f: (-sum(x[2] for x in f[1]), min(x[0] for x in f[1]))):
+            size = sum(x[2] for x in files)
+            if size > 200 and len(files) > 1:
+                shards.append(0)
+                for _, path, own in sorted(files):
+                    if shards[-1] and shards[-1] + own > 200:
+                        shards.append(0)
+                    shards[-1] += own
+                    expected.add((zone, len(shards) - 1, folder, path, own))
+                continue
+            at = next((i for i, used in enumerate(shards) if used + size <= 200), len(shards))
+            shards[at:] = shards[at:] or [0]
+            shards[at] += size
+            expected.add((zone, at, folder, None, size))
+    got = G.packed_shards(spark.createDataFrame(rows, "zone string, dir string, path string, bytes long, ord long").repartition(3), 200).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
 REPORTS = [("r", 1, "a", 50, 1.0, False, None), ("r", 2, "a", 100, 2.0, True, 25), ("r", 3, "a", 120, 3.0, False, None), ("r", 4, "b", 10, 99.0, True, 3), ("r", 5, "b", 11, 100.0, False, None), ("r", 6, "zz", 10, 1.0, False, None), ("r", 7, "c", 500, 1.0, True, 1), ("r", 8, "d", 1, 1.0, False, None)]
 REPORT_SCHEMA = "run string, ord long, lane_id string, tokens_used long, seconds_elapsed double, nearly_done boolean, estimated_remaining long"
 PLAN = {"a": (100, 60), "b": (1000, 60), "c": (1000, 60), "d": (1000, 60)}
