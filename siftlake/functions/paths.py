@@ -32,3 +32,17 @@ def extension(path: Column) -> Column:
 def same_file(a: Column, b: Column) -> Column:
     """Equal, or one is the other's end at a slash; an empty `a` matches nothing."""
     return (a != "") & ((a == b) | a.endswith(F.concat(F.lit("/"), b)) | b.endswith(F.concat(F.lit("/"), a)))
+
+
+def resolved(path: Column) -> Column:
+    """Dots taken out: "." goes, and ".." takes the segment before it with it; at the start ".." stays, and below a leading slash it goes."""
+    rooted = path.startswith("/")
+    empty = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.try_element_at(done, F.lit(-1))
+        back = F.when(F.coalesce(up != "..", F.lit(False)), F.slice(done, F.lit(1), F.size(done) - 1)).when(rooted, done).otherwise(F.concat(done, F.array(part)))
+        return F.when(part.isin("", "."), done).when(part == "..", back).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.aggregate(F.split(path, "/"), empty, step)
+    return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(parts, "/"))

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CODE = r"\b(?:A0[1-9]|A10|API[1-9]0?|LLM0[1-9]|LLM10)\b"
 
@@ -47,22 +45,42 @@ def truncated(text: Column, most: int = 15_000, notice: str = "\n[truncated]") -
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(notice))).otherwise(text)
 
 
-@F.pandas_udf(T.StringType())
-def redact_keys(texts: pd.Series) -> pd.Series:
-    """Private-key blocks replaced by a notice of as many lines."""
-    block = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
-    return texts.str.replace(block, lambda found: "[REDACTED PRIVATE KEY]" + "\n" * found[0].count("\n"), regex=True)
-
+KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
 
-def fenced_json(text: Column) -> Column:
-    """The JSON of a model's answer: a fenced block's body, else from the first brace to the last."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(fenced != "", F.btrim(fenced, F.lit(" \t\r\n"))).when(braces != "", braces)
 
-
-def is_transient_error(message: Column) -> Column:
-    return F.coalesce(message.rlike(r"(?i)\b(429|502|503|504)\b|timeout|timed out|ECONNRESET|socket hang up|rate limit"), F.lit(False))
+def redact_keys(text: Column) -> Column:
+    """Private-key blocks replaced by a notice of as many lines."""
+    breaks = lambda block: F.length(block) - F.length(F.replace(block, F.lit("\n"), F.lit("")))
+    notice = lambda block: F.when(block.isNull(), "").otherwise(F.concat(F.lit("[REDACTED PRIVATE KEY]"), F.repeat(F.lit("\n"), breaks(block))))
+    blocks = F.regexp_extract_all(text, F.lit(KEY_BLOCK), F.lit(0))
+    return F.array_join(F.zip_with(F.split(text, KEY_BLOCK, -1), blocks, lambda rest, block: F.concat(rest, notice(block))), "")
+
+
+def fenced_json(text: Column, variant: str = "object") -> Column:
+    """The JSON of a model's answer: a fenced block's body, else what looks like JSON.
+
+    object  else from the first brace to the last; null without one
+    widest  else from the first bracket of any kind to the last of that kind; else the text, trimmed
+    opening only a fence with its own lines counts; else from the first bracket on; else "{}"
+    """
+    fence = r"(?s)```(?:json)?\s*\n(.*?)\n```" if variant == "opening" else r"(?s)```(?:json)?\s*(.*?)```"
+    fenced, bare = F.regexp_extract(text, fence, 1), F.btrim(text, F.lit(" \t\r\n"))
+    if variant == "object":
+        braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+        return F.when(fenced != "", F.btrim(fenced, F.lit(" \t\r\n"))).when(braces != "", braces)
+    if variant == "widest":
+        wide = F.regexp_extract(text, r"(?s)(\[.*\]|\{.*\})", 1)
+        return F.when(text.rlike(fence), F.btrim(fenced, F.lit(" \t\r\n"))).when(wide != "", wide).otherwise(bare)
+    if variant == "opening":
+        rest = F.regexp_extract(bare, r"(?s)[\[{].*", 0)
+        return F.when(text.rlike(fence), fenced).when(rest != "", rest).otherwise("{}")
+    raise ValueError(f"unknown variant {variant!r}")
+
+
+def is_transient_error(message: Column, status: Column | None = None) -> Column:
+    """Worth a retry: by status code, or by what the message names."""
+    named = F.coalesce(message.rlike(r"(?i)\b(429|502|503|504)\b|timeout|timed out|ECONNRESET|ETIMEDOUT|socket hang up|rate limit"), F.lit(False))
+    return named if status is None else named | F.coalesce(status.isin(429, 502, 503, 504), F.lit(False))
 
 
 def outermost_handler(handler: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlake import dims
 from siftlake.functions.text import lines
 
 TAG = r"\s*//\s*vuln-code-snippet\s+(?:start|end|vuln-line|neutral-line|hide-line|hide-start|hide-end)\b(.*)$"
@@ -33,21 +33,46 @@ def moved(files: DataFrame, moves: DataFrame) -> DataFrame:
 
 def patched(files: DataFrame, patches: DataFrame) -> DataFrame:
     """Literal replacements (path, find, put) that must each occur exactly once; `applied` is false, and the text unchanged, where one does not."""
-    listed = patches.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("find", "put"))).alias("patches"))
+    listed = patches.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("find", "put"))).alias("_patches"))
     rows = files.join(listed, "path", "left")
+    many = lambda text, word: (F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)
 
-    @F.pandas_udf("content string, applied boolean")
-    def put(contents: pd.Series, all_patches: pd.Series) -> pd.DataFrame:
-        out = []
-        for content, own in zip(contents, all_patches, strict=True):
-            new, fine = content, True
-            for patch in own if own is not None else []:
-                fine = fine and new is not None and new.count(patch["find"]) == 1
-                new = new.replace(patch["find"], patch["put"]) if fine else new
-            out.append((new if fine else content, fine))
-        return pd.DataFrame(out, columns=["content", "applied"])
-
-    return rows.withColumn("_new", put("content", "patches")).withColumns({"content": F.col("_new.content"), "applied": F.col("_new.applied")}).drop("_new", "patches")
+    def step(done: Column, patch: Column) -> Column:
+        fine = done["fine"] & F.coalesce(many(done["text"], patch["find"]) == 1, F.lit(False))
+        return F.struct(F.when(fine, F.replace(done["text"], patch["find"], patch["put"])).otherwise(done["text"]).alias("text"), fine.alias("fine"))
+
+    start = F.struct(F.col("content").alias("text"), F.lit(True).alias("fine"))
+    none = F.array().cast("array<struct<find: string, put: string>>")
+    done = F.aggregate(F.coalesce("_patches", none), start, step)
+    made = rows.withColumn("_done", done)
+    return made.withColumns({"content": F.when(F.col("_done.fine"), F.col("_done.text")).otherwise(F.col("content")), "applied": F.col("_done.fine")}).drop("_done", "_patches")
+
+
+def sink_hits(files: DataFrame, patterns: dict[str, list[str]] = dims.SINK_PATTERNS, endings: dict[str, list[str]] = dims.SINK_FILES) -> DataFrame:
+    """One row per line and pattern of calls that leave the program or run code: path, line_no, kind, pattern and the line.
+
+    Only files of a kind's endings are looked at. A call whose argument is known to be a quoted text or a setting is none.
+    """
+    line = F.col("line")
+    rows = files.select("path", F.posexplode(lines(F.col("content"))).alias("pos", "line"))
+    hits = []
+    for kind, listed in patterns.items():
+        of_kind = F.lit(False)
+        for ending in endings[kind]:
+            of_kind = of_kind | F.col("path").endswith(ending)
+        for at, pattern in enumerate(listed):
+            test = of_kind & line.rlike(pattern)
+            if not at and "(" in pattern.replace(r"\(", ""):
+                argument = F.regexp_extract(line, pattern, 1)
+                test = test & ~argument.rlike("^['\"`]") & ~argument.contains("config.get")
+            hits.append(F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(pattern).alias("pattern"))))
+    found = rows.select("path", (F.col("pos") + 1).alias("line_no"), F.trim(line).alias("snippet"), F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+    return found.select("path", "line_no", "hit.kind", "hit.pattern", "snippet")
+
+
+def is_exploit_test(title: Column, body: Column) -> Column:
+    """Whether a test case shows an attack: by a word of its title, or by an assignment of a secret in its body."""
+    return F.coalesce(title.rlike("(?i)attack|exploit|inject"), F.lit(False)) | F.coalesce(body.rlike(r"(password|token)\s*="), F.lit(False))
 
 
 def blanked_fields(files: DataFrame, field: str) -> DataFrame:

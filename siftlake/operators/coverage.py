@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlake import dims
+
 #: Verdict rules: category, flags of which one makes it present, and confidences with and without.
 VERDICT_RULES = [
     ("A01: Broken Access Control", ("has_routes",), 0.9, 0.6),
@@ -29,6 +31,40 @@ def category_verdicts(flags: DataFrame, rules: list = VERDICT_RULES) -> DataFram
     return flags.select(F.inline(F.array(*rows)))
 
 
+def tool_calling(files: DataFrame) -> DataFrame:
+    """Files (path, content) with the tools that they define for a model, whether they really call tools, and why one thinks so."""
+    has = lambda *words: F.exists(F.array(*map(F.lit, words)), lambda word: F.contains("content", word))
+    tools = F.regexp_extract_all("content", F.lit(r"(\w+):\s*tool\(\{"), F.lit(1))
+    stream, defines, executes = has("streamText("), has("tool({"), has("execute:")
+    said = [
+        (stream, F.lit("streams text from a model")),
+        (defines, F.concat(F.lit("defines "), F.size("tools").cast("string"), F.lit(" tools"))),
+        (executes, F.lit("executes tools")),
+        (has(".create(", ".update(", ".delete(", "generateCoupon"), F.lit("changes state")),
+        (has(".findAll(", ".findOne(", ".findByPk(", "find({"), F.lit("reads data")),
+    ]
+    rows = files.select("path", "content", tools.alias("tools"))
+    genuine = stream & defines & executes & (F.size("tools") > 0)
+    evidence = F.array_join(F.array_compact(F.array(*[F.when(test, text) for test, text in said])), "; ")
+    return rows.select("path", "tools", genuine.alias("genuine"), F.when(genuine, 0.95).otherwise(0.5).alias("confidence"), evidence.alias("evidence"))
+
+
+def category_list(flags: DataFrame, categories: dict[str, list] = dims.CATEGORIES) -> DataFrame:
+    """Categories to judge from one row of flags: those of an API only with has_api, those of tool calling only with has_tools."""
+    listed = [(kind, name, framework) for kind, rows in categories.items() for name, framework in rows]
+    known = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(framework).alias("framework")) for kind, name, framework in listed])
+    wanted = lambda c: (c["kind"] == "always") | ((c["kind"] == "api") & F.col("has_api")) | ((c["kind"] == "tools") & F.col("has_tools"))
+    return flags.select(F.inline(F.filter(known, wanted))).select("name", "framework")
+
+
+def universe(verdicts: DataFrame) -> DataFrame:
+    """Categories that may apply, with their code and the framework's full name."""
+    code = F.regexp_extract("name", "^([A-Za-z0-9]+):", 1)
+    full = F.expr("CASE lower(trim(framework)) WHEN 'owasp' THEN 'OWASP Top 10 2021' WHEN 'api security' THEN 'API Security Top 10' WHEN 'llm' THEN 'LLM Top 10' ELSE framework END")
+    kept = verdicts.where("verdict IN ('present', 'uncertain')")
+    return kept.select(F.when(code != "", code).otherwise(F.trim("name")).alias("code"), "name", full.alias("framework"))
+
+
 def family(code: Column) -> Column:
     """The letters of a code: A01 and A10 are of one family."""
     return F.regexp_replace(code, "[0-9]+$", "")

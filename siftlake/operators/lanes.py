@@ -50,22 +50,26 @@ def chunks(files: DataFrame, budget: int = LINE_BUDGET, overlap: int = OVERLAP,
 
 
 def lane_ids(lanes: DataFrame, order: list[str], after: DataFrame | int = 0, prefix: str = "file-", buckets: int = 256) -> DataFrame:
-    """lane_id numbered in order, from `after` + 1, at least four digits wide.
+    """lane_id numbered in order, from `after` + 1 (or from the highest id of a table of lanes), at least four digits wide.
 
     Numbering is in two levels, within ranges of the order and over the ranges, so no task holds
-    all lanes. The first column of the order must be a number.
+    all lanes. The ranges are quantiles of the first column of the order, which must be a number.
     """
-    first = order[0]
-    bounds = lanes.select(F.min(first).alias("lo"), F.max(first).alias("hi")).first()  # two numbers
-    lo, hi = bounds["lo"] or 0, bounds["hi"] or 0
-    width = max(1, (hi - lo) // buckets + 1)
-    ranged = lanes.withColumn("_range", F.floor((F.col(first) - lo) / width))
+    first = F.col(order[0])
+    cuts = lanes.select(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0]  # at most `buckets` numbers
+    cuts = sorted(set(cuts or []))
+    ranged = lanes.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < first)) if cuts else F.lit(0))
+    start = F.lit(after) if isinstance(after, int) else None
+    if start is None:
+        highest = after.agg(F.coalesce(F.max(F.regexp_extract("lane_id", "([0-9]+)$", 1).cast("long")), F.lit(0)).alias("_after"))
+        ranged, start = ranged.crossJoin(F.broadcast(highest)), F.col("_after")  # one row
     before = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     running = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("_range", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))  # at most `buckets` rows
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    number = (within + F.col("_before") + after).cast("string")
-    return ranged.join(before, "_range").withColumn("lane_id", F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.length(number), F.lit(4)), "0"))).drop("_range", "_before")
+    number = (within + F.col("_before") + start).cast("string")
+    named = ranged.join(before, "_range").withColumn("lane_id", F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.length(number), F.lit(4)), "0")))
+    return named.drop("_range", "_before", "_after")
 
 
 def pending(lanes: DataFrame, consumption: DataFrame, most: int | None = None, order: str = "ord") -> DataFrame:

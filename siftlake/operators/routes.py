@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-AUTH_WORDS = ("isAuthorized", "denyAll", "requireLogin")
+from siftlake import dims
+from siftlake.operators.ranking import first_of_group
 
 
 def handler_names(text: Column) -> Column:
@@ -15,7 +16,7 @@ def handler_names(text: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*found), lambda n: n != ""))
 
 
-def auth_of(middleware: Column, words: tuple[str, ...] = AUTH_WORDS) -> Column:
+def auth_of(middleware: Column, words: tuple[str, ...] = dims.AUTH_WORDS) -> Column:
     """The first middleware that names an authorisation check."""
     named = F.filter(middleware, lambda m: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(m, w)))
     return F.try_element_at(named, F.lit(1))
@@ -32,20 +33,61 @@ def segments(path: Column) -> Column:
 def undocumented(routes: DataFrame, documented: DataFrame) -> DataFrame:
     """Routes that no documented path matches, segment by segment; a `:name` on either side matches anything.
 
-    The join hashes on the number of segments and the first fixed one where neither side has a parameter there.
+    The join hashes on the number of segments and on the two after the root. A fixed name goes to its own key and to the
+    key that parameters of the other side go to, so two sides share a key if they match there.
     """
-    left = routes.where("method <> 'USE' AND path <> '*'").withColumn("_l", segments(F.col("path"))).withColumn("_n", F.size("_l"))
-    right = documented.select(segments(F.col("doc_path")).alias("_r")).withColumn("_m", F.size("_r")).distinct()
+
+    def keyed(rows: DataFrame, parts: str, beside_fixed: str, of_parameter: list[str]) -> DataFrame:
+        for i in (2, 3):
+            part = F.try_element_at(F.col(parts), F.lit(i))
+            keys = F.when(part.isNull(), F.array(F.lit(""))).when(part.startswith(":"), F.array(*map(F.lit, of_parameter))).otherwise(F.array(part, F.lit(beside_fixed)))
+            rows = rows.withColumn(f"_k{i}", F.explode(keys))
+        return rows.withColumn("_n", F.size(parts))
+
+    left = routes.where("method <> 'USE' AND path <> '*'")
+    paths = keyed(left.select("path").distinct().withColumn("_l", segments(F.col("path"))), "_l", ":documented", [":route", ":documented"])
+    known = keyed(documented.select(segments(F.col("doc_path")).alias("_r")).distinct(), "_r", ":route", [":documented"])
     pairs = F.zip_with("_l", "_r", lambda a, b: (a == b) | a.startswith(":") | b.startswith(":"))
-    return left.join(right, (F.col("_n") == F.col("_m")) & F.forall(pairs, lambda same: same), "left_anti").drop("_l", "_n")
+    same = (paths["_n"] == known["_n"]) & (paths["_k2"] == known["_k2"]) & (paths["_k3"] == known["_k3"]) & F.forall(pairs, lambda fits: fits)
+    return left.join(paths.join(known, same, "left_semi").select("path").distinct(), "path", "left_anti").select(*routes.columns)
+
+
+def words_of(*texts: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", *texts), F.lit(r"[A-Za-z0-9_$]+"), F.lit(0)))
 
 
 def routes_of_files(routes: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Routes whose handler text has an exported symbol of a file as a whole word: an equi-join on the words."""
-    words = routes.withColumn("name", F.explode(F.array_distinct(F.regexp_extract_all("handler", F.lit(r"[A-Za-z0-9_$]+"), F.lit(0)))))
+    """Routes whose handler or middleware has an exported symbol of a file as a whole word: an equi-join on the words."""
+    words = routes.withColumn("name", F.explode(words_of(F.col("handler"), F.array_join("middleware", " "))))
     return words.join(symbols.select("file", "name"), "name").drop("name").distinct()
 
 
+def registered_in(routes: DataFrame, targets: DataFrame, most: int | None = None) -> DataFrame:
+    """Routes that each target file registers: its path is the route's file, or its end after a slash.
+
+    Every end of a route's file is a key, so the test is an equi-join. Per target, hand-written routes and middleware
+    apart, unguarded ones come first, then by line; `auth` says none where there is none.
+    """
+    parts = F.split(F.col("file"), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts) - n + 1), "/"))
+    bare = is_unguarded(F.col("auth"))
+    kind = F.when(F.col("method") == "USE", "middleware").otherwise("handler")
+    rows = routes.select("*", F.explode(ends).alias("target")).join(targets.select(F.col("path").alias("target")).distinct(), "target")
+    shown_rows = rows.withColumns({"kind": kind, "_bare": F.when(bare, 0).otherwise(1), "auth": F.when(bare, "none").otherwise(F.col("auth"))})
+    return first_of_group(shown_rows, ["target", "kind"], ["_bare", "line", "ord"], most or (1 << 31) - 1).drop("_bare")
+
+
+def backed_files(truth: DataFrame, symbols: DataFrame, routes: DataFrame) -> DataFrame:
+    """Files of ground truth that a route stands behind: an exported symbol is the first part of its handler or of a word of its
+    middleware. `routes` of each, and whether all say who may call."""
+    first = lambda text: F.substring_index(text, ".", 1)
+    tokens = F.filter(F.split(F.translate(F.array_join("middleware", " "), "(),", "   "), r"\s+"), lambda word: word != "")
+    named = routes.select("ord", "auth", F.explode(F.array_distinct(F.array_compact(F.concat(F.array(first(F.col("handler"))), F.transform(tokens, first))))).alias("name"))
+    files = truth.select("file").distinct().join(symbols.select("file", "name").distinct(), "file")
+    met = files.join(named.where("name <> ''"), "name").select("file", "ord", "auth").distinct()
+    return met.groupBy("file").agg(F.count("*").alias("routes"), F.min(F.col("auth").isNotNull()).alias("all_guarded"))
+
+
 def crud_of_files(crud: DataFrame, symbols: DataFrame) -> DataFrame:
     """Auto-CRUD models met by an exported symbol or by the file's own name: the union of two equi-joins."""
     by_name = crud.join(symbols.select("file", F.col("name").alias("model")), "model").select("model", "file")
@@ -56,9 +98,9 @@ def crud_of_files(crud: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def shown(routes: DataFrame, most: int = 15) -> DataFrame:
     """Per file, unguarded routes first, at most `most`, with the number of those left out."""
-    order = Window.partitionBy("file").orderBy(F.when(is_unguarded(F.col("auth"), ("", "null")), 0).otherwise(1), "ord")
-    ranked = routes.withColumn("rank", F.row_number().over(order)).withColumn("dropped", F.greatest(F.count("*").over(Window.partitionBy("file")) - most, F.lit(0)))
-    return ranked.where(F.col("rank") <= most)
+    unguarded = routes.withColumn("_bare", F.when(is_unguarded(F.col("auth"), ("", "null")), 0).otherwise(1))
+    counts = routes.groupBy("file").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("dropped"))
+    return first_of_group(unguarded, ["file"], ["_bare", "ord"], most).drop("_bare").join(counts, "file")
 
 
 def match_distribution(counts: DataFrame, n: str = "n") -> DataFrame:

@@ -89,18 +89,26 @@ def checkpoint_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.resumed(before, steps.where("provider = 'R' AND lane_id % 2 = 0").drop("provider"))
 
 
-_TAGGED = "concat('a = 1 // vuln-code-snippet vuln-line key', ord % 5, '\\n// vuln-code-snippet start one two\\nb\\n', ord)"
-_TAGGED_SQL = "concat('a = 1', chr(10), 'b', chr(10), ord)"
+_TAGGED = "concat(content, {n}, 'a = 1 // vuln-code-snippet vuln-line key', ord % 5, {n}, '// vuln-code-snippet start one two', {n}, 'b', {n}, ord)"
+_TAG_SQL = K.TAG.replace("'", "''")
+_TAGGED_LINES = V.with_views("v_file", "t AS (SELECT path, " + _TAGGED.format(n="chr(10)") + " AS c FROM v_file)")
 
 
-@query(V.with_views("v_file", f"SELECT path, {_TAGGED_SQL} AS content FROM v_file"))
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.files(spark, sf_dir).select("path", F.expr(_TAGGED.format(n="'\\n'")).alias("content"))
+
+
+@query(f"""{_TAGGED_LINES} SELECT path, array_to_string([regexp_replace(l, '{_TAG_SQL}', '') FOR l IN string_split(c, chr(10)) IF NOT (regexp_matches(l, '{_TAG_SQL}') AND trim(regexp_replace(l, '{_TAG_SQL}', '')) = '')], chr(10)) AS content FROM t""")
 def corpus_strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.stripped_tags(V.files(spark, sf_dir).select("path", F.expr(_TAGGED).alias("content")))[0].select("path", "content")
+    return K.stripped_tags(_tagged(spark, sf_dir))[0].select("path", "content")
 
 
-@query(V.with_views("v_file", "SELECT path, 1 AS line_no, [concat('key', ord % 5)] AS keys FROM v_file UNION ALL SELECT path, 2, ['one', 'two'] FROM v_file"))
+@query(
+    f"""{_TAGGED_LINES}, l AS (SELECT path, unnest(string_split(c, chr(10))) AS line, generate_subscripts(string_split(c, chr(10)), 1)::INT AS line_no FROM t)
+SELECT path, line_no, list_filter(string_split_regex(trim(regexp_extract(line, '{_TAG_SQL}', 1)), '\\s+'), lambda k: k <> '') AS keys FROM l WHERE regexp_matches(line, '{_TAG_SQL}')"""
+)
 def corpus_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.stripped_tags(V.files(spark, sf_dir).select("path", F.expr(_TAGGED).alias("content")))[1]
+    return K.stripped_tags(_tagged(spark, sf_dir))[1]
 
 
 @query(V.with_views("v_file", "SELECT path, CASE WHEN dir = 'src1' THEN concat('public/one/', substring(path, 6)) WHEN dir LIKE 'src1%' THEN NULL WHEN dir = 'src2' THEN concat('private/', substring(path, 6)) END AS moved_to FROM v_file"))
@@ -109,7 +117,7 @@ def corpus_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.moved(V.files(spark, sf_dir).select("path"), moves).select("path", "moved_to")
 
 
-_MANIFEST = """to_json(named_struct('dependencies', map('express', concat('^', ord % 5), concat('lib', ord % 7), '1.0'), 'devDependencies', map('jwt-simple', '0.5')))"""
+_MANIFEST = """to_json(named_struct('description', content, 'dependencies', map('express', concat('^', ord % 5), concat('lib', ord % 7), '1.0'), 'devDependencies', map('jwt-simple', '0.5')))"""
 
 
 @query(V.with_views("v_file", "SELECT 'express' AS name, concat('^', ord % 5) AS version, count(*) AS files FROM v_file GROUP BY 2 UNION ALL SELECT concat('lib', ord % 7), '1.0', count(*) FROM v_file GROUP BY 1 UNION ALL SELECT 'jwt-simple', '0.5', count(*) FROM v_file"))
@@ -118,47 +126,133 @@ def dependency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.dependencies(manifests).groupBy("name", "version").agg(F.count("*").alias("files"))
 
 
-@query("SELECT true AS angular, false AS react, true AS vue")
+#: Dependency names and paths made of every row, with the words that are looked for among them.
+_NAME = "CASE WHEN p_size = 7 THEN 'vue' WHEN p_size = 9 THEN 'react-dom' WHEN p_size = 11 THEN 'express' ELSE p_name END"
+_PATH = "CASE ord % 50 WHEN 3 THEN 'src/index.ts' WHEN 7 THEN 'server.ts' WHEN 9 THEN concat(dir, '/angular.json') ELSE path END"
+
+
+def _names_and_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return V.table(spark, sf_dir, "part").select(F.expr(_NAME).alias("name")), V.files(spark, sf_dir).select(F.expr(_PATH).alias("path"))
+
+
+@query(
+    V.with_views(
+        "v_file",
+        f"""n AS (SELECT {_NAME} AS name FROM part), p AS (SELECT {_PATH} AS path FROM v_file)
+SELECT EXISTS (SELECT 1 FROM n WHERE name = '@angular/core') OR EXISTS (SELECT 1 FROM p WHERE path = 'angular.json' OR ends_with(path, '/angular.json')) AS angular, EXISTS (SELECT 1 FROM n WHERE name = 'react') AS react, EXISTS (SELECT 1 FROM n WHERE name = 'vue') AS vue""",
+    )
+)
 def frontend_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([("vue",), ("react-dom",)], "name string")
-    return K.frontend_frameworks(names, spark.createDataFrame([("frontend/angular.json",), ("src/a.ts",)], "path string"))
+    return K.frontend_frameworks(*_names_and_paths(spark, sf_dir))
 
 
-@query("SELECT 'server.ts' AS entry")
+@query(
+    V.with_views(
+        "v_file",
+        f"""n AS (SELECT {_NAME} AS name FROM part), p AS (SELECT DISTINCT {_PATH} AS path FROM v_file), c AS (SELECT path, list_position(['app.ts', 'app.js', 'server.ts', 'server.js', 'index.ts', 'index.js', 'src/app.ts', 'src/index.ts'], path) AS rank FROM p)
+SELECT arg_min(path, rank) AS entry FROM c WHERE rank > 0 AND EXISTS (SELECT 1 FROM n WHERE name = 'express') HAVING count(*) > 0""",
+    )
+)
 def express_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([("express",), ("jwt",)], "name string")
-    return K.entry_file(names, spark.createDataFrame([("src/index.ts",), ("server.ts",), ("lib/app.ts",)], "path string"))
+    return K.entry_file(*_names_and_paths(spark, sf_dir))
 
 
-_ROUTE = "concat('app.get(\\'/p', ord % 9, '/:id\\', security.isAuthorized(), handlers.f', ord % 4, '())')"
+_ROUTED = "concat(content, {n}, 'app.', CASE ord % 3 WHEN 0 THEN 'get' WHEN 1 THEN 'post' ELSE 'use' END, '({q}/p', ord % 9, '/:id{q}, security.isAuthorized(), handlers.f', ord % 4, '())')"
+_CALL = r"""\b(?:app|router)\.(get|post|put|patch|delete|use|all)\s*\(\s*[''"]([^''"]+)[''"]\s*,\s*(.+?)\)\s*;?\s*$"""
 
 
-@query(V.with_views("v_file", "SELECT 'GET' AS method, concat('/p', ord % 9, '/:id') AS route, concat('handlers.f', ord % 4, '()') AS handler, count(*) AS files FROM v_file GROUP BY 2, 3"))
+@query(
+    V.with_views(
+        "v_file",
+        "t AS (SELECT path, " + _ROUTED.format(n="chr(10)", q="''") + " AS c FROM v_file), l AS (SELECT path, unnest(string_split(c, chr(10))) AS line, generate_subscripts(string_split(c, chr(10)), 1)::INT AS line_no FROM t)"
+        + f" SELECT path AS file, line_no, upper(regexp_extract(line, '{_CALL}', 1)) AS method, regexp_extract(line, '{_CALL}', 2) AS route, trim(regexp_extract(regexp_extract(line, '{_CALL}', 3), '([^,]*)$', 1)) AS handler FROM l WHERE regexp_matches(line, '{_CALL}')",
+    )
+)
 def approximate_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = V.files(spark, sf_dir).select("path", F.expr(_ROUTE).alias("content"))
-    return K.approximate_routes(code).groupBy("method", "route", "handler").agg(F.count("*").alias("files"))
+    code = F.expr(_ROUTED.format(n="'\\n'", q="\\'"))
+    return K.approximate_routes(V.files(spark, sf_dir).select("path", code.alias("content"))).select("file", "line_no", "method", "route", "handler")
 
 
-_SINKS = {"outbound": r"\b(?:fetch|axios|request)\s*\(\s*[^'\"\s)]", "injection": r"\b(?:eval|exec|Function)\s*\("}
+_CALLS = ["await fetch(url)", 'await fetch("/fixed")', 'await fetch(config.get("x"))', "axios(opts); eval(x)", "http.get(u)", "new Function(body)", "pug.compile(t)", "nothing"]
+_CALLED_SQL = "concat(content, chr(10), '  ', list_extract([" + ", ".join(f"'{c}'" for c in _CALLS) + "], CAST((ord // 8) % 8 AS INT) + 1), ' ')"
+_HITS_SQL = []
+for _kind, _listed in dims.SINK_PATTERNS.items():
+    for _at, _pattern in enumerate(_listed):
+        _where = "(" + " OR ".join(f"ends_with(path, '{e}')" for e in dims.SINK_FILES[_kind]) + f") AND regexp_matches(line, '{_pattern}')"
+        if _kind == "outbound" and not _at:
+            _where += f" AND NOT regexp_matches(regexp_extract(line, '{_pattern}', 1), '^[''\"`]') AND NOT contains(regexp_extract(line, '{_pattern}', 1), 'config.get')"
+        _HITS_SQL.append(f"SELECT path, line_no, '{_kind}' AS kind, '{_pattern}' AS pattern, trim(line) AS snippet FROM l WHERE {_where}")
 
 
-@query(V.with_views("v_file", "SELECT path, 1 AS line_no, CASE ord % 3 WHEN 0 THEN 'outbound' ELSE 'injection' END AS kind FROM v_file WHERE ord % 3 < 2"))
+@query(V.with_views("v_file", f"t AS (SELECT path, {_CALLED_SQL} AS c FROM v_file), l AS (SELECT path, unnest(string_split(c, chr(10))) AS line, generate_subscripts(string_split(c, chr(10)), 1)::INT AS line_no FROM t) " + " UNION ALL ".join(_HITS_SQL)))
 def sink_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.expr("element_at(array('fetch(url)', 'eval(x)', 'fetch(\"/fixed\")'), cast(ord % 3 AS int) + 1)")
-    return R.grep(V.files(spark, sf_dir).select("path", code.alias("content")), _SINKS)
+    call = F.element_at(F.array(*map(F.lit, _CALLS)), (F.floor(F.col("ord") / 8) % 8).cast("int") + 1)
+    return K.sink_hits(V.files(spark, sf_dir).select("path", F.concat("content", F.lit("\n  "), call, F.lit(" ")).alias("content")))
 
 
-@query(V.with_views("v_file", "SELECT path, CASE WHEN ord % 3 = 1 THEN concat('x', ord, ' new') ELSE CASE ord % 3 WHEN 0 THEN concat('x', ord, ' none') ELSE concat('x', ord, ' old old') END END AS content, ord % 3 = 1 AS applied FROM v_file"))
+_TOOLS = ["x: tool({ execute: f }) streamText(m) db.findAll(q)", "a: tool({}), b: tool({}) streamText(", "streamText(", "User.update(x)"]
+_TOOL_SQL = (
+    "t AS (SELECT path, concat(content, chr(10), list_extract([" + ", ".join(f"'{t}'" for t in _TOOLS) + r"], CAST(ord % 4 AS INT) + 1)) AS c FROM v_file), u AS (SELECT path, c, regexp_extract_all(c, '(\w+):\s*tool\(\{', 1) AS tools FROM t), "
+    "g AS (SELECT *, contains(c, 'streamText(') AND contains(c, 'tool({') AND contains(c, 'execute:') AND len(tools) > 0 AS genuine FROM u)"
+)
+
+
+def _tooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.element_at(F.array(*map(F.lit, _TOOLS)), (F.col("ord") % 4).cast("int") + 1)
+    return C.tool_calling(V.files(spark, sf_dir).select("path", F.concat("content", F.lit("\n"), line).alias("content")))
+
+
+@query(
+    V.with_views(
+        "v_file",
+        f"""{_TOOL_SQL} SELECT path, tools, genuine, CASE WHEN genuine THEN 0.95::DOUBLE ELSE 0.5::DOUBLE END AS confidence, array_to_string(list_filter([
+    CASE WHEN contains(c, 'streamText(') THEN 'streams text from a model' END, CASE WHEN contains(c, 'tool({{') THEN concat('defines ', len(tools), ' tools') END, CASE WHEN contains(c, 'execute:') THEN 'executes tools' END,
+    CASE WHEN contains(c, '.create(') OR contains(c, '.update(') OR contains(c, '.delete(') OR contains(c, 'generateCoupon') THEN 'changes state' END,
+    CASE WHEN contains(c, '.findAll(') OR contains(c, '.findOne(') OR contains(c, '.findByPk(') OR contains(c, 'find({{') THEN 'reads data' END], lambda x: x IS NOT NULL), '; ') AS evidence FROM g""",
+    )
+)
+def tool_calling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files call tools of a model."""
+    return _tooled(spark, sf_dir)
+
+
+@query(
+    V.with_views(
+        "v_file",
+        f"{_TOOL_SQL}, f AS (SELECT bool_or(genuine) AS has_tools, (SELECT count(*) > 0 FROM part WHERE p_size > 50) AS has_api FROM g), c AS (SELECT * FROM "
+        + dims.sql_values([(kind, *row) for kind, rows in dims.CATEGORIES.items() for row in rows], "v(kind, name, framework)")
+        + ") SELECT name, framework FROM c, f WHERE kind = 'always' OR (kind = 'api' AND has_api) OR (kind = 'tools' AND has_tools)",
+    )
+)
+def category_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories to judge: those of tool calling, as files call tools, and not those of an API, as none is there."""
+    flags = _tooled(spark, sf_dir).agg(F.coalesce(F.bool_or("genuine"), F.lit(False)).alias("has_tools"))
+    api = V.table(spark, sf_dir, "part").agg((F.count_if(F.col("p_size") > 50) > 0).alias("has_api"))
+    return C.category_list(flags.crossJoin(api))  # one row each
+
+
+_PATCHABLE = "concat(content, {n}, CASE ord % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'OLD mark' ELSE 'OLD mark, OLD mark' END)"
+
+
+@query(
+    V.with_views(
+        "v_file",
+        "t AS (SELECT path, " + _PATCHABLE.format(n="chr(10)") + " AS c FROM v_file), n AS (SELECT *, len(string_split(c, 'OLD mark')) = 2 AND len(string_split(c, ', ')) = 2 AS applied FROM t) SELECT path, CASE WHEN applied THEN replace(replace(c, ', ', '; '), 'OLD mark', 'new') ELSE c END AS content, applied FROM n",
+    )
+)
 def corpus_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A literal patch that must occur exactly once: files where it does not are left as they are."""
-    files = V.files(spark, sf_dir).select("path", F.expr("concat('x', ord, CASE ord % 3 WHEN 0 THEN ' none' WHEN 1 THEN ' old' ELSE ' old old' END)").alias("content"))
-    return K.patched(files, files.select("path", F.lit("old").alias("find"), F.lit("new").alias("put"))).select("path", "content", "applied")
+    """Two literal patches that must each occur exactly once: files where one does not are left as they are."""
+    files = V.files(spark, sf_dir).select("path", F.expr(_PATCHABLE.format(n="'\\n'")).alias("content"))
+    wanted = F.array(F.struct(F.lit("OLD mark").alias("find"), F.lit("new").alias("put")), F.struct(F.lit(", ").alias("find"), F.lit("; ").alias("put")))
+    return K.patched(files, files.select("path", F.inline(wanted))).select("path", "content", "applied")
+
+
+_FIELDS = "concat(content, {n}, 'a: 1', {n}, '  fix: secret ', ord, {n}, '- fix: more', {n}, 'other: ', ord)"
 
 
-@query(V.with_views("v_file", "SELECT path, concat('a: 1', chr(10), '  fix: ''''', chr(10), '- fix: ''''', chr(10), 'other: ', ord) AS content FROM v_file"))
+@query(V.with_views("v_file", "SELECT path, regexp_replace(" + _FIELDS.format(n="chr(10)") + r", '(?m)^(\s*(?:- )?fix:).*$', '\1 ''''', 'g') AS content FROM v_file"))
 def corpus_blank_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.expr("concat('a: 1\\n  fix: secret ', ord, '\\n- fix: more\\nother: ', ord)")
-    return K.blanked_fields(V.files(spark, sf_dir).select("path", text.alias("content")), "fix").select("path", "content")
+    return K.blanked_fields(V.files(spark, sf_dir).select("path", F.expr(_FIELDS.format(n="'\\n'")).alias("content")), "fix").select("path", "content")
 
 
 @query(
@@ -186,10 +280,20 @@ def seed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy("lane_id").agg(F.array_sort(F.collect_list("path")).alias("seed_files"))
 
 
-@query(V.with_views("v_file", "SELECT count_if(ord % 4 = 0) > 0 AS sequelize, false AS mongoose, count_if(ord % 4 = 1) > 0 AS typeorm, count_if(ord % 4 = 2)::BIGINT AS raw_files FROM v_file"))
+_IMPORTS = ['import S from "sequelize"', 'const t = require("typeorm")', "db.query(sql)", 'import x from "./mongoose"']
+
+
+@query(
+    V.with_views(
+        "v_file",
+        "t AS (SELECT concat(content, chr(10), list_extract([" + ", ".join(f"'{i}'" for i in _IMPORTS) + "], CAST(ord % 4 AS INT) + 1)) AS c FROM v_file) SELECT "
+        + ", ".join(rf"""bool_or(regexp_matches(c, '(?:from|require\()\s*[''"]{name}[''"]')) AS {name}""" for name in ("sequelize", "mongoose", "typeorm"))
+        + r", count_if(regexp_matches(c, '\.(?:query|raw)\s*\('))::BIGINT AS raw_files FROM t",
+    )
+)
 def persistence_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.expr("""element_at(array('import S from "sequelize"', "const t = require('typeorm')", 'db.query(sql)', 'import x from "./mongoose"'), cast(ord % 4 AS int) + 1)""")
-    return K.persistence(V.files(spark, sf_dir).select("path", code.alias("content")))
+    line = F.element_at(F.array(*map(F.lit, _IMPORTS)), (F.col("ord") % 4).cast("int") + 1)
+    return K.persistence(V.files(spark, sf_dir).select("path", F.concat("content", F.lit("\n"), line).alias("content")))
 
 
 @query("WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations) SELECT conv_id, turn, CASE WHEN length(t) > 100 THEN concat(substring(t, 1, 100), chr(10), '[truncated]') ELSE t END AS section FROM t")

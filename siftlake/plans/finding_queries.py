@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftlake import dims
 from siftlake.functions import text as X
 from siftlake.functions.paths import normalized
+from siftlake.operators import corpus as K
 from siftlake.operators import findings as G
 from siftlake.plans import views as V
 from siftlake.plans.registry import query
@@ -53,23 +54,29 @@ def finding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.deduplicated(rows)
 
 
-@query()
-def trace_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of each conversation folded as findings: the lines are word counts, the title the role."""
-    talk = V.table(spark, sf_dir, "conversations")
-    lines = F.transform(F.array_sort(F.array_distinct(F.transform(F.slice(F.split("text", " "), 1, 6), lambda w: F.length(w) % 9))), lambda n: F.struct(F.lit("propagation").alias("kind"), F.lit("a.ts").alias("file"), n.cast("int").alias("line")))
-    rows = talk.where("text IS NOT NULL").select(
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each conversation as findings: a line per word of the whole text, the title the role, the description the text."""
+    talk = V.table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    line = lambda word: F.pmod(F.xxhash64(word), F.lit(997)).cast("int")
+    words = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda word: word != ""))
+    steps = F.transform(F.array_sort(F.array_distinct(F.transform(words, line))), lambda n: F.struct(F.lit("propagation").alias("kind"), F.lit("a.ts").alias("file"), n.alias("line")))
+    return talk.select(
         F.col("conv_id").cast("string").alias("lane"),
         F.col("turn").cast("int").alias("turn"),
         F.col("turn").cast("long").alias("ord"),
         F.concat_ws("-", "conv_id", "turn").alias("finding_id"),
         F.coalesce("role", F.lit("")).alias("title"),
-        F.substring("text", 1, 40).alias("description"),
+        F.col("text").alias("description"),
         (F.length("text") % 10 / 10).alias("confidence"),
-        lines.alias("trace"),
+        steps.alias("trace"),
         F.array(F.struct(F.lit("injection").alias("class"), F.lit(0).alias("step"))).alias("classes"),
     )
-    return G.merged(rows)
+
+
+@query()
+def trace_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each conversation folded as findings."""
+    return G.merged(turns(spark, sf_dir))
 
 
 @query()
@@ -80,7 +87,7 @@ def loop_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def shard_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folders of ten documents packed first-fit into shards, per source."""
+    """Folders of a hundred documents packed first-fit into shards, per source."""
     files = V.files(spark, sf_dir).select(F.col("dir").alias("zone"), F.concat("dir", F.lit("/"), F.floor(F.col("ord") / 100)).alias("dir"), "path", F.col("bytes").cast("long").alias("bytes"), "ord")
     return G.packed_shards(files, 20_000)
 
@@ -93,7 +100,7 @@ def outermost_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
-    """Cumulative reports of lanes, from events: a run per hundred users."""
+    """Cumulative reports of lanes, from events: a run per twenty users."""
     from pyspark.sql import Window
 
     events = V.table(spark, sf_dir, "events")
@@ -115,36 +122,53 @@ def budget_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.track(*_reports(spark, sf_dir), cap=5000)
 
 
-_ANSWER = """concat(CASE conv_id % 4 WHEN 0 THEN concat('Here: ', chr(96), chr(96), chr(96), 'json', chr(10), '{"a": ', turn, '}', chr(10), chr(96), chr(96), chr(96)) WHEN 1 THEN concat('I say {"b": [', turn, ']} so') WHEN 2 THEN 'no braces' ELSE '{"c": {}}' END)"""
+_ANSWER = """concat(coalesce(text, ''), CASE conv_id % 4 WHEN 0 THEN concat('Here: ', chr(96), chr(96), chr(96), 'json', chr(10), '{"a": ', turn, '}', chr(10), chr(96), chr(96), chr(96)) WHEN 1 THEN concat('I say {"b": [', turn, ']} so') WHEN 2 THEN 'no braces' ELSE '[{"c": {}}] ' END)"""
+_FENCE = "(?s)```(?:json)?\\s*(.*?)```"
+_CLEAN = "trim({}, concat(' ', chr(9), chr(10), chr(13)))"
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, {_ANSWER} AS a FROM conversations) SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN concat('{{"a": ', turn, '}}') WHEN 1 THEN concat('{{"b": [', turn, ']}}') WHEN 3 THEN '{{"c": {{}}}}' END AS json FROM t""")
+@query(
+    rf"""WITH t AS (SELECT conv_id, turn, {_ANSWER} AS a FROM conversations) SELECT conv_id, turn,
+    CASE WHEN regexp_extract(a, '{_FENCE}', 1) <> '' THEN {_CLEAN.format(f"regexp_extract(a, '{_FENCE}', 1)")} WHEN regexp_matches(a, '(?s)\{{.*\}}') THEN regexp_extract(a, '(?s)(\{{.*\}})', 1) END AS object,
+    CASE WHEN regexp_matches(a, '{_FENCE}') THEN {_CLEAN.format(f"regexp_extract(a, '{_FENCE}', 1)")} WHEN regexp_matches(a, '(?s)\[.*\]|\{{.*\}}') THEN regexp_extract(a, '(?s)(\[.*\]|\{{.*\}})', 1) ELSE {_CLEAN.format("a")} END AS widest,
+    CASE WHEN regexp_matches(a, '(?s)```(?:json)?\s*\n(.*?)\n```') THEN regexp_extract(a, '(?s)```(?:json)?\s*\n(.*?)\n```', 1) WHEN regexp_matches(a, '[\[{{]') THEN regexp_extract({_CLEAN.format("a")}, '(?s)[\[{{].*') ELSE '{{}}' END AS opening FROM t"""
+)
 def model_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", X.fenced_json(F.expr(_ANSWER)).alias("json"))
+    """The JSON of answers that follow the whole text of a turn, by the three rules."""
+    answers = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_ANSWER).alias("a"))
+    return answers.select("conv_id", "turn", *[X.fenced_json(F.col("a"), variant).alias(variant) for variant in ("object", "widest", "opening")])
 
 
-_ERRORS = ["429 Too Many", "bad schema", "status 503", "read ECONNRESET", "code 4290", "Request timed out"]
+_ERRORS = ["429 Too Many", "bad schema", "status 503", "read ECONNRESET", "code 4290", "Request timed out", "connect ETIMEDOUT 10.0.0.1"]
 
 
-@query("WITH m AS (SELECT event_id, list_extract([" + ", ".join(f"'{e}'" for e in _ERRORS) + "], CAST(event_id % 6 AS INT) + 1) AS message FROM events) SELECT message, message NOT IN ('bad schema', 'code 4290') AS transient, count(*) AS n FROM m GROUP BY 1, 2")
+@query(
+    "WITH m AS (SELECT list_extract([" + ", ".join(f"'{e}'" for e in _ERRORS) + f"], CAST(event_id % {len(_ERRORS)} AS INT) + 1) AS message, CASE user_id % 4 WHEN 0 THEN 429 WHEN 1 THEN 500 WHEN 2 THEN 504 END AS status FROM events) "
+    "SELECT message, status, message NOT IN ('bad schema', 'code 4290') OR coalesce(status IN (429, 504), false) AS transient, count(*) AS n FROM m GROUP BY 1, 2, 3"
+)
 def transient_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    message = F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % 6).cast("int") + 1)
-    rows = V.table(spark, sf_dir, "events").select(message.alias("message"))
-    return rows.groupBy("message", X.is_transient_error(F.col("message")).alias("transient")).agg(F.count("*").alias("n"))
+    message = F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % len(_ERRORS)).cast("int") + 1)
+    rows = V.table(spark, sf_dir, "events").select(message.alias("message"), F.expr("CASE user_id % 4 WHEN 0 THEN 429 WHEN 1 THEN 500 WHEN 2 THEN 504 END").alias("status"))
+    return rows.groupBy("message", "status", X.is_transient_error(F.col("message"), F.col("status")).alias("transient")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, regexp_matches(text, 'attack|exploit|inject', 'i') OR regexp_matches(text, '(password|token)\\s*=') AS exploit FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, regexp_matches(coalesce(text, ''), 'attack|exploit|inject', 'i') OR regexp_matches(coalesce(text, ''), '(password|token)\\s*=') AS exploit FROM documents")
 def exploit_test_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = V.table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", (F.col("text").rlike("(?i)attack|exploit|inject") | F.col("text").rlike(r"(password|token)\s*=")).alias("exploit"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", K.is_exploit_test(F.col("text"), F.col("text")).alias("exploit"))
 
 
-_KEY = "concat('a', chr(10), '-----BEGIN RSA PRIVATE KEY-----', chr(10), {id}, chr(10), '-----END RSA PRIVATE KEY-----', chr(10), 'b')"
+_KEYED = "concat(coalesce(text, ''), {n}, '-----BEGIN RSA PRIVATE KEY-----', {n}, repeat(concat(doc_id, {n}), cast(doc_id % 4 AS int)), '-----END RSA PRIVATE KEY-----', CASE WHEN doc_id % 3 = 0 THEN concat({n}, 'b -----BEGIN PRIVATE KEY-----x-----END PRIVATE KEY-----') ELSE '' END)"
+_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)-----END [A-Z ]*PRIVATE KEY-----"
 
 
-@query("SELECT doc_id, concat('a', chr(10), '[REDACTED PRIVATE KEY]', chr(10), chr(10), chr(10), 'b') AS redacted, 5 AS lines FROM documents")
+@query(
+    f"""WITH k AS (SELECT doc_id, {_KEYED.format(n="chr(10)")} AS t FROM documents), p AS (SELECT doc_id, string_split_regex(t, '{_BLOCK}') AS rest, regexp_extract_all(t, '{_BLOCK}') AS blocks FROM k),
+r AS (SELECT doc_id, array_to_string([concat(rest[i], CASE WHEN i <= len(blocks) THEN concat('[REDACTED PRIVATE KEY]', repeat(chr(10), len(string_split(blocks[i], chr(10))) - 1)) ELSE '' END) FOR i IN range(1, len(rest) + 1)], '') AS redacted FROM p)
+SELECT doc_id, redacted, len(string_split(redacted, chr(10)))::INT AS lines FROM r"""
+)
 def pem_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.table(spark, sf_dir, "documents").select("doc_id", X.redact_keys(F.expr(_KEY.replace("{id}", "doc_id"))).alias("redacted"))
+    """Whole texts with key blocks behind them."""
+    rows = V.table(spark, sf_dir, "documents").select("doc_id", X.redact_keys(F.expr(_KEYED.format(n="'\\n'"))).alias("redacted"))
     return rows.withColumn("lines", X.line_count(F.col("redacted")))
 
 

@@ -183,9 +183,9 @@ def coverage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.ledger(_lanes(spark, sf_dir))
 
 
-@query(_WITH(f", {_LANES} SELECT path, concat('file-', lpad((row_number() OVER (ORDER BY ord))::VARCHAR, 4, '0')) AS lane_id FROM lane WHERE ord < 9000"))
+@query(_WITH(f", {_LANES} SELECT path, concat('file-', lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INT, '0')) AS lane_id FROM (SELECT path, row_number() OVER (ORDER BY ord) AS n FROM lane)"))
 def lane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.lane_ids(_lanes(spark, sf_dir).where("ord < 9000"), ["ord"]).select("path", "lane_id")
+    return L.lane_ids(_lanes(spark, sf_dir), ["ord"]).select("path", "lane_id")
 
 
 _CHUNKS = "SELECT path, i::INT AS index, ((i - 1) * 15 + 1)::INT AS start_line, least(lines, (i - 1) * 15 + 20)::INT AS end_line FROM (SELECT *, unnest(range(1, CASE WHEN lines <= 20 THEN 2 ELSE CAST(ceil((lines - 20) / 15.0) AS INT) + 2 END)) AS i FROM v_file)"
@@ -220,12 +220,19 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.files(spark, sf_dir).select("path", X.numbered(F.col("content")).alias("numbered"))
 
 
-_EXPORTS = "concat('export const f', ord, ' = 1' || chr(10) || 'export { a as b', ord % 3, ', c }' || chr(10) || 'export default class K', ord % 2, ' {}')"
+_EXPORTED = "concat(content, {n}, 'export const f', ord, ' = 1', {n}, 'export {{ a as b', ord % 3, ', c }}', {n}, 'export default class K', ord % 2, ' {{}}')"
 
 
-@query(V.with_views("v_file", "SELECT path, [concat('f', ord), concat('K', ord % 2), concat('b', ord % 3), 'c'] AS symbols FROM v_file"))
+@query(
+    V.with_views(
+        "v_file",
+        "s AS (SELECT path, " + _EXPORTED.format(n="chr(10)") + r""" AS c FROM v_file), d AS (SELECT path, regexp_extract_all(c, 'export\s+(?:default\s+)?(?:async\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)', 1) AS declared,
+    list_transform(flatten(list_transform(regexp_extract_all(c, 'export\s*\{([^}]*)\}', 1), lambda x: string_split(x, ','))), lambda x: regexp_extract(trim(x), '([A-Za-z_$][\w$]*)$', 1)) AS listed FROM s),
+e AS (SELECT path, list_concat(declared, list_filter(listed, lambda x: x <> '')) AS names FROM d) SELECT path, list_filter(names, lambda x, i: list_position(names, x) = i) AS symbols FROM e""",
+    )
+)
 def exported_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.expr("concat('export const f', ord, ' = 1\\nexport { a as b', ord % 3, ', c }\\nexport default class K', ord % 2, ' {}')")
+    code = F.expr(_EXPORTED.format(n="'\\n'"))
     return V.files(spark, sf_dir).select("path", X.exported_symbols(code).alias("symbols"))
 
 
@@ -253,3 +260,17 @@ def preflight_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = lanes.groupBy("path").agg(F.min_by("disposition", "ord").alias("disposition"))
     reach = F.when(F.col("path").isNull(), "NO LANE").when(F.col("disposition") == "skip", "SKIPPED").otherwise("ok")
     return truth.join(first, F.col("file") == F.col("path"), "left").groupBy(reach.alias("reach")).agg(F.count("*").alias("entries"))
+
+
+@query(V.with_views("v_file", "lang AS (SELECT * FROM " + dims.sql_values([(e[1:], n) for e, n in dims.SELECTOR_LANGUAGES.items()], "v(ext, language)") + ") SELECT language, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM v_file JOIN lang USING (ext) GROUP BY 1"))
+def selector_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes of each language under the selector's wider map."""
+    return R.with_language(V.files(spark, sf_dir), dims.SELECTOR_LANGUAGES).groupBy("language").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+@query(_WITH(f", {_LANES}, old AS (SELECT max(ord + 20000) AS top FROM f WHERE ord % 2 = 0) SELECT path, concat('file-', lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INT, '0')) AS lane_id FROM (SELECT path, row_number() OVER (ORDER BY ord) + top AS n FROM lane, old WHERE ord % 2 = 1)"))
+def lane_ids_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New lanes numbered from the highest id of those that are done."""
+    lanes = _lanes(spark, sf_dir)
+    done = lanes.where("ord % 2 = 0").select(F.concat(F.lit("file-"), (F.col("ord") + 20_000).cast("string")).alias("lane_id"))
+    return L.lane_ids(lanes.where("ord % 2 = 1"), ["ord"], after=done).select("path", "lane_id")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.functions.paths import basename, resolved
+
 STEP = "struct<kind: string, file: string, line: int, description: string>"
 FINDING = f"struct<finding_id: string, title: string, description: string, verdict: string, categories: array<string>, trace: array<{STEP}>>"
 SARIF = "runs array<struct<results: array<struct<ruleId: string, message: struct<text: string>, locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>>>>>>>"
@@ -130,22 +132,41 @@ def imports(files: DataFrame) -> DataFrame:
     rows = files.select("path", F.explode(F.arrays_zip(found.alias("names"), modules.alias("module"))).alias("i"))
     names = rows.select("path", "i.module", F.explode(F.split("i.names", r"\s*,\s*")).alias("name")).where("name <> ''")
     folder = F.regexp_replace("path", r"[^/]*$", "")
-    joined = F.regexp_replace(F.concat(folder, F.regexp_replace("module", r"^\./", "")), r"[^/]+/\.\./", "")
+    joined = resolved(F.concat(folder, "module"))
     ends = F.posexplode(F.array(*map(F.lit, ["", ".ts", ".tsx", ".js", "/index.ts"])))
     tried = names.select("path", "name", joined.alias("base"), ends.alias("rank", "end")).withColumn("file", F.concat("base", "end"))
     return tried.join(files.select(F.col("path").alias("file")), "file").groupBy("path", "name").agg(F.min_by("file", "rank").alias("file"))
 
 
-def guarded(paths: DataFrame, roots: list[str], denied: DataFrame) -> DataFrame:
-    """Each path with `allowed`: below a root once dots are resolved, and not denied."""
-    clean = F.regexp_replace("path", r"/\./", "/")
-    for _ in range(8):  # each pass resolves one level of a nest of "x/.."
-        clean = F.regexp_replace(clean, r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "")
-    below = F.lit(False)
-    for root in roots:
-        below = below | (F.col("clean") == root) | F.col("clean").startswith(root.rstrip("/") + "/")
-    marked = paths.withColumn("clean", clean).join(denied.select(F.col("path").alias("clean"), F.lit(True).alias("_no")), "clean", "left")
-    return marked.withColumn("allowed", below & F.col("_no").isNull() & ~F.col("clean").contains("/../")).drop("_no")
+def dependency_names(manifests: DataFrame, name: str = "package.json", deepest: int = 3) -> DataFrame:
+    """Distinct names of the dependencies of all manifests at most `deepest` folders down."""
+    near = (basename(F.col("path")) == name) & (F.size(F.split("path", "/")) <= deepest + 1)
+    return dependencies(manifests.where(near)).select("name").distinct()
+
+
+def guarded(paths: DataFrame, roots: list[str], denied: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Each path with `allowed`: below a root once dots are resolved, and not denied.
+
+    links (path, target): symbolic links; what a path stands for must be below a root and not denied too.
+    """
+    marked = paths.withColumn("clean", resolved(F.col("path"))).withColumn("_real", F.col("clean"))
+    if links is not None:
+        known = links.select(resolved(F.col("path")).alias("clean"), resolved(F.col("target")).alias("_target"))
+        marked = marked.join(known, "clean", "left").withColumn("_real", F.coalesce("_target", "clean")).drop("_target")
+    refused = denied.select(F.col("path").alias("_real"), F.lit(True).alias("_no")).distinct()
+    marked = marked.join(refused, "_real", "left").join(refused.withColumnsRenamed({"_real": "clean", "_no": "_no_link"}), "clean", "left")
+    below = F.lit(True)
+    for name in ("clean", "_real"):
+        inside = F.lit(False)
+        for root in roots:
+            inside = inside | (F.col(name) == root) | F.col(name).startswith(root.rstrip("/") + "/")
+        below = below & inside
+    return marked.withColumn("allowed", below & F.col("_no").isNull() & F.col("_no_link").isNull()).drop("_no", "_no_link", "_real")
+
+
+def blocked(guarded_paths: DataFrame) -> DataFrame:
+    """One row: reads asked for, and those refused."""
+    return guarded_paths.agg(F.count("*").alias("reads"), F.count_if(~F.col("allowed")).alias("blocked"))
 
 
 #: Adapter of each kind of report: a function of (spark, path) that gives file, line, title and description.
