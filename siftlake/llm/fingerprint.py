@@ -10,13 +10,15 @@ the generalised Jaccard similarity of their weighted terms. The draws come from
 A fingerprint is `samples` four-digit hexadecimal numbers; likeness is the share of equal ones.
 
 neighbour_fingerprints compares each text with the next document's in descending doc_id. The rows
-are range-partitioned by doc_id and walked in order with one row of look-ahead; only the first row
-of each range is sent twice, to be the look-ahead of the range before. The driver sees one doc_id
-per range.
+are dealt to ranges of (doc_id, hash of the text), cut from a sample in proportion to the ranges, and
+walked in order with one row of look-ahead; only the first row of each range is sent twice, to be the
+look-ahead of the range before. The driver sees `SAMPLED` sampled pairs of numbers and one first row a
+range. Many rows of one doc_id, null above all, are cut by their hash.
 
 Defined results: null and empty texts have no terms: their fingerprint is of the empty set, all
-equal; null doc_ids come last; equal doc_ids are ordered by text; other columns are ignored; one
-row is its own next document; an empty table gives no rows.
+equal; null doc_ids come last; equal doc_ids are ordered by a 64-bit hash of the text; very long texts
+are fingerprinted as a whole, a block of terms at a time; other columns are ignored; one row is its
+own next document; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -152,32 +154,63 @@ NEIGHBOUR_SCHEMA = T.StructType(
 )
 
 
+#: Sampled pairs a range, from which the ranges are cut.
+SAMPLED = 64
+
+
+def range_of(cuts: np.ndarray, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The number of cuts (rows of key and hash, in descending key and ascending hash) that come before or at each pair."""
+    down = -cuts[:, 0] - 1  # descending keys as ascending numbers, without overflow
+    own = -keys - 1
+    first, last = np.searchsorted(down, own, side="left"), np.searchsorted(down, own, side="right")
+    for key in np.unique(keys[last > first]):  # keys at which a cut falls
+        at = np.flatnonzero(keys == key)
+        some = slice(first[at[0]], last[at[0]])
+        first[at] += np.searchsorted(cuts[some, 1], hashes[at], side="right")
+    return first
+
+
 def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
-    """doc_id, text, range and spare: rows in ranges of descending doc_id; each range ends with spare
-    rows, the first doc_id of the next range (of the first range, at the very end)."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(rows.select(F.percentile_approx(key, shares, 10_000)).first()[0] or [])) if shares else []
-    at = F.lit(len(cuts))
-    if cuts:  # the number of cuts that are at least the key: descending ranges
-        at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut >= key))
-    rows = rows.withColumn("range", at.cast("int"))
-    heads = {r["range"]: r["head"] for r in rows.groupBy("range").agg(F.max(key).alias("head")).collect()}  # a number per range
-    order = sorted(heads)
-    before = {now: last for last, now in zip(order, order[1:], strict=False)} | ({order[0]: order[-1]} if order else {})
-    is_head = F.array_contains(F.array(*map(F.lit, heads.values())), key) if heads else F.lit(False)
-    pairs = [F.lit(x) for pair in before.items() for x in pair]
-    spare = F.when(is_head, F.try_element_at(F.create_map(*pairs), F.col("range"))) if heads else F.lit(None).cast("int")
-    own = F.struct(F.col("range"), F.lit(0).alias("spare"))
-    twice = F.array(own, F.struct(spare.alias("range"), F.lit(1).alias("spare")))
-    return rows.select("doc_id", "text", F.explode(F.when(spare.isNull(), F.array(own)).otherwise(twice)).alias("to")).select("doc_id", "text", "to.range", "to.spare")
+    """doc_id, text, key, hash, range and spare: rows in ranges of descending doc_id; each range ends with spare rows, the
+    first of the next range (the first range's, at the very end)."""
+    text = common.text_or_empty(docs)
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), key.alias("key"), F.xxhash64(text).alias("hash"))
+    share = min(1.0, SAMPLED * ranges / max(1, docs.count()))
+    drawn = rows.where(F.pmod(F.xxhash64("key", "hash", F.lit(11)), F.lit(1 << 32)) < share * (1 << 32)).select("key", "hash").toArrow()
+    some = np.stack([drawn["key"].to_numpy(), drawn["hash"].to_numpy()], axis=1).astype(np.int64)
+    some = some[np.lexsort((some[:, 1], -some[:, 0] - 1))]
+    places = np.unique(np.arange(1, ranges) * len(some) // ranges)
+    cuts = np.unique(np.column_stack([-some[places, 0] - 1, some[places, 1]]), axis=0) if len(some) else np.empty((0, 2), dtype=np.int64)
+    cuts[:, 0] = -cuts[:, 0] - 1
+
+    @F.pandas_udf("int")
+    def ranged(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(range_of(cuts, keys.to_numpy(), hashes.to_numpy()))
+
+    first = rows.groupBy(ranged("key", "hash").alias("range")).agg(F.max(F.struct("key", F.bitwise_not("hash"))).alias("head")).select("range", "head.*").toArrow()
+    found = sorted(zip(*(first.column(i).to_pylist() for i in range(3)), strict=True))  # one row a range
+    head = np.full((len(cuts) + 1, 3), -1, dtype=np.int64)  # key, hash and the range before
+    for i, (at, head_key, turned) in enumerate(found):
+        head[at] = head_key, ~turned, found[i - 1][0]
+
+    @F.pandas_udf("struct<range: int, spare: int>")
+    def placed(keys: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        k, h = keys.to_numpy(), hashes.to_numpy()
+        at = range_of(cuts, k, h)
+        is_head = (head[at, 0] == k) & (head[at, 1] == h)
+        return pd.DataFrame({"range": at, "spare": pd.Series(head[at, 2]).where(pd.Series(is_head)).astype("Int64")})
+
+    at = rows.withColumn("at", placed("key", "hash"))
+    own = F.struct(F.col("at.range").alias("range"), F.lit(0).alias("spare"))
+    twice = F.array(own, F.struct(F.col("at.spare").alias("range"), F.lit(1).alias("spare")))
+    both = at.select("doc_id", "text", "key", "hash", F.explode(F.when(F.col("at.spare").isNull(), F.array(own)).otherwise(twice)).alias("to"))
+    return both.select("doc_id", "text", "key", "hash", "to.range", "to.spare")
 
 
 def neighbour_fingerprints(docs: DataFrame, samples: int = SAMPLES, ranges: int | None = None) -> DataFrame:
-    spark = docs.sparkSession
-    ranges = ranges or min(1000, common.shuffle_partitions(spark))
-    dealt = in_ranges(docs, ranges).repartitionByRange(ranges, "range").sortWithinPartitions("range", "spare", F.desc_nulls_last("doc_id"), "text")
+    ranges = ranges or common.shuffle_partitions(docs.sparkSession)
+    dealt = in_ranges(docs, ranges).repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "spare", F.desc("key"), "hash")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = WeightedSampler(samples)

@@ -58,7 +58,7 @@ def test_empty_tables_give_no_rows(spark, empty):
 
 def test_neighbour_fingerprints(docs, rows):
     got = fingerprint.neighbour_fingerprints(docs, ranges=5).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), repeats.tag_of((r[1] or "").encode())))
     expected = []
     for (doc_id, text, _), (_, after, _) in zip(order, order[1:] + order[:1], strict=True):
         text, after = text or "", after or ""
