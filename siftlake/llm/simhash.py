@@ -4,8 +4,14 @@ Texts are reduced to 64-bit fingerprints of their word shingles. Distinct finger
 to the shards of a vantage-point tree: at a node, a fingerprint within the node's radius of its
 vantage point goes to the inner side, and one beyond radius - max_bits to the outer side, so those
 near the boundary go to both and, by the triangle inequality, any two fingerprints within max_bits
-of each other meet in a shard. The tree is built from at most `sample` fingerprints taken in order
-of hash; it only steers the dealing, so every fingerprint is compared whatever the sample.
+of each other meet in a shard. The tree is built from a sample of the fingerprints, in proportion to
+the shards wanted and at most `sample`; it only steers the dealing, so every fingerprint is compared
+whatever the sample.
+
+Each split sends a share of its rows to both sides, about a fifth where fingerprints are random, so
+the rows dealt grow with the number of splits. Shards are therefore as large as a task holds with
+ease, `MOST_SHARD` fingerprints of eight bytes, and smaller only as far as all tasks are to have work;
+vantage points are chosen by what both sides will cost together.
 
 A shard that holds more than `shard_rows` is split into blocks, and each pair of blocks becomes a
 cell, so no task holds more than two blocks. Within a cell the tree goes on, down to leaves that
@@ -32,6 +38,8 @@ from siftlake.llm import common
 from siftlake.llm.components import roots
 
 LEAF_PAIRS = 384
+LEAST_SHARD, MOST_SHARD = 1 << 15, 1 << 22
+COST = 1.3
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -70,6 +78,7 @@ class Tree:
     def __init__(self, points: np.ndarray, max_bits: int, leaf_points: int, seed: int = 1):
         self.max_bits = max_bits
         self.nodes: dict[int, tuple[np.uint64, int]] = {}
+        self.leaves: dict[int, int] = {}  # numbers of the leaves
         draw = np.random.default_rng(seed)
         waiting = [(1, points)]
         while waiting:
@@ -78,14 +87,16 @@ class Tree:
                 self.nodes[at] = node
                 inner, outer = sides(own, node, max_bits)
                 waiting += [(2 * at, own[inner]), (2 * at + 1, own[outer])]
+            else:
+                self.leaves[at] = len(self.leaves)
 
     def deal(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Leaves and the places of the points that go there."""
+        """Numbers of the leaves and the places of the points that go there."""
         waiting = [(1, np.arange(len(points)))]
         while waiting:
             at, places = waiting.pop()
-            if at not in self.nodes:
-                yield at, places
+            if at in self.leaves:
+                yield self.leaves[at], places
             elif len(places):
                 inner, outer = sides(points[places], self.nodes[at], self.max_bits)
                 waiting += [(2 * at, places[inner]), (2 * at + 1, places[outer])]
@@ -97,17 +108,18 @@ def sides(points: np.ndarray, node: tuple[np.uint64, int], max_bits: int) -> tup
 
 
 def best_node(points: np.ndarray, max_bits: int, draw: np.random.Generator, tries: int = 6) -> tuple[np.uint64, int] | None:
-    """The vantage point and radius, of a few tried, whose larger side is smallest; None if no side is smaller than the whole by a tenth."""
-    best, least = None, 0.9 * len(points)
+    """The vantage point and radius, of a few tried, whose sides cost least together; None if none leaves both sides smaller by a tenth.
+
+    A side costs its size to the power of `COST`, so an overlap counts as well as the larger side.
+    """
     some = points if len(points) <= 4096 else points[:: len(points) // 2048]
+    best, least = None, np.inf
     for point in points[draw.integers(0, len(points), tries)]:
-        counts = np.bincount(np.bitwise_count(some ^ point), minlength=65)
-        up_to = np.cumsum(counts)
-        for radius in range(64):
-            beyond = len(some) - (up_to[radius - max_bits] if radius >= max_bits else 0)
-            larger = max(up_to[radius], beyond) * len(points) / len(some)
-            if larger < least:
-                best, least = (point, radius), larger
+        inner = np.cumsum(np.bincount(np.bitwise_count(some ^ point), minlength=65)).astype(np.float64)
+        outer = len(some) - np.concatenate([np.zeros(max_bits), inner[: 65 - max_bits]])
+        cost = np.where(np.maximum(inner, outer) < 0.9 * len(some), inner**COST + outer**COST, np.inf)
+        if cost.min() < least:
+            best, least = (point, int(cost.argmin())), cost.min()
     return best
 
 
@@ -140,15 +152,18 @@ def forest(points: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return points[moved], points[tops[moved]]
 
 
-def links(prints: DataFrame, max_bits: int = 2, sample: int = 50_000, shard_rows: int = 32_768) -> DataFrame:
+def links(prints: DataFrame, max_bits: int = 2, sample: int = 1 << 17, shard_rows: int | None = None) -> DataFrame:
     """Edges (a, b) of a spanning forest of the links among distinct fingerprints `fp`.
 
-    sample: most fingerprints from which the tree is built. shard_rows: most rows of a block.
+    sample: most fingerprints, about, from which the tree is built. shard_rows: most rows of a block.
     """
     total = prints.count()
-    drawn = prints.orderBy(F.xxhash64("fp")).limit(sample).collect()  # at most `sample` numbers
-    points = np.array([row["fp"] for row in drawn], dtype=np.int64).view(np.uint64)
-    leaf_points = max(16, math.floor(len(points) * shard_rows / 2 / max(1, total)))
+    if shard_rows is None:
+        shard_rows = max(LEAST_SHARD, min(MOST_SHARD, total // 16))
+    wanted = min(sample, max(1 << 14, 128 * total // shard_rows))
+    drawn = prints.where(F.pmod(F.xxhash64("fp", F.lit(17)), F.lit(1 << 32)) < min(1.0, wanted / max(1, total)) * (1 << 32))
+    points = np.sort(drawn.select("fp").toArrow()["fp"].to_numpy().astype(np.int64)).view(np.uint64)  # about `wanted` numbers
+    leaf_points = max(16, math.floor(0.75 * len(points) * shard_rows / max(1, total)))
     tree = Tree(points, max_bits, leaf_points)
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,9 +171,9 @@ def links(prints: DataFrame, max_bits: int = 2, sample: int = 50_000, shard_rows
             fp = batch["fp"].to_numpy(dtype=np.int64)
             for leaf, places in tree.deal(fp.view(np.uint64)):
                 if len(places):
-                    yield pd.DataFrame({"leaf": str(leaf), "fp": fp[places]})
+                    yield pd.DataFrame({"leaf": leaf, "fp": fp[places]})
 
-    shards = common.checkpointed(prints.select("fp").mapInPandas(dealt, "leaf string, fp long"))
+    shards = common.checkpointed(prints.select("fp").mapInPandas(dealt, "leaf long, fp long"))
     blocks = shards.groupBy("leaf").agg(F.ceil(F.count("*") / shard_rows).alias("blocks"))
     cells = shards.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("fp", F.lit(3)), "blocks"))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
