@@ -9,7 +9,8 @@ two arrays of equal length, so they can be stored, exploded and joined as column
 Frames are transformed in blocks, so memory beside the media itself is bounded. One pass over the
 input, no shuffle; equal payloads give equal bytes and codes.
 
-Defined results: null and empty texts are a payload of padding alone; rows with equal or null
+Defined results: null and empty texts are a payload of padding alone; a very long text is one payload,
+whose spectrum is taken block by block; rows with equal or null
 doc_id are stored as rows of their own; other columns are ignored; an empty table gives no rows.
 """
 
@@ -131,4 +132,6 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sha2(media, 256) AS media_sha256",
         "concat(size(peak_codes), ':', md5(concat(array_join(peak_times, ','), ';', array_join(peak_codes, ',')))) AS feature",
         "cast(size(peak_codes) as long) AS n_peak_pairs",
+        "peak_times",
+        "peak_codes",
     )
