@@ -194,5 +194,5 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda column: F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
-    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return spans.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
