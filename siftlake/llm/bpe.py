@@ -2,7 +2,7 @@
 
 The ids are those of tokenizers' file `byte_bpe_50k.json`; texts without its special token are
 encoded from the same vocabulary's rank file, which gives the same ids several times faster
-(tests/llm/test_tokens.py holds the two against each other).
+(tests/llm/test_operators.py holds the two against each other).
 """
 
 from __future__ import annotations

@@ -17,11 +17,14 @@ def text_or_empty(df: DataFrame, name: str = "text") -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where none is set (local tests) a temporary folder."""
+    """The session's spark.checkpoint.dir; only where none is set and driver and executors are one process a temporary folder."""
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if not known.isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
         known = context._jsc.sc().getCheckpointDir()
     return known.get()
 

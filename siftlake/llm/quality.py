@@ -10,7 +10,8 @@ Labels, language, source and doc_id are never inputs of a score.
 
 Defined results: null and empty texts have the statistics of an empty text and get a score like
 any other; rows with equal or null doc_id are scored as rows of their own; labels other than 0 and
-1, and null ones, are not learnt from; where a class has no training row, every score is the share
+1, and null ones, are not learnt from, repeated ones count once, and a document with both labels counts
+for both; where a class has no training row, every score is the share
 of label 1 (0.5 without labels); other columns are ignored; an empty table gives no rows.
 """
 
@@ -144,7 +145,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
         if sums:
             yield pd.DataFrame({"label": list(sums), "part": [list(v) for v in sums.values()]}).astype({"label": "int64"})
 
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1))
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1)).distinct()
     training = stats.where(~is_held_out()).join(marked, "doc_id").select("quality", "x")
     parts = training.mapInPandas(moments, "label long, part array<double>").select("label", F.posexplode("part").alias("at", "value"))
     found: dict[int, np.ndarray] = {}
