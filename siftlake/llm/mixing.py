@@ -11,8 +11,10 @@ takes its block r mod n, where n is the number of its blocks. Points of such a s
 interval evenly, so each source's count stays within a few slots of its share at every length.
 
 Positions in a stream and ranks of slots are prefix sums in two levels (within chunks of bounded
-size, then over the chunks), so that no task orders a whole source. The driver sees one row per
-source, at most `max_sources`.
+size, then over the chunks), so that no task orders a whole source. Up to `max_sources` sources the
+driver computes the targets and the sources' table is broadcast; more are numbered by ranges, get
+their targets by sums over the table and their slots by a join on cells of the schedule's points, and
+nothing of them but counts reaches the driver.
 
 Defined results: null and empty texts have size 0 and none is taken of them; null is a source of
 its own; rows with equal or null doc_id are rows of their own; other columns are ignored; an empty
@@ -56,6 +58,19 @@ def targets(sizes: list[int], weights: tuple[int, ...] = (1, 2, 3), cap: float =
     return out
 
 
+def golden_points(slots: np.ndarray) -> np.ndarray:
+    """The points of slots as 64-bit fractions."""
+    return slots.astype(np.uint64) * np.uint64(GOLDEN)
+
+
+def ranked(slots: DataFrame, counts: DataFrame) -> DataFrame:
+    """slot, ix and rank, from slots (chunk, ix, slot, within) and the number of slots of each chunk and source."""
+    before = Window.partitionBy("ix").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("chunk", "ix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # Catalyst takes a map's output to be as small as its input, here a range of chunks, and would broadcast it.
+    return slots.join(offsets.hint("merge"), ["chunk", "ix"]).select("slot", "ix", (F.col("offset") + F.col("within")).alias("rank"))
+
+
 def schedule(spark: SparkSession, shares: list[float], n_slots: int) -> DataFrame:
     """slot, ix (the source's number) and rank of the slot among its source's."""
     ends = np.cumsum(np.asarray(shares, dtype=np.float64) / sum(shares))
@@ -64,8 +79,7 @@ def schedule(spark: SparkSession, shares: list[float], n_slots: int) -> DataFram
 
     def sources(chunk: int) -> np.ndarray:
         begin = chunk * SLOTS_A_CHUNK
-        slots = np.arange(begin, min(begin + SLOTS_A_CHUNK, n_slots), dtype=np.uint64)
-        return np.searchsorted(bounds, slots * np.uint64(GOLDEN), side="right")
+        return np.searchsorted(bounds, golden_points(np.arange(begin, min(begin + SLOTS_A_CHUNK, n_slots))), side="right")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,7 +88,7 @@ def schedule(spark: SparkSession, shares: list[float], n_slots: int) -> DataFram
                 ix = np.flatnonzero(counts)
                 yield pd.DataFrame({"chunk": chunk, "ix": ix, "n": counts[ix]})
 
-    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for chunk in batch["chunk"]:
                 ix = sources(chunk)
@@ -82,12 +96,36 @@ def schedule(spark: SparkSession, shares: list[float], n_slots: int) -> DataFram
                 slots["within"] = slots.groupby("ix").cumcount()
                 yield slots
 
-    before = Window.partitionBy("ix").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = chunks.mapInPandas(counted, "chunk long, ix int, n long")
-    offsets = counts.select("chunk", "ix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    slots = chunks.mapInPandas(ranked, "slot long, chunk long, ix int, within long")
-    # Catalyst takes a map's output to be as small as its input, here a range of chunks, and would broadcast it.
-    return slots.join(offsets.hint("merge"), ["chunk", "ix"]).select("slot", "ix", (F.col("offset") + F.col("within")).alias("rank"))
+    return ranked(chunks.mapInPandas(numbered, "slot long, chunk long, ix long, within long"), chunks.mapInPandas(counted, "chunk long, ix long, n long"))
+
+
+def joined_schedule(known: DataFrame, n_slots: int, cell_rows: int = 4096) -> DataFrame:
+    """The same for any number of sources (ix, share): points and the sources' intervals meet in cells, where each point takes the
+    last interval that begins before it."""
+    spark = known.sparkSession
+    chunk = F.expr("ix div 65536")
+    whole = known.agg(F.sum("share").alias("share"), F.count("*").alias("n")).first()
+    cells = 1 + (n_slots + whole["n"]) // cell_rows
+    running = lambda *by: Window.partitionBy(*by).orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)
+    sums = known.groupBy(chunk.alias("chunk")).agg(F.sum("share").alias("share"))  # a row for 65,536 sources
+    sums = sums.select("chunk", F.coalesce(F.sum("share").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    laid = known.withColumn("chunk", chunk).join(sums, "chunk").withColumn("start", F.col("before") + F.coalesce(F.sum("share").over(running("chunk")), F.lit(0.0)))
+    cell = lambda point: F.least(F.floor(point * cells), F.lit(cells - 1)).cast("long")
+    laid = laid.where("share > 0").select("ix", (F.col("start") / whole["share"]).alias("start"), ((F.col("start") + F.col("share")) / whole["share"]).alias("stop"))
+    begins = laid.select("ix", "start", F.explode(F.sequence(cell(F.col("start")), cell(F.col("stop")))).alias("cell"))
+    begins = begins.select("cell", F.greatest("start", F.col("cell") / cells).alias("point"), F.lit(-1).cast("long").alias("slot"), "ix")
+
+    def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            slots = batch["slot"].to_numpy()
+            yield pd.DataFrame({"slot": slots, "point": (golden_points(slots) >> np.uint64(11)) / 2.0**53})
+
+    drawn = spark.range(0, n_slots).toDF("slot").mapInPandas(points, "slot long, point double")
+    rows = drawn.select(cell(F.col("point")).alias("cell"), "point", "slot", F.lit(None).cast("long").alias("ix")).unionByName(begins)
+    last = F.last("ix", ignorenulls=True).over(Window.partitionBy("cell").orderBy("point", "slot", "ix").rowsBetween(Window.unboundedPreceding, 0))
+    slots = common.checkpointed(rows.withColumn("ix", last).where("slot >= 0").select("slot", "ix", F.expr(f"slot div {SLOTS_A_CHUNK}").alias("chunk")))
+    within = F.row_number().over(Window.partitionBy("ix", "chunk").orderBy("slot")) - 1
+    return ranked(slots.withColumn("within", within.cast("long")), slots.groupBy("chunk", "ix").agg(F.count("*").alias("n")))
 
 
 def size_of(text: Column) -> Column:
@@ -99,30 +137,64 @@ def sized_documents(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"))
 
 
+def numbered_sources(sources: DataFrame) -> DataFrame:
+    """Sources with their place `ix` in order of code point, null last, for any number of them."""
+    n = common.shuffle_partitions(sources.sparkSession)
+    ordered = F.asc_nulls_last("source")
+    placed = common.checkpointed(sources.repartitionByRange(n, ordered).sortWithinPartitions(ordered).withColumn("at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    counts = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # a row a partition
+    before = np.concatenate([[0], np.cumsum([counts.get(i, 0) for i in range(max(counts, default=0) + 1)])]).tolist()
+    return placed.withColumn("ix", F.get(F.array(*map(F.lit, before)), part.cast("int")) + within).drop("at")
+
+
+def joined_targets(sources: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
+    """targets() for any number of numbered sources: the level, words a weight, rises until no source is newly above its cap."""
+    weight = F.get(F.array(*map(F.lit, weights)), (F.col("ix") % len(weights)).cast("int"))
+    rows = sources.withColumn("weight", weight)
+    total = float(rows.agg(F.sum("size").alias("n")).first()["n"] or 0)
+    level, capped = 0.0, -1
+    while True:
+        over = F.lit(level) * F.col("weight") > cap * F.col("size")
+        now = rows.agg(F.count_if(over).alias("n"), F.coalesce(F.sum(F.when(over, cap * F.col("size"))), F.lit(0.0)).alias("words"), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0)).alias("free")).first()
+        if now["n"] == capped or not now["free"]:
+            break
+        level, capped = (total - now["words"]) / now["free"], now["n"]
+    return rows.withColumn("target", F.when(over, cap * F.col("size")).otherwise(F.lit(level) * F.col("weight")).cast("double")).drop("weight")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block_words: int = 1024, least_slots: int = 256, max_sources: int = 100_000) -> DataFrame:
     """Per document: source, size, source_size, target and taken.
 
     block_words: most words of a block; sources with a small target get smaller blocks, so that
-    `least_slots` slots make it up and the target is still met closely.
+    `least_slots` slots make it up and the target is still met closely. max_sources: above that many
+    sources the same is done by joins instead of on the driver.
     """
     spark = docs.sparkSession
     sized = common.checkpointed(sized_documents(docs))
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["size"] for r in rows]
-    goal = targets(sizes, weights, cap)
-    block = [max(1, min(block_words, int(t) // least_slots)) for t in goal]
-    blocks = [-(-s // b) for s, b in zip(sizes, block, strict=True)]
-    chunks_of = [-(-r["docs"] // DOCS_A_CHUNK) for r in rows]
-    table = [(r["source"], i, s, t, b, n, c) for i, (r, s, t, b, n, c) in enumerate(zip(rows, sizes, goal, block, blocks, chunks_of, strict=True))]
-    # At most max_sources rows, so it may be broadcast.
-    known = F.broadcast(spark.createDataFrame(table, "source string, ix int, source_size long, target double, block_words int, n_blocks long, n_chunks long"))
+    sources = common.checkpointed(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")))
+    few = sources.count() <= max_sources
+    if few:
+        rows = sorted(sources.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))  # at most max_sources rows
+        goal = targets([r["size"] for r in rows], weights, cap)
+        aimed = spark.createDataFrame([(*r, i, t) for i, (r, t) in enumerate(zip(rows, goal, strict=True))], "source string, size long, docs long, ix long, target double")
+    else:
+        aimed = joined_targets(numbered_sources(sources), weights, cap)
+    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.expr(f"cast(floor(target) as long) div {least_slots}"))).cast("int")
+    known = aimed.withColumn("block_words", block).select(
+        "source",
+        "ix",
+        F.col("size").alias("source_size"),
+        "target",
+        "block_words",
+        F.expr("(size + block_words - 1) div block_words").alias("n_blocks"),
+        F.expr(f"(docs + {DOCS_A_CHUNK - 1}) div {DOCS_A_CHUNK}").alias("n_chunks"),
+        (F.col("target") / F.col("block_words")).alias("share"),
+    )
+    known = F.broadcast(known) if few else common.checkpointed(known)  # few: at most max_sources rows
     named = sized.join(known.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
     empty = named.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    shares = [t / b for t, b in zip(goal, block, strict=True)]
-    n_slots = round(sum(shares))
+    n_slots = round(known.agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("n")).first()["n"])
     if not n_slots:
         return empty
 
@@ -136,7 +208,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     pieces = laid.withColumn("block", F.explode(F.expr("sequence(start div block_words, (start + size - 1) div block_words)")))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("block_words")) - F.greatest("start", F.col("block") * F.col("block_words"))
 
-    slots = schedule(spark, shares, n_slots).join(known.select("ix", "n_blocks"), "ix").where("n_blocks > 0")
+    if few:
+        slots = schedule(spark, [r["share"] for r in known.orderBy("ix").collect()], n_slots)
+    else:
+        slots = joined_schedule(known.select("ix", "share"), n_slots)
+    slots = slots.join(known.select("ix", "n_blocks"), "ix").where("n_blocks > 0")
     times = slots.where(F.col("rank") < cap * F.col("n_blocks")).groupBy("ix", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
     taken = pieces.join(times.hint("merge"), ["ix", "block"], "left").withColumn("taken", words * F.coalesce("times", F.lit(0)))
     full = taken.groupBy("doc_id", "source", "size", "source_size", "target", "ix", "start").agg(F.sum("taken").cast("long").alias("taken"))
