@@ -35,6 +35,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame, rows: int = 50_000) -> tuple[DataFrame, int]:
+    """The table cut off by a checkpoint, in as many partitions as its rows fill, and their number.
+
+    Rounds over a table that shrinks (edges, links) would else go on with all partitions of the first shuffle.
+    """
+    kept = checkpointed(df)
+    n = kept.count()
+    return kept.coalesce(1 + n // rows), n
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

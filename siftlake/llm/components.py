@@ -8,33 +8,30 @@ from pyspark.sql import functions as F
 from siftlake.llm import common
 
 
-def roots(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def roots(edges: DataFrame) -> DataFrame:
     """node and root for every node of edges (a, b): nodes are connected if their roots are equal.
 
     In each round every node joins the neighbour that comes first in an order drawn anew for the
     round, edges are carried over to what their ends joined, and edges within one node go; so the
-    graph shrinks by a fixed share a round, whatever its shape. Both tables are cut off by
+    graph shrinks by a fixed share a round, whatever its shape, until no edge is left. Both tables are cut off by
     checkpoint each round. Minima are pre-aggregated before the shuffle; joins on a hub are left
     to adaptive execution, which splits them.
     """
-    edges = common.checkpointed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = None
-    for turn in range(most_rounds):
-        if edges.isEmpty():
-            break
+    edges, left = common.gathered(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found, turn = None, 0
+    while left:
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
         order = lambda name: F.struct(F.xxhash64(F.col(name), F.lit(turn)).alias("o"), F.col(name).alias("n"))  # noqa: B023, E731
         joined = both.groupBy("node").agg(F.min(order("other")).alias("best")).select("node", F.least(order("node"), "best")["n"].alias("to"))
-        joined = common.checkpointed(joined)
+        joined, _ = common.gathered(joined)
         if found is None:
             found = joined.select("node", F.col("to").alias("root"))
         else:
             moved = joined.select(F.col("node").alias("root"), "to")
             found = found.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        found = common.checkpointed(found)
+        found, _ = common.gathered(found)
         ends = lambda name: joined.select(F.col("node").alias(name), F.col("to").alias(f"{name}_to"))  # noqa: B023, E731
         carried = edges.join(ends("a"), "a").join(ends("b"), "b").where("a_to <> b_to")
-        edges = common.checkpointed(carried.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        edges, left = common.gathered(carried.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+        turn += 1
     return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
