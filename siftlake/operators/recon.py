@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,29 +76,47 @@ def required_word(pattern: str) -> str:
     return max(re.findall(r"[A-Za-z_-]+", re.sub(r".[?*]", " ", bare)), key=len, default="")
 
 
-def has_any(content: Column, patterns: list[str], lower: Column | None = None) -> Column:
-    """Whether one of the patterns is found. Each is searched for only where its required word is, which is a plain search and rules most texts out.
+def word_finder(words: list[str]) -> Callable[[Column], Column]:
+    """A column function from text to those of the words that it holds.
 
-    lower: the content in lower case, for a caller that asks for many patterns.
+    One walk of an automaton over Arrow batches: for the hundred words of the signals that took a tenth of the time of as
+    many `contains`, and of one regular expression over all of them.
+    """
+
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word in words:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for texts in batches:
+            yield pd.Series([sorted({word for _, word in automaton.iter(text)}) for text in texts])
+
+    return lambda text: found(F.coalesce(text, F.lit("")))
+
+
+def has_any(content: Column, patterns: list[str], found: Column) -> Column:
+    """Whether one of the patterns is found. Each is searched for only where its required word is, which rules most texts out.
+
+    found: the required words that the content holds in lower case.
     """
-    lower = F.lower(content) if lower is None else lower
     out = F.lit(False)
     for pattern in patterns:
-        free, word = pattern.startswith("(?i)"), required_word(pattern)
-        test = content.rlike(pattern)
-        if word:
-            inside = F.contains(lower, F.lit(word.lower())) if free else F.contains(content, F.lit(word))
-            test = inside if word == pattern.removeprefix("(?i)") else inside & test
-        out = out | test
+        word = required_word(pattern)
+        test = F.contains(content, F.lit(word)) if word == pattern else content.rlike(pattern)
+        out = out | (F.array_contains(found, word.lower()) & test if word else test)
     return out
 
 
 def signals(files: DataFrame, handler_names: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """path and signals. Manifests and config files have that signal alone; the others are independent."""
-    content = F.col("content")
-    lower = F.col("_lower")
-    flags = [F.when(has_any(content, patterns, lower), F.lit(name)) for name, patterns in dims.SIGNAL_PATTERNS.items()]
-    dynamic = has_any(content, dims.DYNAMIC_EXEC, lower) | (content.rlike(r"exec\s*\(") & ~content.rlike(r"exec\s*\(\s*\)"))
+    content, words = F.col("content"), F.col("_words")
+    called = r"exec\s*\("
+    needed = {required_word(p).lower() for p in [*itertools.chain(*dims.SIGNAL_PATTERNS.values()), *dims.DYNAMIC_EXEC, called]} - {""}
+    flags = [F.when(has_any(content, patterns, words), F.lit(name)) for name, patterns in dims.SIGNAL_PATTERNS.items()]
+    dynamic = has_any(content, dims.DYNAMIC_EXEC, words) | (has_any(content, [called], words) & ~content.rlike(r"exec\s*\(\s*\)"))
     flags.append(F.when(dynamic, F.lit("dynamic_exec")))
     found = files
     if handler_names is not None:  # a file that exports a route's handler
@@ -104,7 +125,7 @@ def signals(files: DataFrame, handler_names: DataFrame | None = None, strict: bo
         flags.insert(0, F.col("_route"))
     by_content = F.array_compact(F.array(*flags))
     alone = F.when(is_manifest(F.col("path"), strict), F.array(F.lit("dep_manifest"))).when(is_config(F.col("path")), F.array(F.lit("config_file")))
-    return found.withColumn("_lower", F.lower("content")).select("path", F.coalesce(alone, by_content).alias("signals"))
+    return found.withColumn("_words", word_finder(sorted(needed))(F.lower("content"))).select("path", F.coalesce(alone, by_content).alias("signals"))
 
 
 def escape_hatches(files: DataFrame, snippet: int = 200) -> DataFrame:

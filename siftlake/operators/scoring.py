@@ -25,10 +25,6 @@ def file_join(left: DataFrame, right: DataFrame, left_file: str, right_file: str
     return joined.drop("_a", "_a_name", "_b", "_b_name")
 
 
-def finding_codes(steps: DataFrame) -> DataFrame:
-    return steps.groupBy("finding_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
-
-
 def with_aliases(rows: DataFrame, class_code: DataFrame, codes: str = "codes") -> DataFrame:
     """codes widened to all codes of every class that they touch; codes without a class stay.
 
@@ -41,18 +37,21 @@ def with_aliases(rows: DataFrame, class_code: DataFrame, codes: str = "codes") -
     return rows.crossJoin(F.broadcast(one)).withColumn(codes, widened).drop("_kin")  # one row
 
 
-def judged_pairs(steps: DataFrame, truth: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+def judged_pairs(steps: DataFrame, truth: DataFrame, class_code: DataFrame | None = None) -> DataFrame:
     """One row per entry and finding that meet in a file: the least distance, and whether they share a code.
 
+    The steps are read once: a finding's places and codes are gathered in one aggregation, and its places meet the
+    entries of their file with both sides' codes beside them. class_code widens the findings' codes by their classes.
     A step without a line meets its file but has no distance.
     """
-    entries = truth.select("key", F.col("file").alias("_file"), F.col("line").alias("_line"))
-    met = file_join(steps.select("finding_id", "file", "line"), entries, "file", "_file")
-    least = met.groupBy("key", "finding_id").agg(F.min(F.abs(F.col("line") - F.col("_line"))).alias("delta"))
-    found = codes if codes is not None else finding_codes(steps)
-    wanted = truth.select("key", F.col("codes").alias("_wanted"))
-    both = least.join(found, "finding_id").join(wanted, "key")
-    return both.select("key", "finding_id", "delta", F.arrays_overlap("codes", "_wanted").alias("same_code"))
+    place = F.struct(normalized(F.col("file")).alias("_a"), F.col("line").alias("line"))
+    found = steps.groupBy("finding_id").agg(F.collect_set(place).alias("_places"), F.array_sort(F.collect_set("code")).alias("codes"))
+    if class_code is not None:
+        found = with_aliases(found, class_code)
+    placed = found.select("finding_id", "codes", F.inline("_places")).withColumn("_name", basename(F.col("_a")))
+    entries = truth.select("key", normalized(F.col("file")).alias("_b"), F.col("line").alias("_line"), F.col("codes").alias("_wanted")).withColumn("_b_name", basename(F.col("_b")))
+    met = placed.join(entries, (F.col("_name") == F.col("_b_name")) & same_file(F.col("_a"), F.col("_b")))
+    return met.groupBy("key", "finding_id").agg(F.min(F.abs(F.col("line") - F.col("_line"))).alias("delta"), F.max(F.arrays_overlap("codes", "_wanted")).alias("same_code"))
 
 
 def verdicts(truth: DataFrame, pairs: DataFrame, within: int = LOCALIZED_WITHIN) -> DataFrame:
