@@ -44,12 +44,22 @@ def finding_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ord", "drop_reason", F.transform("classes", lambda c: c["class"]).alias("classes"), F.transform("classes", lambda c: c["step"].cast("long")).alias("steps"))
 
 
-@query()
+#: A list's rows are folded one after another: {kept: sinks kept so far, seen: their buckets}.
+_DEDUP = """s AS (SELECT file, {line: line::BIGINT, confidence: l_quantity / 50, ord: (((finding_id * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey)::BIGINT, finding_id: finding_id::VARCHAR} AS x FROM v_step),
+l AS (SELECT file, list({kept: [x], seen: [x.line // 15]} ORDER BY x.ord) AS rows FROM s GROUP BY 1),
+r AS (SELECT file, list_reduce(rows, lambda acc, x: CASE WHEN NOT list_contains(acc.seen, x.seen[1]) THEN {kept: list_concat(acc.kept, x.kept), seen: list_concat(acc.seen, x.seen)}
+    WHEN x.kept[1].confidence > acc.kept[list_position([abs(k.line - x.kept[1].line) <= 15 FOR k IN acc.kept], true)].confidence
+    THEN {kept: [CASE WHEN i = list_position([abs(k.line - x.kept[1].line) <= 15 FOR k IN acc.kept], true) THEN x.kept[1] ELSE acc.kept[i] END FOR i IN range(1, len(acc.kept) + 1)], seen: acc.seen} ELSE acc END).kept AS kept FROM l),
+u AS (SELECT file, unnest(kept) AS k FROM r) SELECT file, k.line AS line, k.confidence::DOUBLE AS confidence, k.ord AS ord, k.finding_id AS finding_id FROM u"""
+
+
+@query(V.with_views("v_step", _DEDUP))
 def finding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy de-duplication of each file's sinks; the order is that of all seven lineitem columns."""
+    """Greedy de-duplication of each file's sinks, in order of finding, line, part and supplier."""
     steps = V.finding_steps(spark, sf_dir)
+    place = ((F.col("finding_id") * 8 + F.col("ord.l_linenumber")) * 100_000 + F.col("ord.l_partkey")) * 10_000 + F.col("ord.l_suppkey")
     rows = steps.select(
-        normalized(F.col("file")).alias("file"), F.col("line").cast("long").alias("line"), (F.col("ord.l_quantity") / 50).alias("confidence"), F.xxhash64("finding_id", "ord").alias("ord"), F.col("finding_id").cast("string").alias("finding_id")
+        normalized(F.col("file")).alias("file"), F.col("line").cast("long").alias("line"), (F.col("ord.l_quantity") / 50).alias("confidence"), place.cast("long").alias("ord"), F.col("finding_id").cast("string").alias("finding_id")
     )
     return G.deduplicated(rows)
 
@@ -92,7 +102,13 @@ def shard_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.packed_shards(files, 20_000)
 
 
-@query()
+#: {kept: blocks kept so far, e: the end of the last}.
+_OUTERMOST = """b AS (SELECT DISTINCT file, line AS start, line + finding_id % 40 AS stop FROM v_step), l AS (SELECT file, list({kept: [{start: start, stop: stop}], e: stop} ORDER BY start, stop DESC) AS blocks FROM b GROUP BY 1),
+r AS (SELECT file, list_reduce(blocks, lambda acc, x: CASE WHEN x.kept[1].start > acc.e THEN {kept: list_concat(acc.kept, x.kept), e: x.e} ELSE acc END).kept AS kept FROM l), u AS (SELECT file, unnest(kept) AS k FROM r)
+SELECT file, k.start::BIGINT AS start, k.stop::BIGINT AS stop FROM u"""
+
+
+@query(V.with_views("v_step", _OUTERMOST))
 def outermost_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = V.finding_steps(spark, sf_dir)
     spans = steps.select(normalized(F.col("file")).alias("file"), F.col("line").cast("long").alias("start"), (F.col("line") + F.col("finding_id") % 40).cast("long").alias("stop"))
@@ -117,7 +133,23 @@ def _reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, tup
     return rows, {f"lane-{i}": (200 + 50 * i, 30 + i) for i in range(15)}
 
 
-@query()
+#: {tokens: latest of each lane, stopped: of each lane, over: the run's cap was met, x: the report, out: answers}.
+_TRACKED = """WITH e AS (SELECT event_id, user_id // 20 AS run, CAST(user_id % 20 AS INT) AS lane, sum(CAST(floor(value) AS BIGINT)) OVER w AS tok, count(*) OVER w AS secs, event_id % 3 = 0 AS near, event_id % 200 AS left_over FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT *, CASE WHEN lane < 15 THEN 200 + 50 * lane END AS most, CASE WHEN lane < 15 THEN 30 + lane END AS longest FROM e),
+x AS (SELECT run, event_id, lane, tok::BIGINT AS tok, coalesce(tok >= most, false) AS at_tokens, coalesce(secs >= longest, false) AS at_seconds, lane < 15 AS planned, CASE WHEN near AND left_over <= 0.25 * most THEN 'bounded_ask' ELSE 'architectural_concern' END AS framing FROM f),
+l AS (SELECT run, list({tokens: [0::BIGINT FOR i IN range(20)], stopped: [false FOR i IN range(20)], over: false, x: {event_id: event_id, lane: lane, tok: tok, at_tokens: at_tokens, at_seconds: at_seconds, planned: planned, framing: framing}, out: [{ord: 0::BIGINT, lane: 0, stop: '', framing: '', total: 0::BIGINT}]} ORDER BY event_id) AS rows FROM x GROUP BY 1),
+r AS (SELECT run, list_reduce(list_prepend(rows[1], rows), lambda acc, n: CASE
+  WHEN acc.over THEN {tokens: acc.tokens, stopped: acc.stopped, over: true, x: n.x, out: list_append(acc.out, {ord: n.x.event_id, lane: n.x.lane, stop: 'global_cap', framing: 'architectural_concern', total: list_sum(acc.tokens)::BIGINT})}
+  WHEN acc.stopped[n.x.lane + 1] THEN {tokens: acc.tokens, stopped: acc.stopped, over: false, x: n.x, out: list_append(acc.out, {ord: n.x.event_id, lane: n.x.lane, stop: 'lane_token_ceiling', framing: 'architectural_concern', total: list_sum(acc.tokens)::BIGINT})}
+  ELSE {tokens: [CASE WHEN i = n.x.lane + 1 THEN n.x.tok ELSE acc.tokens[i] END FOR i IN range(1, 21)], stopped: [acc.stopped[i] OR (i = n.x.lane + 1 AND (n.x.at_tokens OR n.x.at_seconds)) FOR i IN range(1, 21)],
+    over: n.x.planned AND NOT n.x.at_tokens AND NOT n.x.at_seconds AND list_sum(acc.tokens) - acc.tokens[n.x.lane + 1] + n.x.tok >= 5000, x: n.x,
+    out: list_append(acc.out, {ord: n.x.event_id, lane: n.x.lane, stop: CASE WHEN n.x.at_tokens THEN 'lane_token_ceiling' WHEN n.x.at_seconds THEN 'lane_wall_clock_ceiling' WHEN n.x.planned AND list_sum(acc.tokens) - acc.tokens[n.x.lane + 1] + n.x.tok >= 5000 THEN 'global_cap' ELSE 'none' END,
+      framing: CASE WHEN n.x.at_tokens OR n.x.at_seconds THEN n.x.framing WHEN n.x.planned AND list_sum(acc.tokens) - acc.tokens[n.x.lane + 1] + n.x.tok >= 5000 THEN 'architectural_concern' END,
+      total: (list_sum(acc.tokens) - acc.tokens[n.x.lane + 1] + n.x.tok)::BIGINT})} END).out[2:] AS out FROM l),
+u AS (SELECT run, unnest(out) AS o FROM r) SELECT concat('run-', run) AS run, o.ord AS ord, concat('lane-', o.lane) AS lane_id, o.stop = 'none' AS ok, o.stop AS stop, o.framing AS framing, o.total AS run_tokens FROM u"""
+
+
+@query(_TRACKED)
 def budget_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.track(*_reports(spark, sf_dir), cap=5000)
 

@@ -123,6 +123,51 @@ def test_replay_stops_at_a_turn_without_yield(spark):
     assert G.merged(rows).count() == 1 and G.merged(rows, stop_at_zero_yield=False).count() == 2
 
 
+def plain_replay(turns):
+    """The rule of merging, with a scan of all known findings for each new one."""
+    known, before = [], None
+    for number, turn in enumerate(sorted({t["turn"] for t in turns})):
+        gained = False
+        for new in sorted((t for t in turns if t["turn"] == turn), key=lambda t: t["ord"]):
+            lines = [s["line"] for s in new["trace"]]
+            scores = []
+            for i, old in enumerate(known):
+                n, same = len(set(lines) & {s["line"] for s in old["trace"]}), old["title"].strip() == new["title"].strip()
+                if n and (n >= 2 or same):
+                    scores.append((-(2 * n + same), i))
+            if not scores:
+                known.append({**new, "trace": [dict(s) for s in new["trace"]], "sink": new["classes"][0]["step"]})
+                gained = True
+                continue
+            old = known[min(scores)[1]]
+            fresh = sorted(set(lines) - {s["line"] for s in old["trace"]})
+            if fresh:
+                gained, last = True, len(old["trace"]) - 1
+                old["trace"][last if last else 1 : last if last else 1] = [{"line": line} for line in fresh]
+                old["sink"] = len(old["trace"]) - 1 if old["sink"] == last else old["sink"]
+            old["description"] = max(old["description"], new["description"], key=len)
+            old["confidence"] = max(old["confidence"], new["confidence"])
+        if number and not gained:
+            break
+    return sorted((f["finding_id"], f["description"], f["confidence"], tuple(s["line"] for s in f["trace"]), f["sink"]) for f in known)
+
+
+def test_registered_merge_equals_a_plain_replay(spark):
+    from siftlake.plans import finding_queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    lanes: dict[str, list] = {}
+    for row in Q.turns(spark, folder).collect():
+        lanes.setdefault(row["lane"], []).append(row.asDict(recursive=True))
+    got: dict[str, list] = {lane: [] for lane in lanes}
+    for r in Q.trace_merge(spark, folder).collect():
+        got[r["lane"]].append((r["finding_id"], r["description"], r["confidence"], tuple(s["line"] for s in r["trace"]), r["classes"][0]["step"]))
+    expected = {lane: plain_replay(turns) for lane, turns in lanes.items()}
+    assert {lane: sorted(found) for lane, found in got.items()} == expected
+    assert {r["lane"]: (r["findings"], r["steps"]) for r in Q.loop_replay(spark, folder).collect()} == {lane: (len(f), sum(len(x[3]) for x in f)) for lane, f in expected.items()}
+    assert any(len(f) < len(lanes[lane]) for lane, f in expected.items())
+
+
 def test_greedy_dedup(spark):
     rows = [("a", 3, 0.5, 1, "x"), ("a", 14, 0.9, 2, "y"), ("a", 16, 0.1, 3, "z"), ("a", 17, 0.95, 4, "w"), ("b", 3, 0.1, 5, "v")]
     df = spark.createDataFrame(rows, "file string, line long, confidence double, ord long, finding_id string").repartition(3)
