@@ -289,6 +289,30 @@ def test_dependencies_and_imports(spark):
     assert sorted((r["name"], r["file"]) for r in adapters.imports(files).collect()) == [("f", "src/lib/h.ts"), ("g", "src/lib/h.ts"), ("n", "n.js")]
 
 
+def test_guard(spark):
+    paths = spark.createDataFrame([("/work/a/b/../../c.ts",), ("/work/" + "x/" * 12 + "../" * 12 + "d.ts",), ("/work/../etc/p",), ("/work/link",), ("/work/no",), ("/workshop/e",)], "path string")
+    links = spark.createDataFrame([("/work/link", "/etc/passwd"), ("/work/d.ts", "/work/no")], "path string, target string")
+    denied = spark.createDataFrame([("/work/no",)], "path string")
+    got = {r["clean"]: r["allowed"] for r in adapters.guarded(paths, ["/work"], denied, links).collect()}
+    assert got == {"/work/c.ts": True, "/work/d.ts": False, "/etc/p": False, "/work/link": False, "/work/no": False, "/workshop/e": False}
+    assert tuple(adapters.blocked(adapters.guarded(paths, ["/work"], denied)).first()) == (6, 3)
+    assert values(spark, [("../../a/./b//c",), ("a/..",), ("/..",)], "p string", paths_of("p")) == [("../../a/b/c",), ("",), ("/",)]
+
+
+def paths_of(name):
+    return paths.resolved(F.col(name))
+
+
+def test_dependency_names(spark):
+    rows = [("package.json", '{"dependencies": {"a": "1"}}'), ("x/y/z/package.json", '{"dependencies": {"b": "1", "a": "2"}}'), ("x/y/z/w/package.json", '{"dependencies": {"deep": "1"}}'), ("x/other.json", '{"dependencies": {"no": "1"}}')]
+    assert sorted(r["name"] for r in adapters.dependency_names(spark.createDataFrame(rows, "path string, content string")).collect()) == ["a", "b"]
+
+
+def test_imports_two_levels_up(spark):
+    files = spark.createDataFrame([("a/b/c/d.ts", "import { q } from '../../lib/q'"), ("a/lib/q.ts", "")], "path string, content string")
+    assert [(r["name"], r["file"]) for r in adapters.imports(files).collect()] == [("q", "a/lib/q.ts")]
+
+
 def test_source_scan(spark, tmp_path):
     for name in ("src/a.ts", "src/node_modules/b.ts", "src/c.txt", "Dockerfile", "dist/d.js"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
