@@ -35,6 +35,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that no table is read from any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def gathered(df: DataFrame, rows: int = 50_000) -> tuple[DataFrame, int]:
     """The table cut off by a checkpoint, in as many partitions as its rows fill, and their number.
 

@@ -2,6 +2,7 @@
 
 import collections
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -122,5 +123,8 @@ def test_mix_stage_repeats_by_target(spark, rows, sf_dir):
 
 
 def test_run(spark, sf_dir):
-    got = P.run(spark, sf_dir).collect()
+    found = P.run(spark, sf_dir)
+    got = found.collect()
+    (folder,) = {file.rsplit("/", 2)[0] for file in found.inputFiles()}
+    assert sorted(p.name for p in Path(folder.removeprefix("file:")).iterdir()) == ["pack"]  # what other stages made is gone
     assert got and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(got[0].asDict())
