@@ -14,23 +14,30 @@ FOLLOW_UP_INPUT = 1.19
 OUTPUT_PER_CALL = 718
 
 
-def at_rank(rows: DataFrame, value: str, share: float) -> DataFrame:
-    """One row: the value at place floor(n * share) of the sorted ones, counted from 0.
+def at_ranks(rows: DataFrame, value: str, shares: dict[str, float], ranges: int = 256) -> DataFrame:
+    """One row: for each name the value at place floor(n * share) of the sorted ones, counted from 0.
 
-    Works on counts per distinct value, which are pre-aggregated; the running sum sees distinct values only.
+    Works on counts per distinct value, which are pre-aggregated and summed by ranges between quantiles; only the ranges
+    that hold a place are ordered. The driver sees the quantiles.
     """
-    counts = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    place = counts.agg(F.floor(F.sum("n") * share).alias("place"))
-    running = F.sum("n").over(Window.orderBy("v"))
-    return counts.withColumn("upto", running).crossJoin(F.broadcast(place)).where("upto > place").agg(F.min("v").alias("threshold"))  # one row
+    found = rows.select(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
+    cuts = sorted(set(found or []))
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < F.col("v"))) if cuts else F.lit(0)
+    counts = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")).withColumn("_range", at)
+    sums = counts.groupBy("_range").agg(F.sum("n").alias("n"))  # at most `ranges` rows
+    every = Window.partitionBy(F.lit(1))
+    sums = sums.select("_range", F.sum("n").over(every.orderBy("_range")).alias("upto"), F.sum("n").over(every).alias("total"), "n")
+    places = F.inline(F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.col("total") * share).alias("place")) for name, share in shares.items()]))
+    wanted = sums.select("_range", "upto", "n", places).where("place >= upto - n AND place < upto").select("_range", "name", (F.col("place") - F.col("upto") + F.col("n")).alias("left"))
+    running = F.sum("n").over(Window.partitionBy("name").orderBy("v"))
+    met = counts.join(F.broadcast(wanted), "_range").withColumn("upto", running).where(F.col("upto") > F.col("left"))  # a row a share
+    return met.agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
 
 
 def plan_by_size(lanes: DataFrame) -> DataFrame:
     """Ceilings per lane from seed_bytes, and a flag on the top quartile by bytes or by files."""
     ceiling = half_up(F.col("seed_bytes") / 4 * PASS_MULTIPLIER)
-    bytes_top = at_rank(lanes, "seed_bytes", 0.75).withColumnRenamed("threshold", "_bytes")
-    files_top = at_rank(lanes, "seed_files", 0.75).withColumnRenamed("threshold", "_files")
-    out = lanes.crossJoin(F.broadcast(bytes_top)).crossJoin(F.broadcast(files_top))  # one row each
+    out = lanes.crossJoin(F.broadcast(at_ranks(lanes, "seed_bytes", {"_bytes": 0.75}))).crossJoin(F.broadcast(at_ranks(lanes, "seed_files", {"_files": 0.75})))  # one row each
     return out.withColumns(
         {
             "token_ceiling": ceiling,
@@ -103,16 +110,14 @@ def predicted_against_actual(lanes: DataFrame, by: list[str]) -> DataFrame:
 
 def size_buckets(files: DataFrame) -> DataFrame:
     """Files in five buckets bounded at the quartiles and the 90th percentile of hunted files, rounded up to KB."""
-    hunted = files.where("NOT skipped")
-    bounds = None
-    for name, share in (("b25", 0.25), ("b50", 0.5), ("b75", 0.75), ("b90", 0.9)):
-        one = at_rank(hunted, "bytes", share).select((F.ceil(F.col("threshold") / 1024) * 1024).alias(name))
-        bounds = one if bounds is None else bounds.crossJoin(one)
+    shares = {"b25": 0.25, "b50": 0.5, "b75": 0.75, "b90": 0.9}
+    places = at_ranks(files.where("NOT skipped"), "bytes", shares)
+    bounds = places.select(*[(F.ceil(F.col(name) / 1024) * 1024).alias(name) for name in shares])
     with_bounds = files.crossJoin(F.broadcast(bounds))  # one row
     bucket = F.lit(0)
-    for name in ("b25", "b50", "b75", "b90"):
+    for name in shares:
         bucket = bucket + F.when(F.col("bytes") >= F.col(name), 1).otherwise(0)
-    return with_bounds.withColumn("bucket", bucket).drop("b25", "b50", "b75", "b90")
+    return with_bounds.withColumn("bucket", bucket).drop(*shares)
 
 
 def bucket_costs(files: DataFrame, categories: int = 25, narrow: float = 1.5) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlake.functions import paths, rounding, text
+from siftlake.operators import budget as B
 from siftlake.operators import findings as G
 from siftlake.operators import lanes as L
 from siftlake.operators import recon as R
@@ -289,6 +290,14 @@ def test_dependencies_and_imports(spark):
     assert sorted((r["name"], r["file"]) for r in adapters.imports(files).collect()) == [("f", "src/lib/h.ts"), ("g", "src/lib/h.ts"), ("n", "n.js")]
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 3000])
+def test_places_of_sorted_values(spark, n):
+    values_of = np.random.default_rng(n).zipf(1.4, n).clip(0, 10**6).tolist()
+    df = spark.createDataFrame([(int(v),) for v in values_of], "v long").withColumnRenamed("v", "size").repartition(3)
+    got = B.at_ranks(df, "size", {"a": 0.25, "b": 0.75, "c": 0.9}).collect()
+    assert [tuple(r) for r in got] == [tuple(sorted(values_of)[int(n * share)] if n else None for share in (0.25, 0.75, 0.9))]
+
+
 def test_guard(spark):
     paths = spark.createDataFrame([("/work/a/b/../../c.ts",), ("/work/" + "x/" * 12 + "../" * 12 + "d.ts",), ("/work/../etc/p",), ("/work/link",), ("/work/no",), ("/workshop/e",)], "path string")
     links = spark.createDataFrame([("/work/link", "/etc/passwd"), ("/work/d.ts", "/work/no")], "path string, target string")
