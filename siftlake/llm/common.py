@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +69,15 @@ def boxed(docs: DataFrame) -> DataFrame:
 def unboxed(rows: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
     """The columns of the boxed table again, some of them replaced."""
     return rows.select(*[replaced.get(name, F.col("row")[name]).alias(name) for name in columns])
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of at most `limit` bytes of a string column, or of one row where that is longer."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            stop = min(max(at + 1, int(np.searchsorted(ends, before + limit, side="right"))), at + rows)
+            yield batch.slice(at, stop - at)
+            at = stop

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftlake.llm import attribution, fingerprint, line_dedup, media, mixing, packing, pii, quality, repeats, simhash
+from siftlake.llm import attribution, fingerprint, line_dedup, media, mixing, packing, pii, quality, repeats, runs, simhash
 
 QUERIES = {
     query.__name__: query
@@ -17,6 +17,7 @@ QUERIES = {
         attribution.op8_token_counts,
         packing.op9_pack_sequences,
         repeats.op10_repeated_strings,
+        runs.op11_periodic_runs,
     )
 }
 
