@@ -41,6 +41,10 @@ class ByteBpe:
             self._whole = Tokenizer.from_file(self._json_path)
         return np.asarray(self._whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
+    def encode_plain(self, text: str) -> np.ndarray:
+        """encode(), with the special token's string as plain text."""
+        return np.asarray(self._encoding.encode_ordinary(text), dtype="<u4")
+
     def byte_lengths(self) -> np.ndarray:
         """Bytes of text that each id stands for."""
         lengths = np.zeros(max(self._ranks.values()) + 2, dtype=np.int64)
