@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftlake.llm import alignment, attribution, fingerprint, line_dedup, media, mixing, packing, pii, quality, repeats, runs, simhash
+from siftlake.llm import alignment, attribution, collisions, fingerprint, line_dedup, media, mixing, packing, pii, quality, repeats, runs, simhash
 
 QUERIES = {
     query.__name__: query
@@ -18,6 +18,7 @@ QUERIES = {
         packing.op9_pack_sequences,
         repeats.op10_repeated_strings,
         runs.op11_periodic_runs,
+        collisions.op12_near_components,
         alignment.op13_token_alignment,
     )
 }
