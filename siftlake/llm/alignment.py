@@ -26,9 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
+import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +43,8 @@ CELL = 2_000_000
 #: Documents of a block, as bits of their number in it.
 DOC_BITS = 12
 ID_BITS = 20
-#: Chunks that an aligner remembers, and the longest one that it does.
-KEPT, LONGEST = 200_000, 64
+#: Chunks that an aligner remembers before it starts anew.
+KEPT = 200_000
 SPACE = "▁"
 
 ABOUT = "struct<doc_id: long, n_a: long, n_b: long, n_groups: long, n_links: long, groups_sha256: string, groups: string>"
@@ -56,120 +55,140 @@ SHARE = "block long, doc int, n_best long, count_sum long"
 _SHARE = pa.schema([("block", pa.int64()), ("doc", pa.int32()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
 
 
-class Chunk:
-    """Tokens of both sides, links as pairs of ids (B above A), and groups as text."""
+#: The space between two chunks: one that follows a character other than white space.
+BETWEEN = re.compile(r"(?<=\S) ")
 
-    __slots__ = ("n_a", "n_b", "pairs", "groups")
 
-    def __init__(self, n_a: int, n_b: int, pairs: np.ndarray, groups: bytes):
-        self.n_a, self.n_b, self.pairs, self.groups = n_a, n_b, pairs, groups
-
-
-def chunks_of(text: str) -> list[str]:
-    """The text cut at each space that follows a character other than white space, without that space."""
-    out, held = [], None
-    for part in text.split(" "):
-        if held is not None:
-            part = f"{held} {part}"
-        if not part or part[-1].isspace():
-            held = part
-        else:
-            out.append(part)
-            held = None
-    return out if held is None else [*out, held]
+class Aligner:
+    """Encodes chunks, each once while it is remembered, and holds what was found under the chunk's number.
 
+    n_a, n_b      tokens of each side; -1 where a side does not give the chunk back
+    begin, links  where its links stand in `pairs`, pairs of ids with B above A, and how many they are
+    groups        its groups as text
+    """
 
-class Aligner:
     def __init__(self, json_path: str | None = None, rank_path: str | None = None, piece_path: str | None = None):
         import sentencepiece
 
         self._a = bpe.load(json_path, rank_path)
-        self._lengths = self._a.byte_lengths()
         self._b = sentencepiece.SentencePieceProcessor(model_file=piece_path or bpe.vocabulary_path("piece_bpe_32k.model"))
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self._bytes = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self._lengths = self._a.byte_lengths(), np.array(list(map(len, self._bytes)), dtype=np.int64)
         self._cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self._lead = len(self._b.encode("a"))
-        self._known: dict[str, Chunk | None] = {}
-
-    def chunk(self, part: str) -> Chunk | None:
-        """A space and the part; None where a side does not give it back."""
-        data = f" {part}".encode()
-        ids_a = self._a.encode_plain(f" {part}")
-        ids_b = self._b.encode(part) if part else self._b.encode("a ")[self._lead :]
-        made = [self._bytes[i] for i in ids_b]
-        ends_a, ends_b = np.cumsum(self._lengths[ids_a]), np.cumsum(list(map(len, made)))
-        if b"".join(made) != data or ends_a[-1] != len(data):
-            return None
-        _, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        pairs = np.asarray(ids_b, dtype=np.int64)[last_b] << ID_BITS | ids_a.astype(np.int64)[last_a]
-        texts_a, texts_b = list(map(str, ids_a.tolist())), list(map(str, ids_b))
-        cuts_a, cuts_b = [0, *(last_a + 1).tolist()], [0, *(last_b + 1).tolist()]
-        groups = ";".join(
-            f"{','.join(texts_a[i:j])}|{','.join(texts_b[k:m])}" for (i, j), (k, m) in zip(itertools.pairwise(cuts_a), itertools.pairwise(cuts_b), strict=True)
-        )
-        return Chunk(len(ids_a), len(ids_b), pairs, groups.encode())
-
-    def chunks(self, text: str) -> list[Chunk] | None:
-        """The chunks of a text in order, the same object for the same chunk; None for texts without tokens."""
-        if not text:
-            return None
-        out = []
-        for part in chunks_of(text) if self._cuts else [text]:
-            found = self._known.get(part)
-            if found is None:
-                if (found := self.chunk(part)) is None:
-                    return None
-                if len(part) <= LONGEST:
-                    if len(self._known) >= KEPT:
-                        self._known.clear()
-                    self._known[part] = found
-            out.append(found)
-        return out
+        #: An id's text before another one of its group, and at the end of side A, then of side B.
+        self._ids = max(map(len, self._lengths))
+        self._texts = np.array([b"%d%c" % (i, end) for end in b",|;" for i in range(self._ids)], dtype=object)
+        self._sizes = np.array(list(map(len, self._texts)), dtype=np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.n_a = self.n_b = self.begin = self.links = self.pairs = np.empty(0, dtype=np.int64)
+        self.groups: list[bytes] = []
+
+    def numbers(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of each text's chunks, in order. What is new among them is encoded in one go."""
+        if len(self.known) > KEPT:
+            self.forget()
+        parts = [BETWEEN.split(text) if self._cuts else [text] for text in texts]
+        new = list(dict.fromkeys(p for own in parts for p in own if p not in self.known))
+        joined = [p for p in new if self._cuts and p and SPACE not in p and not p[-1].isspace()]
+        if not self._learned(joined):
+            joined = []
+        for part in set(new).difference(joined):
+            self._learned([part]) or self._put([part], [-1], [-1], [0], np.empty(0, dtype=np.int64), [b""])
+        return [[self.known[p] for p in own] for own in parts]
+
+    def _put(self, parts: list[str], n_a, n_b, links, pairs: np.ndarray, groups: list[bytes]) -> None:
+        self.known.update(zip(parts, range(len(self.groups), len(self.groups) + len(parts)), strict=True))
+        links = np.asarray(links)
+        self.begin = np.concatenate([self.begin, len(self.pairs) + np.cumsum(links) - links])
+        for name, values in (("n_a", n_a), ("n_b", n_b), ("links", links), ("pairs", pairs)):
+            setattr(self, name, np.concatenate([getattr(self, name), values]))
+        self.groups += groups
+
+    def _learned(self, parts: list[str]) -> bool:
+        """Encode a space and each part, all after another; False, and nothing learned, where a side does not give that back."""
+        if not parts:
+            return True
+        text = " ".join(parts)
+        data = f" {text}".encode()
+        ids_a = self._a.encode_plain(f" {text}").astype(np.int64)
+        ids_b = np.array(self._b.encode(text) if text else self._b.encode("a ")[self._lead :], dtype=np.int64)
+        if b"".join([self._bytes[i] for i in ids_b.tolist()]) != data:
+            return False
+        ends_a, ends_b = np.cumsum(self._lengths[0][ids_a]), np.cumsum(self._lengths[1][ids_b])
+        if ends_a[-1] != len(data):
+            return False
+        in_a, in_b = (np.zeros(len(data) + 1, dtype=bool) for _ in range(2))
+        in_a[ends_a], in_b[ends_b] = True, True
+        last_a, last_b = np.flatnonzero(in_b[ends_a]), np.flatnonzero(in_a[ends_b])
+        common, sizes = ends_a[last_a], np.array([len(p.encode()) + 1 for p in parts])
+        cuts = np.cumsum(sizes)
+        if not (in_a & in_b)[cuts].all():
+            return False
+        upto = lambda ends: np.diff(np.searchsorted(ends, cuts, side="right"), prepend=0)
+        # Groups as text: of each group A's ids, then B's, each with what stands behind it.
+        kind_a, kind_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
+        kind_a[last_a], kind_b[last_b] = 1, 2
+        group = np.concatenate([2 * np.searchsorted(common, ends_a), 2 * np.searchsorted(common, ends_b) + 1])
+        which = np.concatenate([kind_a * self._ids + ids_a, kind_b * self._ids + ids_b])[np.argsort(group, kind="stable")]
+        blob = b"".join(self._texts[which].tolist())
+        stops = np.cumsum(self._sizes[which])[np.cumsum(upto(ends_a) + upto(ends_b)) - 1].tolist()
+        groups = [blob[i : j - 1] for i, j in zip([0, *stops], stops, strict=False)]
+        self._put(parts, upto(ends_a), upto(ends_b), upto(common), ids_b[last_b] << ID_BITS | ids_a[last_a], groups)
+        return True
 
 
 def posted(batches: Iterator[pa.RecordBatch], aligner: Aligner, part_id: int, with_groups: bool = False) -> Iterator[pa.RecordBatch]:
     """For each slice of texts its posting lists, and one row of its documents."""
     for ordinal, part in enumerate(common.slices(batches, "text", rows=1 << DOC_BITS)):
-        block, about, codes, often = part_id << 32 | ordinal, [], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-        for doc, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)):
-            found = aligner.chunks(text)
-            if found is None:
+        block, ids, texts = part_id << 32 | ordinal, part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+        numbers = aligner.numbers([text for text in texts if text])
+        found, about, chunks = iter(numbers), [], []
+        for doc, (doc_id, text) in enumerate(zip(ids, texts, strict=True)):
+            own = np.array(next(found) if text else [], dtype=np.int64)
+            if not len(own) or aligner.n_a[own].min() < 0:
                 about.append((doc_id, 0, 0, 0, 0, "", ""))
                 continue
-            counted = Counter(found)
-            sizes = np.array([(c.n_a, c.n_b, len(c.pairs)) for c in counted], dtype=np.int64)
-            times = np.fromiter(counted.values(), dtype=np.int64, count=len(counted))
-            n_a, n_b, n = (times @ sizes).tolist()
-            codes.append(np.concatenate([c.pairs for c in counted]) << DOC_BITS | doc)
-            often.append(np.repeat(times, sizes[:, 2]))
-            groups = b";".join([c.groups for c in found])
-            about.append((doc_id, n_a, n_b, n, n, hashlib.sha256(groups).hexdigest(), groups.decode() if with_groups else ""))
-        code, times = np.concatenate(codes), np.concatenate(often)
-        order = np.argsort(code, kind="stable")
-        code, first = np.unique(code[order], return_index=True)
-        times = np.add.reduceat(times[order], first) if len(first) else times
-        pair, begin = np.unique(code >> DOC_BITS, return_index=True)
-        if len(pair):
-            ends = np.append(begin, len(code))
-            binary = lambda values: pa.Array.from_buffers(pa.binary(), len(pair), [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(pair), block)),
-                    pa.array((pair >> ID_BITS).astype(np.int32)),
-                    pa.array((pair & ((1 << ID_BITS) - 1)).astype(np.int32)),
-                    pa.array(np.add.reduceat(times, begin)),
-                    pa.array(np.diff(ends).astype(np.int32)),
-                    binary((code & ((1 << DOC_BITS) - 1)).astype("<u2")),
-                    binary(times.astype("<u4")),
-                    pa.nulls(len(pair), pa.list_(_ABOUT)),
-                ],
-                schema=_ARROW,
-            )
+            n = int(aligner.links[own].sum())
+            groups = b";".join([aligner.groups[i] for i in own.tolist()])
+            about.append((doc_id, int(aligner.n_a[own].sum()), int(aligner.n_b[own].sum()), n, n, hashlib.sha256(groups).hexdigest(), groups.decode() if with_groups else ""))
+            chunks.append(own << DOC_BITS | doc)
+        if chunks:
+            yield _lists(aligner, np.concatenate(chunks), block)
         rows = [dict(zip([f.name for f in _ABOUT], row, strict=True)) for row in about]
         yield pa.RecordBatch.from_pylist([{"block": block, "about": rows}], schema=_ARROW)
 
 
+def _lists(aligner: Aligner, chunks: np.ndarray, block: int) -> pa.RecordBatch:
+    """The posting lists of a block's chunks, each a chunk's number above that of its document."""
+    chunks, times = np.unique(chunks, return_counts=True)
+    number, doc = chunks >> DOC_BITS, chunks & ((1 << DOC_BITS) - 1)
+    links = aligner.links[number]
+    place = np.arange(links.sum()) + np.repeat(aligner.begin[number] - np.cumsum(links) + links, links)
+    code, times = aligner.pairs[place] << DOC_BITS | np.repeat(doc, links), np.repeat(times, links)
+    order = np.argsort(code, kind="stable")
+    code, first = np.unique(code[order], return_index=True)
+    times = np.add.reduceat(times[order], first)
+    pair, begin = np.unique(code >> DOC_BITS, return_index=True)
+    ends = np.append(begin, len(code))
+    binary = lambda values: pa.Array.from_buffers(pa.binary(), len(pair), [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+    columns = [
+        pa.array(np.full(len(pair), block)),
+        pa.array((pair >> ID_BITS).astype(np.int32)),
+        pa.array((pair & ((1 << ID_BITS) - 1)).astype(np.int32)),
+        pa.array(np.add.reduceat(times, begin)),
+        pa.array(np.diff(ends).astype(np.int32)),
+        binary((code & ((1 << DOC_BITS) - 1)).astype("<u2")),
+        binary(times.astype("<u4")),
+        pa.nulls(len(pair), pa.list_(_ABOUT)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+
+
 def dealt(held: dict[int, int], groups: int = GROUPS, cell: int = CELL) -> list[tuple[int, int, int]]:
     """B id, first cell and number of cells: ids in groups of about equal postings, as many cells a group as it fills."""
     heap, members = [(0, g) for g in range(groups)], [[] for _ in range(groups)]

@@ -96,12 +96,16 @@ def test_small_cells_and_whole_texts_give_the_same(spark, rows, sides, monkeypat
     assert all(hashlib.sha256(r["groups"].encode()).hexdigest() == r["groups_sha256"] for r in got if r["n_links"])
     aligner = alignment.Aligner()
     assert aligner._cuts
-    aligner._cuts = False
-    for _, text, _ in rows[:60]:
-        found = plain(text, sides)
-        if found:
-            (chunk,) = aligner.chunks(text)
-            assert (chunk.n_a, chunk.n_b, len(chunk.pairs)) == (len(found[0]), len(found[1]), len(found[2]))
+    for cuts in (True, False):
+        aligner.forget()
+        aligner._cuts = cuts
+        for _, text, _ in rows[:60]:
+            found = plain(text, sides)
+            if found:
+                own = np.array(aligner.numbers([text])[0])
+                assert (aligner.n_a[own].sum(), aligner.n_b[own].sum(), aligner.links[own].sum()) == (len(found[0]), len(found[1]), len(found[2]))
+    monkeypatch.setattr(alignment, "KEPT", 5)
+    assert sorted((tuple(r[n] for n in NAMES) for r in alignment.align(docs).collect()), key=repr) == expected(rows, sides)
 
 
 def test_hot_ids_are_split():
