@@ -21,6 +21,11 @@ def byte_count(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0))
 
 
+def utf16_units(text: Column) -> Column:
+    """Length in UTF-16 units: characters beyond U+FFFF count two."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
 def codes_in(text: Column) -> Column:
     """Distinct category codes named in a text, in order."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(CODE), F.lit(0)))

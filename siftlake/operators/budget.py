@@ -120,18 +120,50 @@ def size_buckets(files: DataFrame) -> DataFrame:
     return with_bounds.withColumn("bucket", bucket).drop(*shares)
 
 
+#: Estimates of prompts: bytes of a line, of a line's number, of a section's heading, of a playbook.
+PER_LINE, NUMBER, HEADING, PLAYBOOK = 40, 6, 10, 2263
+
+
+def estimated_lines(size: Column) -> Column:
+    return F.greatest(F.lit(1).cast("long"), F.floor(size / PER_LINE))
+
+
+def estimated_chunks(lines: Column, budget: int = 500, overlap: int = 20) -> Column:
+    return F.when(lines <= budget, F.lit(1).cast("long")).otherwise(F.ceil((lines - budget) / (budget - overlap)) + 1)
+
+
+def estimated_seed_bytes(size: Column, lines: Column, budget: int = 500, overlap: int = 20) -> Column:
+    """Bytes of a file's numbered text in all of its chunks; 0 without lines. Chunks but the last are taken to be full."""
+    chunks = estimated_chunks(lines, budget, overlap)
+    last = F.greatest(F.lit(1).cast("long"), lines - (chunks - 2) * (budget - overlap) - overlap)
+    many = (chunks - 1) * (budget * (PER_LINE + NUMBER) + HEADING) + last * (PER_LINE + NUMBER) + HEADING
+    return F.when(lines <= 0, F.lit(0).cast("long")).when(chunks <= 1, size + lines * NUMBER + HEADING).otherwise(many)
+
+
+def estimated_category_bytes(categories: Column) -> Column:
+    return F.greatest(categories, F.lit(0)) * PLAYBOOK
+
+
+def price_problems(prices: DataFrame) -> DataFrame:
+    """Prices (model, input, cached_input, output, max_output_tokens) that a run must not start with, with the first problem of each."""
+    problem = (
+        F.when(F.col("input").isNull() | F.col("output").isNull(), "incomplete")
+        .when((F.col("input") < 0) | (F.col("output") < 0) | (F.col("cached_input") < 0), "negative")
+        .when(F.col("cached_input") > F.col("input"), "cached above fresh")
+        .when(F.col("max_output_tokens") <= 0, "no output tokens")
+    )
+    return prices.withColumn("problem", problem).where("problem IS NOT NULL")
+
+
 def bucket_costs(files: DataFrame, categories: int = 25, narrow: float = 1.5) -> DataFrame:
     """Input tokens of each size bucket, computed from its average file, with few and with all categories."""
-    per_byte, playbook, fixed, per_line, budget, overlap = 0.342, 2263, 3060, 40, 500, 20
+    per_byte, fixed = 0.342, 3060
     groups = size_buckets(files).groupBy("bucket").agg(
         F.count_if(~F.col("skipped")).alias("hunted"), F.count_if("skipped").alias("skips"), F.sum(F.when(~F.col("skipped"), F.col("bytes"))).alias("hunt_bytes")
     )
     rows = groups.where("hunted > 0").withColumn("avg_bytes", F.floor(F.col("hunt_bytes") / F.col("hunted")))
-    rows = rows.withColumn("avg_lines", F.greatest(F.lit(1).cast("long"), F.floor(F.col("avg_bytes") / per_line)))
-    n = F.col("avg_lines")
-    rows = rows.withColumn("avg_chunks", F.when(n <= budget, F.lit(1).cast("long")).otherwise(F.ceil((n - budget) / (budget - overlap)) + 1))
-    last = F.greatest(F.lit(1).cast("long"), n - (F.col("avg_chunks") - 2) * (budget - overlap) - overlap)
-    many = (F.col("avg_chunks") - 1) * (budget * (per_line + 6) + 10) + last * (per_line + 6) + 10
-    seed = F.when(F.col("avg_chunks") <= 1, F.col("avg_bytes") + n * 6 + 10).otherwise(many)
-    tokens = lambda k: (F.lit(float(fixed)) + seed + k * playbook) * per_byte * F.col("hunted")
+    rows = rows.withColumn("avg_lines", estimated_lines(F.col("avg_bytes")))
+    rows = rows.withColumn("avg_chunks", estimated_chunks(F.col("avg_lines")))
+    seed = estimated_seed_bytes(F.col("avg_bytes"), F.col("avg_lines"))
+    tokens = lambda k: (F.lit(float(fixed)) + seed + k * PLAYBOOK) * per_byte * F.col("hunted")
     return rows.withColumns({"narrow_input": tokens(narrow), "broad_input": tokens(float(categories))}).drop("hunt_bytes")

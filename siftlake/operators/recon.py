@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from siftlake import dims
 from siftlake.functions import text as X
 from siftlake.functions.paths import basename, extension
-from siftlake.operators.ranking import first_of_group
+from siftlake.operators.ranking import first_of_group, numbered
+from siftlake.sources import tree
 
 
 def pruned(files: DataFrame, path: str = "path") -> DataFrame:
@@ -28,6 +29,12 @@ def with_language(files: DataFrame, table: dict[str, str] | None = None, keep_un
     return files.withColumn("ext", ext).join(known, "ext", "left" if keep_unknown else "inner")
 
 
+def legacy_sources(files: DataFrame) -> DataFrame:
+    """Files that the older walk takes: by its own extensions, and Dockerfile, .env and .env.* by name."""
+    name = F.lower(basename(F.col("path")))
+    return files.where(extension(F.col("path")).isin(dims.LEGACY_EXTENSIONS) | name.isin("dockerfile", ".env") | name.startswith(".env."))
+
+
 def with_metrics(files: DataFrame) -> DataFrame:
     return files.withColumns({"bytes": X.byte_count(F.col("content")), "lines": X.line_count(F.col("content"))})
 
@@ -45,6 +52,14 @@ def unclassified_surface(files: DataFrame, covered: list[str]) -> DataFrame:
     return files.where(~F.col("language").isin(covered)).groupBy("language").agg(F.count("*").alias("files"), F.sum("bytes").alias("total_bytes"), F.min("path").alias("first_path"))
 
 
+def unclassified_files(files: DataFrame, classified: DataFrame) -> DataFrame:
+    """Files (path, language, bytes) that no extractor claimed, by place in their language's list sorted by path, with the
+    language's totals beside them. The list is rows, not one array: a language may hold most of a tree."""
+    left = files.select("path", "language", "bytes").join(classified.select("path").distinct(), "path", "left_anti")
+    totals = left.groupBy("language").agg(F.count("*").alias("files"), F.sum("bytes").alias("total_bytes"))
+    return numbered(left, ["language"], ["path"], "place").join(totals, "language")
+
+
 def supplemental_files(spark_files: DataFrame, inventory: DataFrame, listed: DataFrame) -> DataFrame:
     """Files of languages whose inventory count exceeds the listed one, without the listed files."""
     have = inventory.groupBy("language").agg(F.count("*").alias("n"))
@@ -110,6 +125,11 @@ def has_any(content: Column, patterns: list[str], found: Column) -> Column:
     return out
 
 
+def signal_counts(signals: DataFrame) -> DataFrame:
+    """How many files have how many signals."""
+    return signals.groupBy(F.size("signals").alias("signals")).agg(F.count("*").alias("files"))
+
+
 def signals(files: DataFrame, handler_names: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """path and signals. Manifests and config files have that signal alone; the others are independent."""
     content, words = F.col("content"), F.col("_words")
@@ -152,9 +172,11 @@ def security_dependencies(names: DataFrame) -> DataFrame:
     return names.where(F.exists(F.array(*map(F.lit, dims.SECURITY_KEYWORDS)), lambda word: F.contains(lower, word)))
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Source files under a folder: path below it, content and language. Excluded names are pruned before the content is decoded."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    below = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + root.rstrip("/").replace(".", r"\."), "")
-    rows = pruned(found.select(F.regexp_replace(below, "^/+", "").alias("path"), "content"))
-    return with_language(rows).withColumn("content", F.col("content").cast("string"))
+def scan_tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
+    """Source files under a folder: path below it, bytes and language, and content if asked for.
+
+    Excluded folders are never listed and files of unknown languages never opened: both are left out while the tree is walked.
+    """
+    found = tree.read(spark, root, content).where(F.col("ext").isin(".dockerfile", *dims.INVENTORY_LANGUAGES))
+    rows = with_language(found.select("path", "ext", "bytes", *["content"] * content))
+    return rows.withColumn("content", F.col("content").cast("string")) if content else rows

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlake import dims
-from siftlake.operators.ranking import first_of_group
+from siftlake.operators.ranking import first_of_group, numbered
 
 
 def handler_names(text: Column) -> Column:
@@ -74,7 +74,8 @@ def registered_in(routes: DataFrame, targets: DataFrame, most: int | None = None
     kind = F.when(F.col("method") == "USE", "middleware").otherwise("handler")
     rows = routes.select("*", F.explode(ends).alias("target")).join(targets.select(F.col("path").alias("target")).distinct(), "target")
     shown_rows = rows.withColumns({"kind": kind, "_bare": F.when(bare, 0).otherwise(1), "auth": F.when(bare, "none").otherwise(F.col("auth"))})
-    return first_of_group(shown_rows, ["target", "kind"], ["_bare", "line", "ord"], most or (1 << 31) - 1).drop("_bare")
+    group, order = ["target", "kind"], ["_bare", "line", "ord"]
+    return (first_of_group(shown_rows, group, order, most) if most else numbered(shown_rows, group, order)).drop("_bare")
 
 
 def backed_files(truth: DataFrame, symbols: DataFrame, routes: DataFrame) -> DataFrame:

@@ -2,18 +2,22 @@
 
 Findings come as steps (finding_id, file, line, code), entries as (key, file, line, codes). Files
 match if one path ends with the other; that forces equal basenames, so the join hashes on the
-basename and keeps the path test as a residual. Lines match within a band.
+basename and keeps the path test as a residual. A basename of very many paths, such as index.ts, would meet all of its
+paths with each other; those are met by equal ends of paths instead. Lines match within a band.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions.paths import basename, normalized, same_file
 from siftlake.functions.rounding import percent
+from siftlake.operators.ranking import before_ranges, in_ranges, null_safe
 
 LOCALIZED_WITHIN = 15
+#: Different paths of one basename beyond which they are met by their ends.
+HOT_PATHS = 1000
 UNMAPPED = "<unmapped>"
 
 
@@ -21,10 +25,38 @@ def file_join(left: DataFrame, right: DataFrame, left_file: str, right_file: str
     """Rows whose files match. Columns of the two sides must not clash."""
     a = left.withColumn("_a", normalized(F.col(left_file))).withColumn("_a_name", basename(F.col("_a")))
     b = right.withColumn("_b", normalized(F.col(right_file))).withColumn("_b_name", basename(F.col("_b")))
+    if how == "inner":
+        return met_files(a.drop("_a_name"), b.drop("_b_name"), "_a", "_b").drop("_a", "_b")
     joined = a.join(b, (F.col("_a_name") == F.col("_b_name")) & same_file(F.col("_a"), F.col("_b")), how)
     return joined.drop("_a", "_a_name", "_b", "_b_name")
 
 
+def met_files(left: DataFrame, right: DataFrame, a: str, b: str, hot: int = HOT_PATHS) -> DataFrame:
+    """Rows whose normalized paths a and b match. Columns of the two sides must not clash.
+
+    Basenames of more than `hot` different paths on the right are met by ends: every end of a path after a slash is a key, and paths
+    match if one is an end of the other, so that only rows that match come out of the join, however many share the name.
+    """
+    left, right = left.withColumn("_left_name", basename(F.col(a))), right.withColumn("_right_name", basename(F.col(b)))
+    paths = right.select("_right_name", b).distinct()
+    crowded = paths.groupBy("_right_name").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(F.col("_right_name").alias("_crowded"))
+    plain = (F.col("_left_name") == F.col("_right_name")) & same_file(F.col(a), F.col(b))
+    if crowded.isEmpty():
+        return left.join(right, plain).drop("_left_name", "_right_name")
+    split = lambda side, name, how: side.join(crowded, F.col(name) == F.col("_crowded"), how)
+    few = split(left, "_left_name", "left_anti").join(split(right, "_right_name", "left_anti"), plain)
+    own, other = split(left, "_left_name", "left_semi").where(F.col(a) != ""), split(right, "_right_name", "left_semi")
+    longer = own.withColumn("_end", F.explode(ends_of(F.col(a)))).join(other, F.col("_end") == F.col(b))
+    shorter = own.join(other.withColumn("_end", F.explode(ends_of(F.col(b), own=False))), F.col("_end") == F.col(a))
+    return few.unionByName(longer.drop("_end")).unionByName(shorter.drop("_end")).drop("_left_name", "_right_name")
+
+
+def ends_of(path: Column, own: bool = True) -> Column:
+    """The ends of a path after each slash, and the path itself unless left out."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1 if own else 2), F.greatest(F.size(parts), F.lit(1 if own else 2))), lambda n: F.when(n <= F.size(parts), F.array_join(F.slice(parts, n, F.size(parts) - n + 1), "/")))
+
+
 def with_aliases(rows: DataFrame, class_code: DataFrame, codes: str = "codes") -> DataFrame:
     """codes widened to all codes of every class that they touch; codes without a class stay.
 
@@ -37,7 +69,7 @@ def with_aliases(rows: DataFrame, class_code: DataFrame, codes: str = "codes") -
     return rows.crossJoin(F.broadcast(one)).withColumn(codes, widened).drop("_kin")  # one row
 
 
-def judged_pairs(steps: DataFrame, truth: DataFrame, class_code: DataFrame | None = None) -> DataFrame:
+def judged_pairs(steps: DataFrame, truth: DataFrame, class_code: DataFrame | None = None, hot: int = HOT_PATHS) -> DataFrame:
     """One row per entry and finding that meet in a file: the least distance, and whether they share a code.
 
     The steps are read once: a finding's places and codes are gathered in one aggregation, and its places meet the
@@ -48,9 +80,9 @@ def judged_pairs(steps: DataFrame, truth: DataFrame, class_code: DataFrame | Non
     found = steps.groupBy("finding_id").agg(F.collect_set(place).alias("_places"), F.array_sort(F.collect_set("code")).alias("codes"))
     if class_code is not None:
         found = with_aliases(found, class_code)
-    placed = found.select("finding_id", "codes", F.inline("_places")).withColumn("_name", basename(F.col("_a")))
-    entries = truth.select("key", normalized(F.col("file")).alias("_b"), F.col("line").alias("_line"), F.col("codes").alias("_wanted")).withColumn("_b_name", basename(F.col("_b")))
-    met = placed.join(entries, (F.col("_name") == F.col("_b_name")) & same_file(F.col("_a"), F.col("_b")))
+    placed = found.select("finding_id", "codes", F.inline("_places"))
+    entries = truth.select("key", normalized(F.col("file")).alias("_b"), F.col("line").alias("_line"), F.col("codes").alias("_wanted"))
+    met = met_files(placed, entries, "_a", "_b", hot)
     return met.groupBy("key", "finding_id").agg(F.min(F.abs(F.col("line") - F.col("_line"))).alias("delta"), F.max(F.arrays_overlap("codes", "_wanted")).alias("same_code"))
 
 
@@ -110,13 +142,25 @@ def residual_bucket(row_delta: str = "least_delta", within: int = LOCALIZED_WITH
     )
 
 
-def merged_spans(spans: DataFrame, group: str = "file") -> DataFrame:
-    """Line spans (start, stop, tag) of a group merged where they touch; tags are joined in order of start."""
-    from pyspark.sql import Window
+def span_islands(spans: DataFrame, group: str = "file", ranges: int | None = None) -> DataFrame:
+    """Line spans (start, stop, tag) with `_island`, the number in their group of the merged span that they are part of.
 
-    order = Window.partitionBy(group).orderBy("start", "stop", "tag")
-    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = spans.withColumn("_new", F.when(before.isNull() | (F.col("start") > before + 1), 1).otherwise(0))
-    islands = fresh.withColumn("_island", F.sum("_new").over(order))
-    tags = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "stop", "tag"))), lambda s: s["tag"].cast("string")), ",")
-    return islands.groupBy(group, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), tags.alias("tags")).drop("_island")
+    Ranges of a group are walked apart: the greatest end of all ranges before is known from one row a range, so each range
+    finds by itself where a merged span begins, and counts of those give the numbers. No task holds a hot group.
+    """
+    ranged = in_ranges(spans, [group], ["start", "stop", "tag"], ranges)
+    reach = before_ranges(ranged, [group], F.max("stop"), F.max, "_reach")
+    order = Window.partitionBy(group, "_range").orderBy("start", "stop", "tag")
+    inside = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    known = null_safe(ranged, reach, [group, "_range"]).withColumn("_before", F.greatest("_reach", inside))  # nulls are skipped
+    fresh = known.withColumn("_new", F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before") + 1), 1).otherwise(0)).drop("_before", "_reach")
+    ahead = before_ranges(fresh, [group], F.sum("_new"), F.sum, "_ahead")
+    joined = null_safe(fresh.withColumn("_within", F.sum("_new").over(order)), ahead, [group, "_range"])
+    return joined.withColumn("_island", F.col("_within") + F.coalesce("_ahead", F.lit(0))).drop("_new", "_within", "_ahead", "_range")
+
+
+def merged_spans(spans: DataFrame, group: str = "file", tags: bool = True, ranges: int | None = None) -> DataFrame:
+    """Line spans (start, stop, tag) of a group merged where they touch; tags are joined in order of start, unless left out."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "stop", "tag"))), lambda s: s["tag"].cast("string")), ",")
+    merged = span_islands(spans, group, ranges).groupBy(group, "_island")
+    return merged.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), *[listed.alias("tags")] * tags).drop("_island")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftlake import dims
 from siftlake.functions.rounding import total_or_null
 from siftlake.operators import budget as B
+from siftlake.operators import coverage as C
 from siftlake.plans import views as V
 from siftlake.plans.recon_queries import _LANES, _WITH, _lanes
 from siftlake.plans.registry import query
@@ -214,26 +215,27 @@ def failure_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {V.SQL["class_code"]}, want AS (SELECT unnest({V._CODES_SQL}) AS code UNION ALL SELECT 'LLM99')
-SELECT 'duplicate' AS problem, code FROM class_code GROUP BY code HAVING count(*) > 1 UNION ALL SELECT 'missing', code FROM want WHERE code NOT IN (SELECT code FROM class_code)"""
+    """WITH r AS (SELECT DISTINCT p_brand AS class, concat('C', p_partkey % 97) AS code, concat('playbook-', p_type) AS playbook FROM part WHERE p_partkey % 2 = 0),
+want AS (SELECT DISTINCT concat('C', s_suppkey % 120) AS code FROM supplier), c AS (SELECT code, count(DISTINCT class) AS n FROM r GROUP BY 1), p AS (SELECT playbook, count(DISTINCT class) AS n FROM r GROUP BY 1)
+SELECT 'duplicate code' AS problem, code AS subject FROM c WHERE n > 1 UNION ALL SELECT 'missing code', code FROM want WHERE code NOT IN (SELECT code FROM r) UNION ALL SELECT 'shared playbook', playbook FROM p WHERE n > 1"""
 )
 def registry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes of two classes, and wanted codes of none."""
-    known = dims.class_codes(spark)
-    wanted = spark.createDataFrame([(code,) for code in [*dims.CODES, "LLM99"]], "code string")
-    twice = known.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate").alias("problem"), "code")
-    return twice.unionByName(wanted.join(known, "code", "left_anti").select(F.lit("missing").alias("problem"), "code"))
+    """Codes of two classes, wanted codes of none, and playbooks of two classes, of a registry made of the parts."""
+    known = V.table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_brand").alias("class"), F.expr("concat('C', p_partkey % 97)").alias("code"), F.concat(F.lit("playbook-"), "p_type").alias("playbook"))
+    return C.registry_problems(known.distinct(), V.table(spark, sf_dir, "supplier").select(F.expr("concat('C', s_suppkey % 120)").alias("code")))
 
 
 @query(
-    f"""WITH price AS (SELECT * FROM {dims.sql_values([*_PRICES, ("bad", -1.0, 2.0, None, None)], "v(model, p_in, p_cached, p_write, p_out)")})
-SELECT model, CASE WHEN p_in IS NULL OR p_out IS NULL THEN 'incomplete' WHEN p_in < 0 OR p_out < 0 THEN 'negative' WHEN p_cached > p_in THEN 'cached above fresh' END AS problem FROM price
-WHERE p_in IS NULL OR p_out IS NULL OR p_in < 0 OR p_out < 0 OR p_cached > p_in"""
+    """WITH price AS (SELECT s_suppkey AS model, s_acctbal AS i, CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal * 0.1 + 100 END AS c, CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal + 500 END AS o, 1000 - s_suppkey % 1100 AS most FROM supplier)
+SELECT model, CASE WHEN i IS NULL OR o IS NULL THEN 'incomplete' WHEN i < 0 OR o < 0 OR c < 0 THEN 'negative' WHEN c > i THEN 'cached above fresh' WHEN most <= 0 THEN 'no output tokens' END AS problem FROM price
+WHERE i IS NULL OR o IS NULL OR i < 0 OR o < 0 OR c < 0 OR c > i OR most <= 0"""
 )
 def price_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = spark.createDataFrame([*_PRICES, ("bad", -1.0, 2.0, None, None)], "model string, input double, cached_input double, cache_write double, output double")
-    problem = F.expr("CASE WHEN input IS NULL OR output IS NULL THEN 'incomplete' WHEN input < 0 OR output < 0 THEN 'negative' WHEN cached_input > input THEN 'cached above fresh' END")
-    return prices.select("model", problem.alias("problem")).where("problem IS NOT NULL")
+    """What is wrong with the prices of a registry made of the suppliers."""
+    prices = V.table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS model", "s_acctbal AS input", "CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal * 0.1 + 100 END AS cached_input", "CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal + 500 END AS output", "1000 - s_suppkey % 1100 AS max_output_tokens"
+    )
+    return B.price_problems(prices).select("model", "problem")
 
 
 @query(f"WITH {_CHUNKS_SQL} SELECT model, sum(prompt_tokens + coalesce(cached_tokens, 0) + coalesce(written_tokens, 0))::BIGINT AS prompt FROM u WHERE model <> '5-LOW' GROUP BY 1 UNION ALL SELECT '5-LOW', NULL")

@@ -29,7 +29,13 @@ SELECT ord, CASE WHEN n = 0 THEN 'empty trace' WHEN NOT enters THEN 'no entrypoi
 )
 def finding_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why findings are dropped, and the classes and steps of each after the check."""
-    rows = V.table(spark, sf_dir, "orders").select(
+    found = G.validated(finding_rows(spark, sf_dir), F.array(*map(F.lit, _ALLOWED)))
+    return found.select("ord", "drop_reason", F.transform("classes", lambda c: c["class"]).alias("classes"), F.transform("classes", lambda c: c["step"].cast("long")).alias("steps"))
+
+
+def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding for each order, with a trace and classes that are not always right."""
+    return V.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("ord"),
         F.expr(
             """transform(slice(sequence(0, 3), 1, cast(o_orderkey % 4 AS int)), i -> named_struct('kind', CASE WHEN i = 0 THEN if(o_custkey % 5 > 0, 'entrypoint', 'propagation')
@@ -40,8 +46,6 @@ def finding_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
             named_struct('class', element_at(array({_LIST[1:-1]}), cast(o_custkey % 14 AS int) + 1), 'step', cast(o_orderkey % 5 - 1 AS int))))"""
         ).cast(G.CLASSES).alias("classes"),
     )
-    found = G.validated(rows, F.array(*map(F.lit, _ALLOWED)))
-    return found.select("ord", "drop_reason", F.transform("classes", lambda c: c["class"]).alias("classes"), F.transform("classes", lambda c: c["step"].cast("long")).alias("steps"))
 
 
 #: A list's rows are folded one after another: {kept: sinks kept so far, seen: their buckets}.

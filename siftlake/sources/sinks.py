@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 PROVIDER = re.compile(r"[a-z0-9][a-z0-9.-]*")
 
 
-def write_run(rows: DataFrame, root: str, provider: str, stage: str, known: list[str] | None = None) -> str:
-    """One stage's rows as JSON under provider and stage; an unknown provider is refused. Overwrites that stage alone."""
+def run_path(root: str, provider: str, stage: str, known: list[str] | None = None) -> str:
+    """The folder of a stage under its provider; an unknown provider is refused."""
     if not PROVIDER.fullmatch(provider) or (known is not None and provider not in known):
         raise ValueError(f"unknown provider {provider!r}")
-    path = f"{root}/provider={provider}/stage={stage}"
+    return f"{root}/provider={provider}/stage={stage}"
+
+
+def write_run(rows: DataFrame, root: str, provider: str, stage: str, known: list[str] | None = None) -> str:
+    """One stage's rows as JSON under provider and stage. Overwrites that stage alone."""
+    path = run_path(root, provider, stage, known)
     rows.write.mode("overwrite").json(path)
     return path
 
