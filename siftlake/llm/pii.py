@@ -11,19 +11,22 @@ its text not tried again:
   card   digits with single spaces or hyphens between, 14 to 19 of them, Luhn sum right
   phone  plus sign and 10 to 15 digits with spaces, brackets, dots and hyphens
 Kinds that the method adds, beside the base ones:
-  url      a scheme and the characters up to white space, quotes or angle brackets
-  iban     after the cue "iban": country, check digits and account; remainder 1 modulo 97
+  url      a scheme in any case and the characters up to white space, quotes or angle brackets, without the punctuation that
+           closes a sentence and without a closing bracket that nothing in it opens
+  iban     after the cue "iban": country, check digits and account, as long as the country's accounts are; remainder 1
+           modulo 97. Of other countries' accounts the longest end of a word that gives this remainder
   account  after the cue "account" or "acct": 6 to 20 digits, hyphens allowed
   secret   after "password", "token", "secret" or "api_key": the value after = or :
 
 Spans are in code points, the end exclusive. One pass over the input, no shuffle.
 
-Defined results: null and empty texts have no spans; rows with equal or null doc_id are scanned as
-rows of their own; other columns are ignored; an empty table gives no rows.
+Defined results: null and empty texts have no spans; very long texts are scanned as a whole, a text at a time; rows with
+equal or null doc_id are scanned as rows of their own; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -46,6 +49,17 @@ _PHONE_BODY = re.compile(r"[\x20().0-9-]*[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _URL_BODY = re.compile(r"[^\s\"'<>]+")
 _IBAN = re.compile(r"[^A-Za-z0-9]{0,5}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+#: Characters that close a sentence behind a URL, and brackets that close what stands around it.
+_CLOSING, _BRACKETS = ".,;:!?", {")": "(", "]": "[", "}": "{"}
+# Length of an international account number by country.
+IBAN_LENGTHS = {
+    code: int(group[:2])
+    for group in (
+        "15 NO", "16 BE", "18 DK FI FK FO GL NL SD", "19 MK SI", "20 AT BA EE KZ LT LU MN XK", "21 CH HR LI LV", "22 BG BH CR DE GB GE IE ME RS VA", "23 AE GI IL IQ OM SO TL",
+        "24 AD CZ ES MD PK RO SA SE SK TN VG", "25 LY PT ST", "26 IS TR", "27 BI DJ FR GR IT MC MR SM", "28 AL AZ BY CY DO GT HN HU LB NI PL SV", "29 BR EG PS QA UA", "30 JO KW MU YE", "31 MT SC", "33 RU",
+    )
+    for code in group[3:].split()
+}
 _ACCOUNT = re.compile(r"(?: ?(?:no|number|nr)\b\.?)?[ :#=]{1,3}([0-9](?:-?[0-9]){5,19})(?![0-9])", re.IGNORECASE)
 _SECRET = re.compile(r"[\"']? ?[=:] ?[\"']?([A-Za-z0-9+/_.-]{8,})")
 
@@ -53,6 +67,11 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", SPAN)])
 
 
+def any_case(word: str) -> Iterator[str]:
+    """The word in every mix of cases: the text is walked as it stands, as its places are those of its own characters."""
+    return map("".join, itertools.product(*({c.lower(), c.upper()} for c in word)))
+
+
 def automaton():
     import ahocorasick
 
@@ -62,10 +81,10 @@ def automaton():
     for sign in "@+":
         found.add_word(sign, (sign, 1))
     for scheme in SCHEMES:
-        for form in {scheme, scheme.upper()}:
+        for form in any_case(scheme):
             found.add_word(form, ("url", len(form)))
     for cue, kind in CUES.items():
-        for form in {cue, cue.upper(), cue.capitalize()}:
+        for form in any_case(cue):
             found.add_word(form, (kind, len(form)))
     found.make_automaton()
     return found
@@ -85,6 +104,26 @@ def iban_valid(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def iban_end(text: str, start: int, stop: int) -> int | None:
+    """Where the account number that starts at `start` ends, at most at `stop`; None where none is valid."""
+    ends = [at + 1 for at in range(start, stop) if text[at] != " "]  # after each of its characters
+    length = IBAN_LENGTHS.get(text[start : start + 2])
+    for n in [length] if length else range(min(34, len(ends)), 14, -1):
+        if n <= len(ends) and not text[ends[n - 1] : ends[n - 1] + 1].isalnum() and iban_valid(text[start : ends[n - 1]]):
+            return ends[n - 1]
+    return None
+
+
+def url_end(text: str, start: int, stop: int) -> int:
+    """The end of a URL without what closes the sentence or the brackets around it."""
+    while stop > start:
+        last = text[stop - 1]
+        if last not in _CLOSING and (last not in _BRACKETS or text.count(last, start, stop) <= text.count(_BRACKETS[last], start, stop)):
+            break
+        stop -= 1
+    return stop
+
+
 def _emails(text: str, ats: list[int]) -> Iterator[tuple[int, int]]:
     taken = 0
     for at in ats:
@@ -164,14 +203,15 @@ def find(text: str, found) -> list[tuple[str, int, int]]:
         if start < taken.get(kind, 0):
             continue
         if kind == "url":
-            if body := _URL_BODY.match(text, stop):
-                taken[kind] = body.end()
-                spans.append((kind, start, body.end()))
+            if (body := _URL_BODY.match(text, stop)) and (end := url_end(text, stop, body.end())) > stop:
+                taken[kind] = end
+                spans.append((kind, start, end))
             continue
         value = {"iban": _IBAN, "account": _ACCOUNT, "secret": _SECRET}[kind].match(text, stop)
-        if value and (kind != "iban" or iban_valid(value[1])):
-            taken[kind] = value.end()
-            spans.append((kind, value.start(1), value.end(1)))
+        end = value and (iban_end(text, *value.span(1)) if kind == "iban" else value.end(1))
+        if end:
+            taken[kind] = end
+            spans.append((kind, value.start(1), end))
     return sorted(set(spans), key=lambda span: (span[1], KINDS.index(span[0]), span[2]))
 
 
