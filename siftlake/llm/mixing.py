@@ -17,8 +17,9 @@ their targets by sums over the table and their slots by a join on cells of the s
 nothing of them but counts reaches the driver.
 
 Defined results: null and empty texts have size 0 and none is taken of them; null is a source of
-its own; rows with equal or null doc_id are rows of their own; other columns are ignored; an empty
-table gives no rows. Reruns agree: order and schedule depend on doc_id, size and source alone.
+its own; rows with equal or null doc_id are rows of their own, and those of equal text too have one place in the order; a very
+long text counts with all its words, of which some blocks may be taken more often than others; other columns are ignored; an empty
+table gives no rows. Reruns agree: order and schedule depend on doc_id, size, source and a hash of the text alone.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ def size_of(text: Column) -> Column:
 
 def sized_documents(docs: DataFrame) -> DataFrame:
     size = size_of(docs["text"])
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"), F.xxhash64(common.text_or_empty(docs)).alias("body"))
 
 
 def numbered_sources(sources: DataFrame) -> DataFrame:
@@ -198,11 +199,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     if not n_slots:
         return empty
 
-    shuffled = named.where("size > 0").withColumn("place", F.xxhash64("doc_id", "size", F.lit("mix"))).withColumn("chunk", F.pmod("place", "n_chunks"))
+    shuffled = named.where("size > 0").withColumn("place", F.xxhash64("doc_id", "size", "body", F.lit("mix"))).withColumn("chunk", F.pmod("place", "n_chunks"))
     before = Window.partitionBy("ix").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = shuffled.groupBy("ix", "chunk").agg(F.sum("size").alias("words"))
     chunks = chunks.select("ix", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("chunk_start"))
-    within = Window.partitionBy("ix", "chunk").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("ix", "chunk").orderBy("place", "doc_id", "size", "body").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("chunk_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     laid = shuffled.join(chunks, ["ix", "chunk"]).withColumn("start", start)
     pieces = laid.withColumn("block", F.explode(F.expr("sequence(start div block_words, (start + size - 1) div block_words)")))
