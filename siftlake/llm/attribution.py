@@ -11,8 +11,8 @@ So the sections' counts add up to the document's.
 Sections are given as an array of byte offsets at which each begins; the default is the lines of
 the text, each with its newline. One pass over the input, no shuffle.
 
-Defined results: null and empty texts have one section of zero tokens; rows with equal or null
-doc_id are counted as rows of their own; other columns are ignored; an empty table gives no rows.
+Defined results: null and empty texts have one section of zero tokens; very long texts are encoded as a whole, by
+themselves; rows with equal or null doc_id are counted as rows of their own; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType())] + [T.StructField(name, T.LongType()) for name in ("section", "start_byte", "end_byte", "n_tokens", "n_crossing", "doc_tokens")]
 )
 
+#: Characters of text whose sections are listed at a time; a longer text by itself.
+PART_CHARS = 4 << 20
+
 
 def line_starts(data: bytes) -> np.ndarray:
     """Byte offsets at which the lines of a text begin."""
@@ -63,9 +66,9 @@ def count_tokens(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = bpe.load(json_path, rank_path)
         lengths = encoder.byte_lengths()
-        for batch in batches:
+        for batch, begin, stop in ((b, *part) for b in batches for part in common.parts(b["text"].str.len().to_numpy(), PART_CHARS, 4096)):
             columns: list[list] = [[] for _ in SCHEMA.names]
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"][begin:stop], batch["text"][begin:stop], strict=True):
                 data = text.encode()
                 starts = sections(data)
                 tokens = lengths[encoder.encode(text)]

@@ -34,7 +34,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> np.ndarray:
         if SPECIAL not in text:
-            return np.asarray(self._encoding.encode_ordinary(text), dtype="<u4")
+            return self.encode_plain(text)
         if self._whole is None:
             from tokenizers import Tokenizer
 
@@ -43,7 +43,7 @@ class ByteBpe:
 
     def encode_plain(self, text: str) -> np.ndarray:
         """encode(), with the special token's string as plain text."""
-        return np.asarray(self._encoding.encode_ordinary(text), dtype="<u4")
+        return self._encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
     def byte_lengths(self) -> np.ndarray:
         """Bytes of text that each id stands for."""

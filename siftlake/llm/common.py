@@ -71,13 +71,19 @@ def unboxed(rows: DataFrame, columns: list[str], **replaced: Column) -> DataFram
     return rows.select(*[replaced.get(name, F.col("row")[name]).alias(name) for name in columns])
 
 
+def parts(sizes: np.ndarray, limit: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of rows that hold at most `limit` bytes, or one row where that is longer, and at most `rows` rows."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = min(max(at + 1, int(np.searchsorted(ends, before + limit, side="right"))), at + rows)
+        yield at, stop
+        at = stop
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices of at most `limit` bytes of a string column, or of one row where that is longer."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends, at = np.cumsum(sizes), 0
-        while at < len(ends):
-            before = ends[at - 1] if at else 0
-            stop = min(max(at + 1, int(np.searchsorted(ends, before + limit, side="right"))), at + rows)
-            yield batch.slice(at, stop - at)
-            at = stop
+        for begin, stop in parts(sizes, limit, rows):
+            yield batch.slice(begin, stop - begin)

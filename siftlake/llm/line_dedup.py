@@ -10,7 +10,7 @@ partial sums. Keys found in at least `min_docs` documents lose their lines: all
 The result is a bitmap per document, not text: 64-bit words of dropped positions, words without
 one left out. applied() joins them with the texts.
 
-Defined results: null and empty texts are one empty line, which has no key and stays; rows equal
+Defined results: very long texts are split as a whole, into one array of lines; null and empty texts are one empty line, which has no key and stays; rows equal
 in doc_id and text are one document, whose lines count once, and each of them loses the same
 lines; null is a doc_id like any other and sorts first; other columns are carried along by
 applied(), whatever their names; an empty table gives no rows.

@@ -33,6 +33,8 @@ FRAME = 192
 HOP = 96
 BLOCK_FRAMES = 8192
 MAX_GAP = 32
+#: Characters of text whose media are made at a time; a longer text by itself.
+PART_CHARS = 4 << 20
 
 SCHEMA = T.StructType(
     [
@@ -106,9 +108,9 @@ def to_media(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in range(0, len(batch), 256):  # the media of a few rows at a time
+            for begin, stop in common.parts(batch["text"].str.len().to_numpy(), PART_CHARS, 256):  # the media of a few rows at a time
                 rows = []
-                for doc_id, text in zip(batch["doc_id"][part : part + 256], batch["text"][part : part + 256], strict=True):
+                for doc_id, text in zip(batch["doc_id"][begin:stop], batch["text"][begin:stop], strict=True):
                     data = text.encode()
                     media = encode_wav(pad(data))
                     payload = decode_wav(media)

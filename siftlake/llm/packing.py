@@ -10,7 +10,7 @@ No row leaves its task: a group is a run of documents of one input partition, so
 shuffle, memory is bounded by one group, and a lost task is simply run again with the same
 result. Sequence ids are unique: the partition's number in the high bits, a counter in the low.
 
-Defined results: null and empty texts are the closing id alone; rows with equal or null doc_id are
+Defined results: very long texts are encoded as a whole and cut into many pieces; null and empty texts are the closing id alone; rows with equal or null doc_id are
 packed as rows of their own; other columns are ignored; an empty table gives no rows.
 """
 

@@ -8,7 +8,7 @@ each from a Mahalanobis distance.
 
 Labels, language, source and doc_id are never inputs of a score.
 
-Defined results: null and empty texts have the statistics of an empty text and get a score like
+Defined results: very long texts are measured as a whole; null and empty texts have the statistics of an empty text and get a score like
 any other; rows with equal or null doc_id are scored as rows of their own; labels other than 0 and
 1, and null ones, are not learnt from, repeated ones count once, and a document with both labels counts
 for both; where a class has no training row, every score is the share

@@ -19,7 +19,7 @@ are compared pair by pair; only a spanning forest of the links leaves the task,
 a group. Components are then found over the forest's edges (components.roots), and each document
 gets the smallest doc_id of its component.
 
-Defined results: null and empty texts have fingerprint zero and link like any other; rows with
+Defined results: very long texts are fingerprinted as a whole; null and empty texts have fingerprint zero and link like any other; rows with
 equal doc_id are rows of their own; a null doc_id never names a component unless all its members
 are null; other columns are ignored; an empty table gives no rows.
 """

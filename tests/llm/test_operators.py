@@ -8,7 +8,9 @@ import zlib
 import numpy as np
 import pytest
 
-from siftlake.llm import attribution, bpe, fingerprint, line_dedup, media, mixing, packing, pii, quality, repeats, simhash
+from pyspark.sql import functions as F
+
+from siftlake.llm import attribution, bpe, common, fingerprint, line_dedup, media, mixing, packing, pii, quality, repeats, runs, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, ix string, kind string"
 
@@ -187,6 +189,58 @@ def test_added_spans():
     assert {s[0] for s in pii.find(text, pii.automaton())} >= {"url", "secret", "iban", "account"}
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "expected"),
+    [
+        ("IBAN GB82 WEST 1234 5698 7654 32 PLEASE PAY NOW", "iban", ["GB82 WEST 1234 5698 7654 32"]),
+        ("iban: DE89370400440532013000 BIC COBADEFF", "iban", ["DE89370400440532013000"]),
+        ("iBaN NO9386011117947, and Iban: GB82WEST12345698765432.", "iban", ["NO9386011117947", "GB82WEST12345698765432"]),
+        ("IBAN DE89370400440532013001", "iban", []),  # a wrong digit
+        ("IBAN GB82WEST12345698765432X", "iban", []),  # runs on
+        ("IBAN ZZ68123456789012345 THEN MORE", "iban", ["ZZ68123456789012345"]),  # no length known: the end with the right remainder
+        ("see (https://x.example/a_(b)). Or Https://y.example/c?d=1, hTTp://z.example; MAILTO:a.b@c.example!", "url", ["https://x.example/a_(b)", "Https://y.example/c?d=1", "hTTp://z.example", "MAILTO:a.b@c.example"]),
+        ("http://... and ftp://[x]/y]", "url", ["ftp://[x]/y"]),
+        ("PassWord = abcd1234 and Api_Key: k.e-y_12345", "secret", ["abcd1234", "k.e-y_12345"]),
+    ],
+)
+def test_boundaries_of_added_kinds(text, kind, expected):
+    if "ZZ68" in text:  # the check digits that fit
+        body = "123456789012345"
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{body}ZZ00")) % 97
+        text, expected = text.replace("ZZ68", f"ZZ{check:02d}"), [e.replace("ZZ68", f"ZZ{check:02d}") for e in expected]
+    assert [text[a:b] for k, a, b in pii.find(text, pii.automaton()) if k == kind] == expected
+
+
+def test_parts_are_bounded_by_bytes():
+    sizes = np.array([5, 5, 5, 100, 1, 1, 0, 0, 3])
+    cut = list(common.parts(sizes, 10, 3))
+    assert cut == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 9)] and list(common.parts(np.array([], dtype=np.int64), 10, 3)) == []
+
+
+def test_long_texts_go_by_themselves(spark):
+    """A text of 3 million characters between short ones, with parts of a thousand."""
+    long = "".join(f"word{i % 997} of line {i}\n" for i in range(150_000))
+    df = table(spark, [(1, "short", "s"), (2, long, "s"), (3, None, "s")], parts=1)
+    before = media.PART_CHARS, attribution.PART_CHARS
+    media.PART_CHARS = attribution.PART_CHARS = 1_000
+    try:
+        rows = {r["doc_id"]: r for r in media.to_media(df).select("doc_id", "n_bytes", "payload_sha256").collect()}
+        counts = attribution.count_tokens(df).groupBy("doc_id").agg({"n_tokens": "sum", "doc_tokens": "max", "section": "count"}).collect()
+    finally:
+        media.PART_CHARS, attribution.PART_CHARS = before
+    assert rows[2]["n_bytes"] == len(long) and rows[2]["payload_sha256"] == hashlib.sha256(media.pad(long.encode())).hexdigest()
+    assert all(r["sum(n_tokens)"] == r["max(doc_tokens)"] for r in counts) and {r["doc_id"]: r["count(section)"] for r in counts} == {1: 1, 2: 150_000, 3: 1}
+    assert [r["n_words"] for r in runs.find_runs(df).orderBy("doc_id").collect()] == [1, 600_000, 0]
+
+
+def test_null_ids_of_one_size_are_spread(spark):
+    df = table(spark, [(None, f"three words {i}", "s") for i in range(3000)])
+    sized = mixing.sized_documents(df)
+    place = F.pmod(F.xxhash64("doc_id", "size", "body", F.lit("mix")), F.lit(3))
+    assert sized.select(place.alias("p")).distinct().count() == 3
+    assert mixing.mix(df).agg(F.sum("taken")).first()[0] == pytest.approx(9000, rel=0.05)
+
+
 def test_media_round_trip(docs, rows):
     got = collections.defaultdict(list)
     for r in media.to_media(docs).collect():
