@@ -15,36 +15,47 @@ OUTPUT_PER_CALL = 718
 
 
 def at_ranks(rows: DataFrame, value: str, shares: dict[str, float], ranges: int = 256) -> DataFrame:
-    """One row: for each name the value at place floor(n * share) of the sorted ones, counted from 0.
+    """One row: for each name the value at place floor(n * share) of the sorted ones, counted from 0."""
+    return at_ranks_of(rows, {name: (value, share) for name, share in shares.items()}, ranges)
+
+
+def at_ranks_of(rows: DataFrame, wanted: dict[str, tuple[str, float]], ranges: int = 256) -> DataFrame:
+    """The same for names of (column, share), each by its column.
 
     Works on counts per distinct value, which are pre-aggregated and summed by ranges between quantiles; only the ranges
-    that hold a place are ordered. The driver sees the quantiles.
+    that hold a place are ordered. All columns, of one numeric type, go through the same two passes. The driver sees the quantiles.
     """
-    found = rows.select(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
-    cuts = sorted(set(found or []))
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < F.col("v"))) if cuts else F.lit(0)
-    counts = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")).withColumn("_range", at)
-    sums = counts.groupBy("_range").agg(F.sum("n").alias("n"))  # at most `ranges` rows
-    every = Window.partitionBy(F.lit(1))
-    sums = sums.select("_range", F.sum("n").over(every.orderBy("_range")).alias("upto"), F.sum("n").over(every).alias("total"), "n")
-    places = F.inline(F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.col("total") * share).alias("place")) for name, share in shares.items()]))
-    wanted = sums.select("_range", "upto", "n", places).where("place >= upto - n AND place < upto").select("_range", "name", (F.col("place") - F.col("upto") + F.col("n")).alias("left"))
+    columns = list(dict.fromkeys(column for column, _ in wanted.values()))
+    points = [i / ranges for i in range(1, ranges)]
+    found = rows.select(*[F.percentile_approx(column, points, 100 * ranges).alias(f"c{i}") for i, column in enumerate(columns)]).first()
+    at = F.lit(0)
+    for i in range(len(columns)):
+        if cuts := sorted(set(found[i] or [])):
+            at = F.when(F.col("c") == i, F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < F.col("v")))).otherwise(at)
+    values = rows.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(column).alias("v")) for i, column in enumerate(columns)])))
+    counts = values.groupBy("c", "v").agg(F.count("*").alias("n")).withColumn("_range", at)
+    sums = counts.groupBy("c", "_range").agg(F.sum("n").alias("n"))  # at most `ranges` rows a column
+    every = Window.partitionBy("c")
+    sums = sums.select("c", "_range", F.sum("n").over(every.orderBy("_range")).alias("upto"), F.sum("n").over(every).alias("total"), "n")
+    places = F.inline(F.array(*[F.struct(F.lit(columns.index(column)).alias("of"), F.lit(name).alias("name"), F.floor(F.col("total") * share).alias("place")) for name, (column, share) in wanted.items()]))
+    met = sums.select("c", "_range", "upto", "n", places).where("of = c AND place >= upto - n AND place < upto")
+    met = met.select("c", "_range", "name", (F.col("place") - F.col("upto") + F.col("n")).alias("left"))
     running = F.sum("n").over(Window.partitionBy("name").orderBy("v"))
-    met = counts.join(F.broadcast(wanted), "_range").withColumn("upto", running).where(F.col("upto") > F.col("left"))  # a row a share
-    return met.agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
+    reached = counts.join(F.broadcast(met), ["c", "_range"]).withColumn("upto", running).where(F.col("upto") > F.col("left"))  # a row a name
+    return reached.agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in wanted])
 
 
 def plan_by_size(lanes: DataFrame) -> DataFrame:
     """Ceilings per lane from seed_bytes, and a flag on the top quartile by bytes or by files."""
     ceiling = half_up(F.col("seed_bytes") / 4 * PASS_MULTIPLIER)
-    out = lanes.crossJoin(F.broadcast(at_ranks(lanes, "seed_bytes", {"_bytes": 0.75}))).crossJoin(F.broadcast(at_ranks(lanes, "seed_files", {"_files": 0.75})))  # one row each
-    return out.withColumns(
+    bounds = at_ranks_of(lanes.select(F.col("seed_bytes").cast("long"), F.col("seed_files").cast("long")), {"_bytes": ("seed_bytes", 0.75), "_files": ("seed_files", 0.75)})
+    return lanes.crossJoin(F.broadcast(bounds)).withColumns(  # one row
         {
             "token_ceiling": ceiling,
             "seconds_ceiling": F.greatest(F.lit(LEAST_SECONDS).cast("long"), half_up(ceiling / TOKENS_PER_SECOND)),
             "escalate": (F.col("seed_bytes") >= F.col("_bytes")) | (F.col("seed_files") >= F.col("_files")),
         }
-    ).drop("_bytes", "_files")
+    ).drop("_bytes", "_files")
 
 
 def calls_per_chunk(mode: str, classes: Column, passes: int = 1, group: int = 3) -> Column:
