@@ -5,6 +5,7 @@ from siftlake.plans import (  # noqa: F401
     coverage_queries,
     finding_queries,
     loop_queries,
+    reader_queries,
     recon_queries,
     route_queries,
     scoring_queries,
