@@ -83,7 +83,10 @@ def fenced_json(text: Column, variant: str = "object") -> Column:
 
 
 def is_transient_error(message: Column, status: Column | None = None) -> Column:
-    """Worth a retry: by status code, or by what the message names."""
+    """Worth a retry: by status code, or by what the message names.
+
+    Status numbers, `timed out` and `socket hang up` in the message are our extension: ledgers often keep the message alone.
+    """
     named = F.coalesce(message.rlike(r"(?i)\b(429|502|503|504)\b|timeout|timed out|ECONNRESET|ETIMEDOUT|socket hang up|rate limit"), F.lit(False))
     return named if status is None else named | F.coalesce(status.isin(429, 502, 503, 504), F.lit(False))
 

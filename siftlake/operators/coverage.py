@@ -35,14 +35,14 @@ def category_verdicts(flags: DataFrame, rules: list = VERDICT_RULES) -> DataFram
 def tool_calling(files: DataFrame) -> DataFrame:
     """Files (path, content) with the tools that they define for a model, whether they really call tools, and why one thinks so."""
     has = lambda *words: F.exists(F.array(*map(F.lit, words)), lambda word: F.contains("content", word))
-    tools = F.regexp_extract_all("content", F.lit(r"(\w+):\s*tool\(\{"), F.lit(1))
-    stream, defines, executes = has("streamText("), has("tool({"), has("execute:")
+    tools = F.regexp_extract_all("content", F.lit(dims.TOOL_NAME), F.lit(1))
+    stream, defines, executes = map(has, dims.TOOL_MARKS)
     said = [
         (stream, F.lit("streams text from a model")),
         (defines, F.concat(F.lit("defines "), F.size("tools").cast("string"), F.lit(" tools"))),
         (executes, F.lit("executes tools")),
-        (has(".create(", ".update(", ".delete(", "generateCoupon"), F.lit("changes state")),
-        (has(".findAll(", ".findOne(", ".findByPk(", "find({"), F.lit("reads data")),
+        (has(*dims.TOOL_WRITES), F.lit("changes state")),
+        (has(*dims.TOOL_READS), F.lit("reads data")),
     ]
     rows = files.select("path", "content", tools.alias("tools"))
     genuine = stream & defines & executes & (F.size("tools") > 0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake import dims
+from siftlake.operators.ranking import first_of_group
 
 LINE_BUDGET, OVERLAP = 2000, 20
 
@@ -82,3 +83,27 @@ def pending(lanes: DataFrame, consumption: DataFrame, most: int | None = None, o
 def class_groups(lanes: DataFrame, size: int) -> DataFrame:
     groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("classes") - 1) / size).cast("int")), lambda i: F.slice("classes", i * size + 1, size))
     return lanes.withColumn("groups", groups)
+
+
+def planned(lanes: DataFrame, plan: DataFrame) -> DataFrame:
+    """Lanes with the columns of their budget plan (lane_id, ...); `unplanned` ones are skipped by a run."""
+    known = plan.withColumn("_planned", F.lit(True))
+    return lanes.join(known, "lane_id", "left").withColumn("unplanned", F.col("_planned").isNull()).drop("_planned")
+
+
+def escalations(lanes: DataFrame, found: DataFrame) -> DataFrame:
+    """Lanes with `found`, the findings (lane_id, found) of the first phase, 0 where there are none."""
+    return lanes.join(found.select("lane_id", "found"), "lane_id", "left").withColumn("found", F.coalesce("found", F.lit(0).cast("long")))
+
+
+def approved(requests: DataFrame, decisions: DataFrame, key: list[str]) -> DataFrame:
+    """Requests with `approved`: whether a decision of the same key, a lane and a file for instance, is there."""
+    known = decisions.select(*key).distinct().withColumn("_yes", F.lit(True))
+    return requests.join(known, key, "left").withColumn("approved", F.coalesce("_yes", F.lit(False))).drop("_yes")
+
+
+def seed_files(of_handlers: DataFrame, extras: DataFrame, most: int) -> DataFrame:
+    """Files (lane_id, path) of each lane's handlers and of its extras, once each, the first `most` in order of path."""
+    every = of_handlers.select("lane_id", "path").unionByName(extras.select("lane_id", "path")).distinct()
+    first = first_of_group(every, ["lane_id"], ["path"], most)
+    return first.groupBy("lane_id").agg(F.array_sort(F.collect_list("path")).alias("seed_files"))

@@ -208,9 +208,9 @@ def tokens_spent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).agg(F.sum(F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))).alias("tokens"))
 
 
-@query("WITH r AS (SELECT concat(event_type, ': ', props) AS reason FROM events WHERE value > 10) SELECT reason, count(*) AS lanes FROM r GROUP BY 1")
+@query("WITH r AS (SELECT concat(event_type, ': ', props) AS reason FROM events) SELECT reason, count(*) AS lanes FROM r GROUP BY 1")
 def failure_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reasons = V.table(spark, sf_dir, "events").where("value > 10").select(F.concat("event_type", F.lit(": "), "props").alias("reason"))
+    reasons = V.table(spark, sf_dir, "events").select(F.concat("event_type", F.lit(": "), "props").alias("reason"))
     return reasons.groupBy("reason").agg(F.count("*").alias("lanes"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftlake import dims
 from siftlake.operators import corpus as K
 from siftlake.operators import coverage as C
+from siftlake.operators import lanes as L
 from siftlake.operators import recon as R
 from siftlake.plans import views as V
 from siftlake.plans.registry import query
@@ -219,15 +220,15 @@ def tool_calling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     V.with_views(
         "v_file",
-        f"{_TOOL_SQL}, f AS (SELECT bool_or(genuine) AS has_tools, (SELECT count(*) > 0 FROM part WHERE p_size > 50) AS has_api FROM g), c AS (SELECT * FROM "
+        f"{_TOOL_SQL}, f AS (SELECT bool_or(genuine) AS has_tools, (SELECT count(*) > 0 FROM part WHERE p_size > 25) AS has_api FROM g), c AS (SELECT * FROM "
         + dims.sql_values([(kind, *row) for kind, rows in dims.CATEGORIES.items() for row in rows], "v(kind, name, framework)")
         + ") SELECT name, framework FROM c, f WHERE kind = 'always' OR (kind = 'api' AND has_api) OR (kind = 'tools' AND has_tools)",
     )
 )
 def category_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The categories to judge: those of tool calling, as files call tools, and not those of an API, as none is there."""
+    """The categories to judge: those of tool calling if files call tools, and those of an API if large parts are there."""
     flags = _tooled(spark, sf_dir).agg(F.coalesce(F.bool_or("genuine"), F.lit(False)).alias("has_tools"))
-    api = V.table(spark, sf_dir, "part").agg((F.count_if(F.col("p_size") > 50) > 0).alias("has_api"))
+    api = V.table(spark, sf_dir, "part").agg((F.count_if(F.col("p_size") > 25) > 0).alias("has_api"))
     return C.category_list(flags.crossJoin(api))  # one row each
 
 
@@ -272,12 +273,8 @@ def crud_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(V.with_views("v_file", "SELECT dir AS lane_id, list_sort(list(DISTINCT path))[1:3] AS seed_files FROM v_file WHERE ord % 2 = 0 OR ord % 7 = 0 GROUP BY 1"))
 def seed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of each lane's handlers and extras, once each, the first three in order."""
-    from siftlake.operators.ranking import first_of_group
-
     files = V.files(spark, sf_dir).select(F.col("dir").alias("lane_id"), "path", "ord")
-    every = files.where("ord % 2 = 0").unionByName(files.where("ord % 7 = 0")).select("lane_id", "path").distinct()
-    first = first_of_group(every, ["lane_id"], ["path"], 3)
-    return first.groupBy("lane_id").agg(F.array_sort(F.collect_list("path")).alias("seed_files"))
+    return L.seed_files(files.where("ord % 2 = 0"), files.where("ord % 7 = 0"), 3)
 
 
 _IMPORTS = ['import S from "sequelize"', 'const t = require("typeorm")', "db.query(sql)", 'import x from "./mongoose"']

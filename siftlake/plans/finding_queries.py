@@ -10,6 +10,7 @@ from siftlake.functions import text as X
 from siftlake.functions.paths import normalized
 from siftlake.operators import corpus as K
 from siftlake.operators import findings as G
+from siftlake.operators import lanes as L
 from siftlake.plans import views as V
 from siftlake.plans.registry import query
 from siftlake.streaming import budget as T
@@ -71,7 +72,7 @@ def finding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of each conversation as findings: a line per word of the whole text, the title the role, the description the text."""
     talk = V.table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
-    line = lambda word: F.pmod(F.xxhash64(word), F.lit(997)).cast("int")
+    line = lambda word: (F.conv(F.substring(F.md5(word), 1, 4), 16, 10).cast("int") % 997).cast("int")
     words = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda word: word != ""))
     steps = F.transform(F.array_sort(F.array_distinct(F.transform(words, line))), lambda n: F.struct(F.lit("propagation").alias("kind"), F.lit("a.ts").alias("file"), n.alias("line")))
     return talk.select(
@@ -93,13 +94,43 @@ def trace_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.merged(turns(spark, sf_dir))
 
 
-@query()
+_LIKE = "[CASE WHEN len(list_intersect(k.lines, x.known[1].lines)) >= 2 OR (len(list_intersect(k.lines, x.known[1].lines)) = 1 AND k.title = x.known[1].title) THEN 2 * len(list_intersect(k.lines, x.known[1].lines)) + (k.title = x.known[1].title)::INT ELSE 0 END FOR k IN acc.known]"
+_PLACE = f"list_position({_LIKE}, list_max({_LIKE}))"
+_STATE = "turn: x.turn, turns: acc.turns + (x.turn > acc.turn)::INT, over: false"
+_REPLAY = f"""WITH t AS (SELECT conv_id::VARCHAR AS lane, turn, trim(coalesce(role, '')) AS title, list_distinct([(concat('0x', md5(w)[1:4]))::INT % 997 FOR w IN list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')]) AS lines FROM conversations),
+l AS (SELECT lane, list({{known: [{{title: title, lines: lines}}], turn: turn, turns: 1, gained: true, over: false}} ORDER BY turn) AS rows FROM t GROUP BY 1),
+r AS (SELECT lane, list_reduce(rows, lambda acc, x: CASE WHEN acc.over OR (x.turn > acc.turn AND acc.turns > 1 AND NOT acc.gained) THEN {{known: acc.known, turn: acc.turn, turns: acc.turns, gained: acc.gained, over: true}}
+  WHEN list_max({_LIKE}) = 0 THEN {{known: list_concat(acc.known, x.known), {_STATE.replace(", over", ", gained: true, over")}}}
+  ELSE {{known: [CASE WHEN i = {_PLACE} THEN {{title: acc.known[i].title, lines: list_distinct(list_concat(acc.known[i].lines, x.known[1].lines))}} ELSE acc.known[i] END FOR i IN range(1, len(acc.known) + 1)],
+    {_STATE.replace(", over", f", gained: (acc.gained AND x.turn = acc.turn) OR len(list_filter(x.known[1].lines, lambda n: NOT list_contains(acc.known[{_PLACE}].lines, n))) > 0, over")}}} END).known AS known FROM l)
+SELECT lane, len(known)::BIGINT AS findings, list_sum([len(k.lines) FOR k IN known])::BIGINT AS steps FROM r"""
+
+
+@query(_REPLAY)
 def loop_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many findings each conversation ends with, replaying its turns up to the first that adds nothing."""
     return trace_merge(spark, sf_dir).groupBy("lane").agg(F.count("*").alias("findings"), F.sum(F.size("trace")).alias("steps"))
 
 
-@query()
+#: Two folds: files of a large folder cut in order, then parts and folders dealt to the first shard with room.
+_SHARDS = """f AS (SELECT dir AS zone, concat(dir, '/', ord // 100) AS dir, path, bytes::BIGINT AS bytes, ord FROM v_file), d AS (SELECT zone, dir, sum(bytes)::BIGINT AS whole, count(*) AS n, min(ord) AS first FROM f GROUP BY 1, 2),
+c AS (SELECT zone, dir, list({part: 0, used: bytes, out: [{path: path, bytes: bytes, part: 0}]} ORDER BY ord, path) AS rows FROM f JOIN d USING (zone, dir) WHERE whole > 20000 AND n > 1 GROUP BY 1, 2),
+r AS (SELECT zone, dir, list_reduce(rows, lambda acc, x: CASE WHEN acc.used + x.used > 20000 THEN {part: acc.part + 1, used: x.used, out: list_append(acc.out, {path: x.out[1].path, bytes: x.out[1].bytes, part: acc.part + 1})}
+  ELSE {part: acc.part, used: acc.used + x.used, out: list_append(acc.out, {path: x.out[1].path, bytes: x.out[1].bytes, part: acc.part})} END).out AS out FROM c),
+u AS (SELECT zone, dir, unnest(out) AS o FROM r), p AS (SELECT zone, dir, o.part AS part, sum(o.bytes)::BIGINT AS bytes FROM u GROUP BY 1, 2, 3),
+i AS (SELECT zone, dir, -1 AS part, whole AS bytes, whole, first FROM d WHERE NOT (whole > 20000 AND n > 1) UNION ALL SELECT p.zone, p.dir, p.part, p.bytes, d.whole, d.first FROM p JOIN d ON p.zone = d.zone AND p.dir = d.dir),
+l AS (SELECT zone, list({rooms: [0::BIGINT], out: [{dir: dir, part: part, bytes: bytes, shard: -1}]} ORDER BY whole DESC, first, dir, part) AS rows FROM i GROUP BY 1),
+s AS (SELECT zone, list_prepend({rooms: list_filter([0::BIGINT], lambda v: false), out: list_filter(rows[1].out, lambda v: false)}, rows) AS rows FROM l),
+k AS (SELECT zone, list_reduce(rows, lambda acc, x: CASE WHEN x.out[1].part < 0 AND len(list_filter(acc.rooms, lambda v: v >= x.out[1].bytes)) > 0
+  THEN {rooms: [CASE WHEN n = list_position([v >= x.out[1].bytes FOR v IN acc.rooms], true) THEN acc.rooms[n] - x.out[1].bytes ELSE acc.rooms[n] END FOR n IN range(1, len(acc.rooms) + 1)],
+    out: list_append(acc.out, {dir: x.out[1].dir, part: x.out[1].part, bytes: x.out[1].bytes, shard: (list_position([v >= x.out[1].bytes FOR v IN acc.rooms], true) - 1)::INT})}
+  ELSE {rooms: list_append(acc.rooms, greatest(-1, 20000 - x.out[1].bytes)), out: list_append(acc.out, {dir: x.out[1].dir, part: x.out[1].part, bytes: x.out[1].bytes, shard: len(acc.rooms)::INT})} END).out AS out FROM s),
+g AS (SELECT zone, unnest(out) AS o FROM k)
+SELECT zone, o.shard AS shard, o.dir AS dir, NULL::VARCHAR AS path, o.bytes AS bytes FROM g WHERE o.part < 0
+UNION ALL SELECT u.zone, g.o.shard, u.dir, u.o.path, u.o.bytes FROM u JOIN g ON g.zone = u.zone AND g.o.dir = u.dir AND g.o.part = u.o.part"""
+
+
+@query(V.with_views("v_file", _SHARDS))
 def shard_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders of a hundred documents packed first-fit into shards, per source."""
     files = V.files(spark, sf_dir).select(F.col("dir").alias("zone"), F.concat("dir", F.lit("/"), F.floor(F.col("ord") / 100)).alias("dir"), "path", F.col("bytes").cast("long").alias("bytes"), "ord")
@@ -243,10 +274,9 @@ def class_provider_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l.lane_id, p.ceiling, coalesce(h.n_found, 0) AS found, p.ceiling IS NULL AS unplanned, l.lane_id % 4 = 0 AS approved FROM lane l LEFT JOIN plan p ON p.lane_id = l.lane_id LEFT JOIN hits h ON h.lane_id = l.lane_id"""
 )
 def lane_budget_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lanes with their plan (missing: unplanned), phase-one counts (missing: 0) and scope decisions (missing: not approved)."""
+    """Lanes with their plan (missing: skipped), phase-one counts (missing: 0) and scope decisions (missing: not approved)."""
     lanes = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("lane_id"), F.col("s_nationkey").alias("n"))
     plan = lanes.where("n % 6 > 0").select("lane_id", (F.col("n") * 100).alias("ceiling"))
-    hits = V.table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_suppkey % 5 > 0").groupBy(F.col("l_suppkey").alias("lane_id")).agg(F.count("*").alias("n_found"))
-    decisions = lanes.where("lane_id % 4 = 0").select("lane_id", F.lit(True).alias("yes"))
-    joined = lanes.join(plan, "lane_id", "left").join(hits, "lane_id", "left").join(decisions, "lane_id", "left")
-    return joined.select("lane_id", "ceiling", F.coalesce("n_found", F.lit(0)).alias("found"), F.col("ceiling").isNull().alias("unplanned"), F.coalesce("yes", F.lit(False)).alias("approved"))
+    hits = V.table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_suppkey % 5 > 0").groupBy(F.col("l_suppkey").alias("lane_id")).agg(F.count("*").alias("found"))
+    decisions = lanes.where("lane_id % 4 = 0").select("lane_id")
+    return L.approved(L.escalations(L.planned(lanes, plan), hits), decisions, ["lane_id"]).select("lane_id", "ceiling", "found", "unplanned", "approved")
