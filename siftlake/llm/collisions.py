@@ -224,6 +224,14 @@ def text_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     return nodes.join(labels.join(lowest, "root").select("node", "component"), "node", "left").select("h1", "h2", "n_shingles", "first", F.coalesce("component", "first").alias("component"))
 
 
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """id, h1 and h2 of the documents that stay: the first of each component, a null id after all others. Here texts without words
+    are copies of each other, as all of them but one are to go."""
+    known = text_components(docs, width, percent, cell_bytes)
+    none = known.where("n_shingles = 0").agg(F.min("first").alias("component")).where("component IS NOT NULL")
+    return known.where("n_shingles > 0").select("component").distinct().unionByName(none).select("component.id", "component.h1", "component.h2")
+
+
 def _texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """needed with the text of one document each."""
     own = needed.withColumnsRenamed({"id": "its_id", "h1": "its_h1", "h2": "its_h2"})

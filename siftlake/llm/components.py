@@ -1,4 +1,8 @@
-"""Connected components by contraction, over edge tables of any size."""
+"""Connected components by contraction, over edge tables of any size.
+
+Defined results: edges may repeat, in either direction, and lead from a node to itself, which adds nothing; nodes are whole
+numbers, and rows with a null end are no edges; a table without edges gives no rows; other columns are ignored.
+"""
 
 from __future__ import annotations
 
