@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as P
-from siftlake.llm import mixing
+from siftlake.llm import bpe, mixing
 
 from .test_operators import brute_print, groups
 
@@ -79,8 +79,8 @@ def similarity(one, other):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_near_stage_finds_planted_copies(spark, small, monkeypatch):
+@pytest.mark.parametrize("cell_bytes", [8 << 20, 20_000])
+def test_near_stage_finds_planted_copies(spark, cell_bytes, monkeypatch):
     draw = np.random.default_rng(3)
     words = np.array([f"w{i}" for i in range(5000)])
     texts = []
@@ -95,14 +95,14 @@ def test_near_stage_finds_planted_copies(spark, small, monkeypatch):
     order = draw.permutation(len(texts))
     rows = [(int(i), texts[j][1], "s0") for i, j in enumerate(order)]
     group_of = {int(i): texts[j][0] for i, j in enumerate(order)}
-    monkeypatch.setattr(P.near_copies.distinct_documents, "__defaults__", (small,))
+    monkeypatch.setattr(P.collisions.distinct_documents, "__defaults__", (5, 80, cell_bytes))
     kept = {r["doc_id"] for r in P.drop_near_copies(spark, made(spark, rows), "").collect()}
     near = {(a, b): similarity(rows[a][1], rows[b][1]) >= 0.8 for a in group_of for b in group_of if a < b and group_of[a] == group_of[b]}
     assert sum(near.values()) > 100
     assert not [p for p, is_near in near.items() if is_near and set(p) <= kept]
     top = groups(len(rows), np.array([p for p, is_near in near.items() if is_near]))
     least = [min(i for i in group_of if top[i] == g) for g in sorted(set(top))]
-    assert set(least) <= kept
+    assert set(least) == kept
     alone = {i for i in group_of if not any(is_near for p, is_near in near.items() if i in p)}
     assert alone and alone <= kept
 
@@ -122,6 +122,68 @@ def test_mix_stage_repeats_by_target(spark, rows, sf_dir):
     assert max(collections.Counter((r["doc_id"], r["text"]) for r in got).values()) <= 6
 
 
+def test_mix_stage_is_close_on_many_documents(spark, sf_dir):
+    """Unlike documents of three sources: every source within a twentieth of its target, none more than three times."""
+    draw = np.random.default_rng(23)
+    many = [(i, " ".join(f"w{i}x{j}" for j in range(int(draw.integers(1, 60)))), ["a", "b", "c"][int(draw.choice(3, p=[0.7, 0.2, 0.1]))]) for i in range(3000)]
+    got = P.mix_sources(spark, made(spark, many), sf_dir).select("doc_id", "source", "text").collect()
+    size = {i: len(t.split()) for i, t, _ in many}
+    total = {s: sum(size[i] for i, _, own in many if own == s) for s in "abc"}
+    for s, goal in zip("abc", mixing.targets(list(total.values())), strict=True):
+        assert sum(size[r["doc_id"]] for r in got if r["source"] == s) == pytest.approx(goal, rel=0.05)
+    assert max(collections.Counter(r["doc_id"] for r in got).values()) <= 3
+
+
+def lines_without_repeats(texts, least=10):
+    """Texts in order of (doc_id, hash), lines of many documents where they come first alone: what the line stage does."""
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").lower()
+    holders = collections.defaultdict(set)
+    for n, text in enumerate(texts):
+        for line in text.split("\n"):
+            holders[key(line)].add(n)
+    return {k for k, n in holders.items() if k and len(n) >= least}
+
+
+def test_run_stage_by_stage(spark, sf_dir, rows, monkeypatch):
+    """Each stage's table, kept for the test, against what the one before it wrote."""
+    monkeypatch.setattr(P.common, "removed", lambda spark, folder: None)
+    found = P.run(spark, sf_dir)
+    (folder,) = {file.rsplit("/", 2)[0] for file in found.inputFiles()}
+    tables = {name: spark.read.parquet(f"{folder}/{name}").collect() for name, _ in P.STAGES}
+    pairs = lambda table: collections.Counter((r["doc_id"], r["text"]) for r in table)
+    given = pairs(spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    quality = pairs(tables["quality"])
+    assert not quality - given and not any(i is not None and i >= 1000 for i, _ in quality) and all(quality[i, t] == given[i, t] for i, t in given if i is not None and i < 60)
+    texts = [r["text"] or "" for r in tables["quality"]]
+    common = lines_without_repeats(list(dict.fromkeys(texts)) + [t for t in texts if texts.count(t) > 1])
+    assert len(tables["line_dedup"]) == len(tables["quality"])
+    held = collections.Counter(line.strip().lower() for r in tables["line_dedup"] for line in (r["text"] or "").split("\n"))
+    assert common and all(held[k] == 1 for k in common)
+    dropped = sum(len(t.split("\n")) for t in texts) - sum(len((r["text"] or "").split("\n")) for r in tables["line_dedup"] if r["text"])
+    assert dropped > 0
+    before, kept = [(r["doc_id"], r["text"]) for r in tables["line_dedup"]], pairs(tables["near_dedup"])
+    sets = [five(t) for _, t in before]
+    near = [(i, j) for i in range(len(before)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    top, least = groups(len(before), near), {}
+    for (i, t), g in zip(before, top, strict=True):
+        if g not in least or (i is not None and (least[g] is None or i < least[g])):
+            least[g] = i
+    assert sorted((i for i, _ in kept.elements()), key=repr) == sorted(least.values(), key=repr) and not set(kept) - set(before)
+    mixed = pairs(tables["mix"])
+    assert set(mixed) <= set(kept) and all(n <= 3 * kept[k] for k, n in mixed.items())
+    tokens = collections.Counter()
+    for r in tables["pack"]:
+        tokens[r["doc_id"]] += r["length"]
+    encoder = bpe.load()
+    assert tokens == collections.Counter({i: sum((len(encoder.encode(t or "")) + 1) * n for (j, t), n in mixed.items() if j == i) for i in {i for i, _ in mixed}})
+
+
+def five(text):
+    """Five-word shingles; texts without words are alike."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def test_run(spark, sf_dir):
     found = P.run(spark, sf_dir)
     got = found.collect()
