@@ -112,10 +112,23 @@ def calls_per_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("ord", *[calls(mode, F.col("n"), 2, 3).cast("long").alias(mode) for mode in ("none", "trace", "sweep")])
 
 
-@query()
+_NEW_TURN = "(x.turn > acc.turn)"
+_MERGED = f"""WITH i AS (SELECT (l_orderkey // 4)::VARCHAR AS lane, (l_linenumber - 1)::INT AS turn, l_returnflag AS title, ((((l_orderkey * 100000 + l_partkey) * 1000 + l_suppkey % 1000) * 100 + l_quantity))::BIGINT AS ord,
+list_distinct([{_LIST}[CAST(l_partkey % 7 AS INT) + 1], {_LIST}[CAST(l_suppkey % 7 AS INT) + 1]]) AS classes, list_distinct([(l_partkey % 30)::INT, (l_suppkey % 30)::INT, CAST(floor(l_quantity % 10) AS INT)]) AS lines FROM lineitem),
+l AS (SELECT lane, list({{known: [{{title: title, classes: classes, lines: lines}}], turn: turn, turns: 0, gained: false, over: false}} ORDER BY turn, ord) AS rows FROM i GROUP BY 1),
+s AS (SELECT lane, list_prepend({{known: list_filter(rows[1].known, lambda k: false), turn: -1, turns: 0, gained: false, over: false}}, rows) AS rows FROM l),
+r AS (SELECT lane, list_reduce(rows, lambda acc, x: CASE WHEN acc.over OR ({_NEW_TURN} AND acc.turns > 1 AND NOT acc.gained) THEN {{known: acc.known, turn: acc.turn, turns: acc.turns, gained: acc.gained, over: true}}
+  WHEN coalesce(list_max({_SCORES}), 0) = 0 THEN {{known: list_concat(acc.known, x.known), turn: x.turn, turns: acc.turns + {_NEW_TURN}::INT, gained: true, over: false}}
+  ELSE {{known: {_WOVEN}, turn: x.turn, turns: acc.turns + {_NEW_TURN}::INT, gained: (acc.gained AND NOT {_NEW_TURN}) OR {_NEWS}, over: false}} END).known AS known FROM s)
+SELECT lane, len(known)::BIGINT AS findings, list_sum([len(k.lines) FOR k IN known])::BIGINT AS steps, list_sum([len(k.classes) FOR k IN known])::BIGINT AS classes FROM r"""
+
+
+@query(_MERGED)
 def merge_findings_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns folded by a table function that asks for each lane's rows in order; tests hold it against the DataFrame form."""
+    """Turns folded by a table function that asks for each lane's rows in order; what each lane ends with."""
     from siftlake.functions import tables
 
     tables.register(spark)
-    return spark.sql("SELECT * FROM merge_findings(TABLE({rows}))", rows=conversations(spark, sf_dir)[0].select(*G._NAMES))
+    return spark.sql(
+        "SELECT lane, count(*) AS findings, sum(size(trace)) AS steps, sum(size(classes)) AS classes FROM merge_findings(TABLE({rows})) GROUP BY lane", rows=conversations(spark, sf_dir)[0].select(*G._NAMES)
+    )
