@@ -3,6 +3,7 @@
 Attempts (run, ord, lane_id, failed, result) come in any number of micro-batches. The state of a run is a map
 of its lanes; an attempt at a lane that is done is a repetition and goes, one that failed leaves the lane open for the next, and the
 first one that succeeds is let through and closes it. The map can start from an earlier run's checkpoint, in either of its shapes.
+Of attempts at one place the one that succeeds comes first, so that only failures before it count.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class ResumeRun(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        for row in pd.concat(list(rows)).sort_values("ord").to_dict("records"):
+        for row in pd.concat(list(rows)).sort_values(["ord", "failed"]).to_dict("records"):
             done, tries = self._known(row["lane_id"])
             if done:
                 continue
