@@ -19,17 +19,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.operators.findings import _NAMES, SCHEMA, LaneFindings, walked
 from siftlake.operators.lanes import class_groups
-from siftlake.operators.ranking import null_safe
 
 MODES = ("none", "trace", "gap", "reflect", "sweep")
 PASSES, GROUP = 1, 3
 YIELDS = "lane string, turn int, mode string, emitted int, added int, revised int"
+TOTALS = "lane string, calls long, emitted long, added long, revised long, findings long, steps long"
 
 
 class Loop:
@@ -97,19 +96,22 @@ class Loop:
 
 
 class _Walk:
-    """A loop fed by sorted rows, of which the first says what lane it is."""
+    """A loop fed by sorted rows, of which the first says what lane it is. Rows without such a one are of no lane that was asked for."""
 
     def __init__(self, loop: Loop, out: Callable[[Loop], list[tuple]]):
-        self.loop, self.out = loop, out
+        self.loop, self.out, self.opened = loop, out, False
 
     def take(self, row: dict) -> list[tuple]:
         if row["turn"] < 0:
-            self.loop.open(None if pd.isna(row["lane"]) else row["lane"], [list(g) for g in row["groups"]])
-        else:
+            self.opened = True
+            self.loop.open(row["lane"], [list(g) for g in row["groups"]])
+        elif self.opened:
             self.loop.take(row)
         return []
 
     def close(self) -> list[tuple]:
+        if not self.opened:
+            return []
         self.loop.end()
         return self.out(self.loop)
 
@@ -122,7 +124,7 @@ def _walked(findings: DataFrame, lanes: DataFrame, mode: str, passes: int, group
     # Every lane opens with a row before its first turn; lanes without classes have no groups.
     known = class_groups(lanes.select("lane", F.coalesce("classes", F.array().cast("array<string>")).alias("classes")), group)
     opening = known.select("lane", F.lit(-1).alias("turn"), F.lit(-1).cast("long").alias("ord"), F.when(F.size("classes") > 0, F.col("groups")).otherwise(F.array().cast("array<array<string>>")).alias("groups"))
-    rows = null_safe(findings.select(*_NAMES), lanes.select("lane"), ["lane"], "left_semi").unionByName(opening, allowMissingColumns=True)
+    rows = findings.select(*_NAMES).where("turn >= 0").unionByName(opening, allowMissingColumns=True)
     return walked(rows, ["lane"], ["turn", "ord"], lambda: _Walk(Loop(mode, passes, gap_revises), out), schema)
 
 
@@ -135,3 +137,15 @@ def replayed(findings: DataFrame, lanes: DataFrame, mode: str, passes: int = PAS
 def yields(findings: DataFrame, lanes: DataFrame, mode: str, passes: int = PASSES, group: int = GROUP, gap_revises: bool = False) -> DataFrame:
     """A row for each call: its turn, its mode (in sweep with the group's classes), and findings emitted, added and revised."""
     return _walked(findings, lanes, mode, passes, group, gap_revises, lambda loop: [tuple(c) for c in loop.calls], YIELDS)
+
+
+def totals(findings: DataFrame, lanes: DataFrame, mode: str, passes: int = PASSES, group: int = GROUP, gap_revises: bool = False) -> DataFrame:
+    """A row for each lane, of one walk: its calls, what they yielded in all, and the findings and trace steps that it ends with."""
+
+    def out(loop: Loop) -> list[tuple]:
+        emitted, added, revised = (sum(call[i] for call in loop.calls) for i in (3, 4, 5))
+        return [(loop.lane, len(loop.calls), emitted, added, revised, len(loop.known.known), sum(len(f["trace"]) for f in loop.known.known))]
+
+    # Of the texts only the title has a say in what is like what.
+    bare = findings.withColumns({"finding_id": F.lit(None).cast("string"), "description": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
+    return _walked(bare, lanes, mode, passes, group, gap_revises, out, TOTALS)
