@@ -83,10 +83,13 @@ def backed_files(truth: DataFrame, symbols: DataFrame, routes: DataFrame) -> Dat
     middleware. `routes` of each, and whether all say who may call."""
     first = lambda text: F.substring_index(text, ".", 1)
     tokens = F.filter(F.split(F.translate(F.array_join("middleware", " "), "(),", "   "), r"\s+"), lambda word: word != "")
-    named = routes.select("ord", "auth", F.explode(F.array_distinct(F.array_compact(F.concat(F.array(first(F.col("handler"))), F.transform(tokens, first))))).alias("name"))
+    names = F.filter(F.array_compact(F.concat(F.array(first(F.col("handler"))), F.transform(tokens, first))), lambda name: name != "")
+    # Routes of the same names meet the same files, so the few sets of names are joined and not the routes.
+    own = routes.select("ord", "auth", names.alias("names")).groupBy("ord", "auth").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+    sets = own.groupBy("names", F.col("auth").isNotNull().alias("guarded")).agg(F.count("*").alias("n"))
     files = truth.select("file").distinct().join(symbols.select("file", "name").distinct(), "file")
-    met = files.join(named.where("name <> ''"), "name").select("file", "ord", "auth").distinct()
-    return met.groupBy("file").agg(F.count("*").alias("routes"), F.min(F.col("auth").isNotNull()).alias("all_guarded"))
+    met = sets.withColumn("name", F.explode("names")).join(files, "name").select("file", "names", "guarded", "n").distinct()
+    return met.groupBy("file").agg(F.sum("n").alias("routes"), F.min("guarded").alias("all_guarded"))
 
 
 def crud_of_files(crud: DataFrame, symbols: DataFrame) -> DataFrame:
