@@ -2,19 +2,23 @@
 
     SELECT * FROM chunk_plan(TABLE(files), 'lines', 2000, 20)
     SELECT * FROM merge_findings(TABLE(findings))
+    SELECT * FROM merged_sizes(TABLE(SELECT lane, turn, title, lines, classes FROM findings DISTRIBUTE BY lane SORT BY lane, turn, ord))
 
 merge_findings asks for its rows by itself: partitioned by lane and ordered by turn and ord, whatever their order in the table. chunk_plan
-takes rows as they come and keeps their columns.
+takes rows as they come and keeps their columns. merged_sizes makes the same merge where only its sizes are asked for: it takes Arrow batches
+of rows that are together by lane and in order, with the lines of a trace and the names of classes as lists.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, arrow_udtf, udtf
 
+from siftlake.functions.records import parts, values
 from siftlake.operators import findings as G
 from siftlake.operators.lanes import LINE_BUDGET, OVERLAP
 
@@ -83,9 +87,41 @@ class MergeFindings:
         yield from self.fold.close()
 
 
+class MergedSizes:
+    """What each lane's findings come to once merged: how many, and the steps and classes of all."""
+
+    def __init__(self):
+        self.at, self.fold = None, None
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        for part in parts(rows, G.WALKED_ROWS):
+            for lane, turn, title, lines, classes in zip(*(values(part.column(name)) for name in ("lane", "turn", "title", "lines", "classes"))):
+                if self.fold is None or lane != self.at:
+                    done += self._sizes()
+                    self.at, self.fold = lane, G.SizesReplay()
+                self.fold.take(turn, title, lines, classes)
+        if done:
+            yield _sizes_batch(done)
+
+    def terminate(self) -> Iterator[pa.RecordBatch]:
+        if self.fold:
+            yield _sizes_batch(self._sizes())
+
+    def _sizes(self) -> list[tuple]:
+        return [(self.at, *self.fold.lane.sizes())] if self.fold else []
+
+
+def _sizes_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [("lane", pa.string()), *((name, pa.int64()) for name in ("findings", "steps", "classes"))]
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, (_, kind) in zip(zip(*rows), kinds)], schema=pa.schema(kinds))
+
+
 chunk_plan, merge_findings = udtf(ChunkPlan), udtf(MergeFindings)
+merged_sizes = arrow_udtf(MergedSizes, returnType="lane string, findings long, steps long, classes long")
 
 
 def register(spark: SparkSession) -> None:
     spark.udtf.register("chunk_plan", chunk_plan)
     spark.udtf.register("merge_findings", merge_findings)
+    spark.udtf.register("merged_sizes", merged_sizes)

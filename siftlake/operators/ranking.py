@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,19 @@ from pyspark.sql import functions as F
 from siftlake.sources.folders import kept
 
 
+#: Rows that a task sorts or groups at once, about.
+TASK_ROWS = 1 << 20
+
+
+def dealt(rows: DataFrame, n: int, *keys: str, most: int = TASK_ROWS) -> DataFrame:
+    """The rows, n of them, dealt by keys to so many tasks that each gets about `most` at the most, and to as many as the session's shuffles have at least.
+
+    What a task sorts or groups then stays the same as the table grows, where a fixed number of partitions would grow with it.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return rows.repartition(max(least, math.ceil(n / most)), *keys)
+
+
 def first_of_group(rows: DataFrame, group: list[str], order: list, n: int, salts: int = 32) -> DataFrame:
     """The first n rows of each group by order, with `rank`.
 

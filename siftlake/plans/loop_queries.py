@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake import dims
-from siftlake.operators import findings as G
 from siftlake.operators import loops
+from siftlake.operators.ranking import dealt
 from siftlake.plans import views as V
 from siftlake.plans.registry import query
 
@@ -123,10 +123,10 @@ SELECT lane, len(known)::BIGINT AS findings, list_sum([len(k.lines) FOR k IN kno
 
 @query(_MERGED)
 def merge_findings_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns folded by a table function that asks for each lane's rows in order; what each lane ends with."""
+    """Turns folded by a table function that takes each lane's rows in order; what each lane ends with."""
     from siftlake.functions import tables
 
     tables.register(spark)
-    return spark.sql(
-        "SELECT lane, count(*) AS findings, sum(size(trace)) AS steps, sum(size(classes)) AS classes FROM merge_findings(TABLE({rows})) GROUP BY lane", rows=conversations(spark, sf_dir)[0].select(*G._NAMES)
-    )
+    bare = conversations(spark, sf_dir)[0].selectExpr("lane", "turn", "ord", "title", "transform(trace, s -> s.line) AS lines", "transform(classes, c -> c.class) AS classes")
+    rows = dealt(bare, V.table(spark, sf_dir, "lineitem").count(), "lane").sortWithinPartitions("lane", "turn", "ord")
+    return spark.sql("SELECT * FROM merged_sizes(TABLE({rows}))", rows=rows)
