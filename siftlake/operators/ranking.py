@@ -12,7 +12,7 @@ from siftlake.sources.folders import kept
 
 
 #: Rows that a task sorts or groups at once, about.
-TASK_ROWS = 1 << 20
+TASK_ROWS = 1 << 18
 
 
 def dealt(rows: DataFrame, n: int, *keys: str, most: int = TASK_ROWS) -> DataFrame:
@@ -24,6 +24,17 @@ def dealt(rows: DataFrame, n: int, *keys: str, most: int = TASK_ROWS) -> DataFra
     return rows.repartition(max(least, math.ceil(n / most)), *keys)
 
 
+def members_by_cube(rows: DataFrame, member: str, by: list[str]) -> DataFrame:
+    """`members`, the distinct ones, of every group of a cube over `by`; a null member makes its group but does not count.
+
+    Rows dealt by member are not dealt again: a member's cells are told apart where its rows are, and only counts of cells leave the task.
+    """
+    at = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in by]
+    sets = [F.struct(*[F.col(c) if g >> i & 1 else at[i] for i, c in enumerate(by)], F.lit(g).alias("_set")) for g in range(1 << len(by))]
+    cells = rows.select(member, F.inline(F.array(*sets))).distinct()
+    return cells.groupBy(*by, "_set").agg(F.count(member).alias("members")).drop("_set")
+
+
 def first_of_group(rows: DataFrame, group: list[str], order: list, n: int, salts: int = 32) -> DataFrame:
     """The first n rows of each group by order, with `rank`.
 

@@ -11,6 +11,7 @@ from siftlake.functions.paths import normalized
 from siftlake.operators import corpus as K
 from siftlake.operators import findings as G
 from siftlake.operators import lanes as L
+from siftlake.operators.ranking import dealt, members_by_cube
 from siftlake.plans import views as V
 from siftlake.plans.registry import query
 from siftlake.streaming import budget as T
@@ -265,8 +266,9 @@ def spend_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(V.with_views("v_step class_code", "SELECT class, provider, count(DISTINCT finding_id) AS findings FROM v_step JOIN class_code USING (code) GROUP BY CUBE (class, provider)"))
 def class_provider_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: findings by class and provider with all subtotals."""
-    named = V.finding_steps(spark, sf_dir).join(dims.class_codes(spark), "code")
-    return named.cube("class", "provider").agg(F.count_distinct("finding_id").alias("findings"))
+    steps = V.finding_steps(spark, sf_dir).select("finding_id", "code", "provider")
+    named = dealt(steps, V.table(spark, sf_dir, "lineitem").count(), "finding_id").join(dims.class_codes(spark), "code")
+    return members_by_cube(named, "finding_id", ["class", "provider"]).withColumnRenamed("members", "findings")
 
 
 @query(

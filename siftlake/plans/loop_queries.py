@@ -128,5 +128,5 @@ def merge_findings_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tables.register(spark)
     bare = conversations(spark, sf_dir)[0].selectExpr("lane", "turn", "ord", "title", "transform(trace, s -> s.line) AS lines", "transform(classes, c -> c.class) AS classes")
-    rows = dealt(bare, V.table(spark, sf_dir, "lineitem").count(), "lane").sortWithinPartitions("lane", "turn", "ord")
+    rows = dealt(bare, V.table(spark, sf_dir, "lineitem").count(), "lane", most=1 << 20).sortWithinPartitions("lane", "turn", "ord")
     return spark.sql("SELECT * FROM merged_sizes(TABLE({rows}))", rows=rows)

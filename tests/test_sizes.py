@@ -1,4 +1,4 @@
-"""Sizes of merged findings against the merge itself, and rows dealt to as many tasks as they need."""
+"""Sizes of merged findings against the merge itself, rows dealt to as many tasks as they need, and what goes through their shuffles."""
 
 import random
 
@@ -6,7 +6,15 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import tables
 from siftlake.operators import findings as G
-from siftlake.operators.ranking import dealt
+from siftlake.operators import scoring as S
+from siftlake.operators.ranking import dealt, members_by_cube
+from siftlake.plans.catalogue import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_merged_sizes_equal_the_merge(spark):
@@ -31,3 +39,36 @@ def test_dealt_grows_with_the_rows(spark):
     sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
     assert spread.rdd.getNumPartitions() == 20 and sum(sizes) == 10_000 and max(sizes) < 1500
     assert dealt(rows, 10, "k").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_members_by_cube_equal_the_cube(spark):
+    draw = random.Random(3)
+    data = [(draw.choice([None, "a", "b"]), draw.choice([None, "x", "y", "z"]), draw.choice([None, *range(40)])) for _ in range(500)] + [("only", "null", None)]
+    rows = spark.createDataFrame(data, "class string, provider string, id long")
+    got, want = members_by_cube(rows, "id", ["class", "provider"]), rows.cube("class", "provider").agg(F.count_distinct("id").alias("members"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_cube_query_deals_findings_once(spark):
+    plan = plan_of(QUERIES["class_provider_cube"](spark, SF))
+    assert "Expand" not in plan and "hashpartitioning(finding_id" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_segment_queries_deal_chunks_once(spark):
+    for name in ("segment_attribution", "token_rollup", "top_lanes_pivot"):
+        plan = plan_of(QUERIES[name](spark, SF))
+        assert plan.count("hashpartitioning(l_orderkey") == 1 and "hashpartitioning(chunk" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_kin_codes_meet_both_ways(spark):
+    classes = spark.createDataFrame([("one", "X"), ("one", "Z"), ("two", "Y"), ("two", "Z"), ("three", "Q")], "class string, code string")
+    kin = {"X": {"X", "Z"}, "Y": {"Y", "Z"}, "Z": {"X", "Y", "Z"}, "Q": {"Q"}, "free": {"free"}, "other": {"other"}}
+    codes = [*kin, None]
+    steps = spark.createDataFrame([(i, "src/a.ts", i % 5, c) for i, c in enumerate(codes)] + [(0, "src/a.ts", 1, "Q")], "finding_id long, file string, line int, code string")
+    truth = spark.createDataFrame([(f"k{c}", "a.ts", 2, [c]) for c in codes] + [("none", "a.ts", 2, [])], "key string, file string, line int, codes array<string>")
+    pairs = S.judged_pairs(steps, truth, classes)
+    wide = lambda own: set().union(*(kin.get(c, {None}) for c in own))
+    finds = {i: wide([c]) - {None} for i, c in enumerate(codes)} | {0: wide(["X", "Q"])}
+    wants = {f"k{c}": wide([c]) for c in codes} | {"none": set()}
+    got = {(r["key"], r["finding_id"]): bool(r["same_code"]) for r in pairs.collect()}
+    assert got == {(k, i): bool(f & w) for k, w in wants.items() for i, f in finds.items()}
