@@ -9,6 +9,7 @@ from siftlake import dims
 from siftlake.functions.rounding import total_or_null
 from siftlake.operators import budget as B
 from siftlake.operators import coverage as C
+from siftlake.operators.ranking import dealt
 from siftlake.plans import views as V
 from siftlake.plans.recon_queries import _LANES, _WITH, _lanes
 from siftlake.plans.registry import query
@@ -124,7 +125,8 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    rows = V.table(spark, sf_dir, "lineitem").select(
+    items = V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    rows = dealt(items, items.count(), "l_orderkey").select(
         F.col("l_orderkey").alias("chunk"),
         F.row_number().over(order).cast("long").alias("pos"),
         F.expr("concat('part-', l_linenumber % 4)").alias("kind"),
