@@ -28,12 +28,18 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+def _read(rows: DataFrame, root: str) -> DataFrame:
+    out = kept(rows)
+    tree.remove(rows.sparkSession, root)
+    return out
+
+
 @query(V.with_views("v_file", f"{_LANG}, {_TREE} SELECT language, count(*) AS files, sum(bytes)::BIGINT AS total_bytes, min(path) AS first_path FROM t JOIN lang USING (ext) GROUP BY 1"))
 def source_tree_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files and bytes of each language, from the listing alone: no file is opened."""
     root = _written(spark, sf_dir)
     found = R.scan_tree(spark, root, content=False)
-    return kept(found.groupBy("language").agg(F.count("*").alias("files"), F.sum("bytes").alias("total_bytes"), F.min("path").alias("first_path")), root)
+    return _read(found.groupBy("language").agg(F.count("*").alias("files"), F.sum("bytes").alias("total_bytes"), F.min("path").alias("first_path")), root)
 
 
 @query(V.with_views("v_file", f"{_LANG}, {_TREE} SELECT path, language, bytes::BIGINT AS bytes, lines, sha256(content) AS sha256 FROM t JOIN lang USING (ext) WHERE starts_with(path, 'src/')"))
@@ -41,4 +47,4 @@ def source_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the files below one folder; the folder and the extensions are filters that the walk takes."""
     root = _written(spark, sf_dir)
     found = R.scan_tree(spark, root).where(F.col("path").startswith("src/"))
-    return kept(found.select("path", "language", "bytes", X.line_count(F.col("content")).alias("lines"), F.sha2("content", 256).alias("sha256")), root)
+    return _read(found.select("path", "language", "bytes", X.line_count(F.col("content")).alias("lines"), F.sha2("content", 256).alias("sha256")), root)

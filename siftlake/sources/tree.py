@@ -5,7 +5,7 @@
 
 A folder with an excluded name is not listed, let alone what is below it, and a file with one is left out. The
 driver lists folders from the top only until there are enough for the tasks to share; a partition is one of
-those folders with all below it, or the files of one that was opened up. Filters on path, name, ext and bytes are pushed into
+share of those folders with all below them, or of the files of those that were opened up, so there are no more tasks than `folders`. Filters on path, name, ext and bytes are pushed into
 the listing: prefixes of paths rule folders out, and files are opened only if content is asked
 for and all pushed filters hold. Any file system that pyarrow opens by its URI will do.
 
@@ -16,6 +16,7 @@ without files gives no rows. Content is read as a whole, one file at a time.
 
 from __future__ import annotations
 
+import contextlib
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import unquote, urlparse
@@ -26,6 +27,7 @@ from pyspark.sql import datasource as D
 from pyspark.sql import types as T
 
 from siftlake import dims
+from siftlake.sources.folders import removed
 
 NAME = "source_tree"
 SCHEMA = "path string, name string, ext string, bytes long, modified timestamp"
@@ -46,6 +48,14 @@ class Folder(D.InputPartition):
         self.below, self.deep = below, deep
 
 
+class Share(D.InputPartition):
+    """Folders that one task reads."""
+
+    def __init__(self, folders: list[Folder]):
+        super().__init__([folder.value for folder in folders])
+        self.folders = folders
+
+
 class SourceTree(D.DataSource):
     @classmethod
     def name(cls) -> str:
@@ -112,7 +122,12 @@ class TreeReader(D.DataSourceReader):
                     files.append(row)
         return folders, files
 
-    def partitions(self) -> list[Folder]:
+    def partitions(self) -> list[Share]:
+        found = self.opened()
+        return [Share(found[at :: self.folders]) for at in range(min(self.folders, len(found)))]
+
+    def opened(self) -> list[Folder]:
+        """Folders that together hold all files, listed from the top until there are enough."""
         system, top = self.system()
         open_, done = deque([""]), []
         while open_ and len(open_) < self.folders and len(done) < self.folders:
@@ -125,12 +140,12 @@ class TreeReader(D.DataSourceReader):
 
     # Reading
 
-    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         system, top = self.system()
         kinds = [("path", pa.string()), ("name", pa.string()), ("ext", pa.string()), ("bytes", pa.int64()), ("modified", pa.timestamp("us", "UTC"))]
         schema = pa.schema(kinds + [("content", pa.binary())] * self.content)
         rows, held = [], 0
-        for row in self.files(system, top, partition):
+        for row in (row for folder in partition.folders for row in self.files(system, top, folder)):
             if self.content:
                 try:
                     with system.open_input_stream(f"{top}/{row['path']}") as opened:
@@ -145,12 +160,12 @@ class TreeReader(D.DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    def files(self, system, top: str, partition: Folder) -> Iterator[dict]:
-        open_ = [partition.below]
+    def files(self, system, top: str, folder: Folder) -> Iterator[dict]:
+        open_ = [folder.below]
         while open_:
             folders, files = self.listed(system, top, open_.pop())
             yield from files
-            if partition.deep:
+            if folder.deep:
                 open_ += reversed(folders)
 
 
@@ -219,3 +234,25 @@ def write(files: DataFrame, root: str) -> int:
 
     found = files.select("path", files["content"].cast("binary").alias("content")).mapInArrow(put, "n long").agg({"n": "sum"}).first()[0]
     return found or 0
+
+
+def remove(spark: SparkSession, root: str) -> None:
+    """Delete a tree that `write` made, its folders dealt to the tasks; the driver alone would take a time in proportion to all files. Links would be followed."""
+    folders = TreeReader({"path": root, "excluded": ""}).opened()
+
+    def gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = TreeReader({"path": root, "excluded": ""})
+        system, top = reader.system()
+        for batch in batches:
+            for below, deep in zip(batch.column("below").to_pylist(), batch.column("deep").to_pylist(), strict=True):
+                with contextlib.suppress(FileNotFoundError):  # a task that runs again
+                    if deep:
+                        system.delete_dir(f"{top}/{below}" if below else top)
+                    else:
+                        for row in reader.listed(system, top, below)[1]:
+                            system.delete_file(f"{top}/{row['path']}")
+            yield batch
+
+    rows = spark.createDataFrame([(folder.below, folder.deep) for folder in folders], "below string, deep boolean")
+    rows.repartition(min(len(folders), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(gone, rows.schema).count()
+    removed(spark, root)
