@@ -24,6 +24,12 @@ def dealt(rows: DataFrame, n: int, *keys: str, most: int = TASK_ROWS) -> DataFra
     return rows.repartition(max(least, math.ceil(n / most)), *keys)
 
 
+def dealt_if_many(rows: DataFrame, n: int, *keys: str, most: int = TASK_ROWS) -> DataFrame:
+    """The rows, dealt as `dealt` does where the session's partitions would hold more than `most` each; fewer are left to Spark, which may broadcast what they meet."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return dealt(rows, n, *keys, most=most) if n > least * most else rows
+
+
 def members_by_cube(rows: DataFrame, member: str, by: list[str]) -> DataFrame:
     """`members`, the distinct ones, of every group of a cube over `by`; a null member makes its group but does not count.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siftlake.functions import tables
 from siftlake.operators import findings as G
 from siftlake.operators import scoring as S
-from siftlake.operators.ranking import dealt, members_by_cube
+from siftlake.operators.ranking import dealt, dealt_if_many, members_by_cube
 from siftlake.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,11 @@ def test_kin_codes_meet_both_ways(spark):
     wants = {f"k{c}": wide([c]) for c in codes} | {"none": set()}
     got = {(r["key"], r["finding_id"]): bool(r["same_code"]) for r in pairs.collect()}
     assert got == {(k, i): bool(f & w) for k, w in wants.items() for i, f in finds.items()}
+
+
+def test_many_rows_are_dealt_for_a_join_and_few_are_not(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, other = spark.range(1000).withColumn("k", F.col("id") % 50), spark.range(50).withColumnRenamed("id", "p").hint("merge")
+    many = dealt_if_many(rows, 1000, "k", most=10).join(other, F.col("k") == F.col("p"))
+    assert many.rdd.getNumPartitions() == 100 and many.count() == 1000
+    assert dealt_if_many(rows, least * 10, "k", most=10) is rows
