@@ -18,8 +18,8 @@ of a repeated passage repeats phrase for phrase.
 3. Suffixes. The suffixes of the entries of a trigger are sorted by their first `length` bytes, which
    is the dictionary's suffix array as far as repeats of that length need it; equal ones stand in
    the order of the parse, which gives corpus order: all but the first of equal ones are repeats.
-   Triggers with more than `sorted_entries` entries are settled by pre-aggregated minima over 128-bit
-   hashes of trigger, place and content instead, so no task gathers more than a bounded number.
+   The strings of triggers with more than `sorted_entries` entries are settled as phrases are, by 128-bit
+   hashes of trigger, place and content, so no task gathers more than a bounded number.
 
 Only strings of one length count here, so suffixes of different triggers are never compared and no
 suffix array of the whole corpus is written. Triggers and whole phrases are told apart by 64-bit
@@ -321,41 +321,35 @@ def _sorted_suffixes(entries: DataFrame, length: int, at_a_time: int = 1024) ->
 
 
 def _hashed_suffixes(entries: DataFrame, length: int) -> DataFrame:
-    """The same among entries of any number: each string is a row, and the first of equal ones a pre-aggregated minimum."""
+    """The same among entries of any number: each string is settled as a phrase of its own, first within its task and then by hash, so
+    one that all entries hold arrives once for so many of them, and nothing is read twice."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in range(0, len(whole), 2048):
-                batch = whole.iloc[part : part + 2048]
-                start, count, offset = _places(batch["place"].to_numpy())
-                sizes = batch["body"].map(len).to_numpy(dtype=np.int64)
-                sums, down = prefix_hashes(np.frombuffer(b"".join(batch["body"]), dtype=np.uint8))
+            for part in range(0, whole.num_rows, 4096):
+                batch = whole.slice(part, 4096)
+                (k, _), (ids, none), (tags, _), (place, _) = (_longs(batch[name]) for name in ("k", "doc_id", "tag", "place"))
+                start, count, offset = _places(place)
+                bodies = batch["body"].to_pylist()
+                sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies))
+                sums, down = prefix_hashes(np.frombuffer(b"".join(bodies), dtype=np.uint8))
                 at = _each(np.cumsum(sizes) - sizes, count)
-                entry = np.repeat(np.arange(len(batch)), count)
+                entry = np.repeat(np.arange(len(bodies)), count)
                 within = at - np.repeat(np.cumsum(sizes) - sizes, count)
-                other = mixed(batch["k"].to_numpy().view(np.uint64)[entry] ^ mixed((offset[entry] - within).astype(np.uint64)))
-                yield pd.DataFrame(
-                    {
-                        "h1": mixed((sums[at + length] - sums[at]) * down[at]).view(np.int64),
-                        "h2": other.view(np.int64),
-                        "doc_id": batch["doc_id"].astype("Int64").iloc[entry].reset_index(drop=True),
-                        "tag": batch["tag"].to_numpy()[entry],
-                        "start": start[entry] + within,
-                    }
-                )
-
-    strings = common.checkpointed(entries.mapInPandas(run, "h1 long, h2 long, doc_id long, tag long, start long"))
-    order = F.struct(F.col("doc_id"), F.col("tag"), F.col("start"))
-    firsts = common.checkpointed(strings.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = strings.join(firsts, ["h1", "h2"]).where(~order.eqNullSafe(F.col("first")))
-    return later.select("doc_id", "tag", "start", F.lit(length).cast("long").alias("bytes"))
+                content = mixed((sums[at + length] - sums[at]) * down[at])
+                other = mixed(k.view(np.uint64)[entry] ^ mixed((offset[entry] - within).astype(np.uint64)))
+                yield from _settled_here([(content, other, start[entry] + within, np.ones_like(at), np.zeros_like(at), entry)], ids, none, tags, length)
+
+    later = settled(entries.mapInArrow(run, UNITS), length).where(F.col("kind") == REPEAT)
+    return later.select("doc_id", "tag", F.shiftright("place", START).alias("start"), "bytes")
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, sorted_entries: int = 4096) -> DataFrame:
     """doc_id, tag, and the start and bytes of the repeats of each text that has any, as two arrays.
 
     sorted_entries: triggers with more dictionary entries than that are not sorted in one task but
-    settled by pre-aggregated minima over their strings; the result is the same.
+    settled string by string, by hash; the result is the same. All that needs the texts is one plan, which
+    deals them out once.
     """
     marks = common.checkpointed(settled(units(docs, length), length).where(F.col("kind") != UNIT))
     found = marks.where(F.col("kind") == REPEAT).select("doc_id", "tag", F.shiftright("place", START).alias("start"), "bytes")
