@@ -18,6 +18,10 @@ expanded into its pairs. A crowd larger than a cell is first held against its he
 that no link connects with the head go to cells with each block. What a text is connected with does not depend on any of
 this, as two linked texts are met in at least one cell and either linked or connected there already.
 
+The pipeline's near dedup has the groups of op6 as crowds beside these: SimHash fingerprints, linked at two bits by the vantage-point tree, around
+the member with most shared pairs. They pass through the same cells, so a tree's link counts where the full sets confirm it, and copies that
+differ in more bits are met through the join.
+
 Defined results: words are split by ASCII white space and compared without regard to ASCII case; a text of fewer than `width`
 words has one shingle of all its words; null and empty texts and those without words have an empty set, are
 linked with nothing, equal ones included, and are kept; very long texts are compared as a whole; a null doc_id is the smallest of a
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import common
+from siftlake.llm import common, simhash
 from siftlake.llm.components import roots
 from siftlake.llm.fingerprint import mixed, shingle_hashes
 
@@ -72,17 +76,19 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mixed(least) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def signed(docs: DataFrame, width: int) -> DataFrame:
-    """id, two hashes of the text, its length in bytes, the size of its set and its signature, null for an empty set."""
-    kinds = pa.schema([("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bytes", pa.int64()), ("n_shingles", pa.int64()), ("signature", pa.list_(pa.int32()))])
+def signed(docs: DataFrame, width: int, prints: bool = False) -> DataFrame:
+    """id, two hashes of the text, its length in bytes, the size of its set, its signature, null for an empty set, and its SimHash, null without `prints`."""
+    kinds = pa.schema([("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bytes", pa.int64()), ("n_shingles", pa.int64()), ("signature", pa.list_(pa.int32())), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text"):
-            sets = [shingle_set(text, width) for text in part.column("text").to_pylist()]
+            texts = part.column("text").to_pylist()
+            sets = [shingle_set(text, width) for text in texts]
             made = pa.array([signature(s) if len(s) else None for s in sets], type=kinds.field("signature").type)
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("id", "h1", "h2", "bytes")), pa.array([len(s) for s in sets], type=pa.int64()), made], schema=kinds)
+            fp = np.array([simhash.fingerprint(text) for text in texts], dtype=np.uint64).view(np.int64) if prints else [None] * len(texts)
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("id", "h1", "h2", "bytes")), pa.array([len(s) for s in sets], type=pa.int64()), made, pa.array(fp, type=pa.int64())], schema=kinds)
 
-    return hashed(docs, "text").mapInArrow(run, "id long, h1 long, h2 long, bytes long, n_shingles long, signature array<int>")
+    return hashed(docs, "text").mapInArrow(run, "id long, h1 long, h2 long, bytes long, n_shingles long, signature array<int>, fp long")
 
 
 def hashed(docs: DataFrame, *more: str) -> DataFrame:
@@ -110,6 +116,16 @@ def crowds(prefix: DataFrame) -> DataFrame:
     return posted.join(heads, "key").select(F.col("first.node").alias("head"), "node").distinct()
 
 
+def tree_crowds(nodes: DataFrame, prefix: DataFrame, max_bits: int = 2) -> DataFrame:
+    """The same for the groups of nodes whose fingerprints the vantage-point tree links (`simhash`), equal ones among them."""
+    own = nodes.where("signature IS NOT NULL").select("node", "fp")
+    grouped = roots(simhash.links(common.checkpointed(own.select("fp").distinct()), max_bits))
+    rooted = own.join(grouped.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    sized = common.checkpointed(rooted.join(prefix.select("node", "shared"), "node", "left"))
+    heads = sized.groupBy("root").agg(F.max(F.struct(F.coalesce("shared", F.lit(0)), F.xxhash64("node"), "node")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return sized.join(heads, "root").select(F.col("first.node").alias("head"), "node")
+
+
 def confirmed(rows: pa.Table, width: int, percent: int, wanted: int) -> pa.Table:
     """Links that connect the nodes of a cell's crowds, as far as left ones are linked with right ones."""
     rows = rows.sort_by([("head", "ascending"), ("node", "ascending")])
@@ -211,12 +227,20 @@ def linked(members: DataFrame, texts: DataFrame, width: int, percent: int, cell_
     return found.unionByName(common.gathered(cells(lefts.unionByName(rights)))[0])
 
 
-def text_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """Each distinct text by its hashes h1 and h2, with n_shingles, the first document of it and of its component (struct of none, id, h1, h2)."""
+def text_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, cell_bytes: int = CELL_BYTES, tree: bool = False) -> DataFrame:
+    """Each distinct text by its hashes h1 and h2, with n_shingles, the first document of it and of its component (struct of none, id, h1, h2).
+
+    tree: the groups of the SimHash tree are crowds too, so what it links is compared on the full sets like all else.
+    """
     first = F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")
-    merged = signed(docs, width).groupBy("h1", "h2").agg(F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("bytes", "n_shingles", "signature")])
+    merged = signed(docs, width, tree).groupBy("h1", "h2").agg(F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("bytes", "n_shingles", "signature", "fp")])
     nodes = common.checkpointed(merged.withColumn("node", F.monotonically_increasing_id()))
-    members = common.checkpointed(crowds(prefixes(nodes, least_matches(percent))))
+    prefix = prefixes(nodes, least_matches(percent))
+    if tree:
+        prefix = common.checkpointed(prefix)
+        members = common.checkpointed(crowds(prefix).union(tree_crowds(nodes, prefix)).distinct())
+    else:
+        members = common.checkpointed(crowds(prefix))
     needed = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "signature", "bytes", "first.id", "h1", "h2")
     texts = common.checkpointed(_texts_of(docs, needed))
     labels = common.checkpointed(roots(linked(members, texts, width, percent, cell_bytes)))
@@ -225,9 +249,10 @@ def text_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 
 def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """id, h1 and h2 of the documents that stay: the first of each component, a null id after all others. Here texts without words
+    """id, h1 and h2 of the documents that stay: the first of each component, a null id after all others. Candidates are op6's, by fingerprint
+    and vantage-point tree, and for copies that lie farther apart than its two bits those of the join. Here texts without words
     are copies of each other, as all of them but one are to go."""
-    known = text_components(docs, width, percent, cell_bytes)
+    known = text_components(docs, width, percent, cell_bytes, tree=True)
     none = known.where("n_shingles = 0").agg(F.min("first").alias("component")).where("component IS NOT NULL")
     return known.where("n_shingles > 0").select("component").distinct().unionByName(none).select("component.id", "component.h1", "component.h2")
 

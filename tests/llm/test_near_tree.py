@@ -1,0 +1,28 @@
+"""The near dedup stage takes candidates from op6's fingerprints and vantage-point tree, and the full sets decide on them."""
+
+import numpy as np
+
+import corpus_pipeline as P
+from siftlake.llm import simhash
+
+
+def test_near_stage_takes_candidates_from_the_tree(spark, monkeypatch):
+    """With no crowds of the join, what the tree links is still compared, confirmed and dropped; and only that."""
+    draw = np.random.default_rng(31)
+    words = np.array([f"w{i}" for i in range(5000)])
+    bits = lambda one, other: (simhash.fingerprint(one) ^ simhash.fingerprint(other)).bit_count()
+    bases = [" ".join(draw.choice(words, 300)) for _ in range(20)]
+    edits = [f"{base} {word}" for base, word in zip(bases, draw.choice(words, 20), strict=True)]
+    near = [n for n in range(20) if bits(bases[n], edits[n]) <= 2]
+    assert len(near) > 5 and any(bits(bases[n], edits[n]) for n in near)
+    often = " ".join([" ".join(draw.choice(words, 101))] * 300)
+    apart = [f"{often} {' '.join(draw.choice(words, 100))}" for _ in range(2)]
+    assert bits(*apart) <= 2
+    texts = [*bases, *(edits[n] for n in near), bases[3].upper(), *apart, "", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    with monkeypatch.context() as without:
+        without.setattr(P.collisions, "crowds", lambda prefix: prefix.selectExpr("node AS head", "node").where("false"))
+        kept = {r["doc_id"] for r in P.drop_near_copies(spark, docs, "").collect()}
+    n = 20 + len(near)
+    assert kept == {*range(20), n + 1, n + 2, n + 3}
+    assert {r["doc_id"] for r in P.drop_near_copies(spark, docs, "").collect()} == kept
