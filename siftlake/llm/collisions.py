@@ -198,7 +198,7 @@ def linked(members: DataFrame, texts: DataFrame, width: int, percent: int, cell_
     own = F.when(is_head, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block("node", F.col("blocks"))))
     stars = held.select(F.col("head").alias("place"), F.explode(own).alias("i"), none.alias("j"), "head", "node", is_head.alias("left"), (~is_head).alias("right"))
     found, _ = common.gathered(found.unionByName(cells(stars)))
-    labels = common.checkpointed(roots(found))
+    labels = roots(found)
     label = lambda name: labels.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     known = held.join(label("node"), "node", "left").join(label("head"), "head", "left")
     known = common.checkpointed(known.withColumn("apart", F.coalesce("node_root", "node") != F.coalesce("head_root", "head")))
@@ -219,7 +219,7 @@ def text_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     members = common.checkpointed(crowds(prefixes(nodes, least_matches(percent))))
     needed = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "signature", "bytes", "first.id", "h1", "h2")
     texts = common.checkpointed(_texts_of(docs, needed))
-    labels = common.checkpointed(roots(linked(members, texts, width, percent, cell_bytes)))
+    labels = roots(linked(members, texts, width, percent, cell_bytes))
     lowest = labels.join(nodes, "node").groupBy("root").agg(F.min("first").alias("component"))
     return nodes.join(labels.join(lowest, "root").select("node", "component"), "node", "left").select("h1", "h2", "n_shingles", "first", F.coalesce("component", "first").alias("component"))
 

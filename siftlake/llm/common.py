@@ -55,6 +55,18 @@ def gathered(df: DataFrame, rows: int = 50_000) -> tuple[DataFrame, int]:
     return kept.coalesce(1 + n // rows), n
 
 
+def written(df: DataFrame, path: str, rows: int = 50_000) -> tuple[DataFrame, int]:
+    """The same by a Parquet table at `path`, which the caller deletes: for loops.
+
+    A checkpoint keeps the size that Spark guessed for its plan, and the guess for a join is the product of its sides. Where each round
+    joins what the last one made, the guess gets several times the digits a round, and in the end fills the driver's memory; of a file the size is known.
+    """
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    n = kept.count()
+    return kept.coalesce(1 + n // rows), n
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from siftlake.llm import collisions, registry
+from siftlake.llm import collisions, components, registry
 
 from .test_operators import groups, table
 
@@ -88,5 +88,13 @@ def test_threshold():
         assert (collisions.signature(one) == collisions.signature(two)).sum() >= 38
 
 
+def test_guessed_size_stays_small_over_the_rounds_of_components(spark):
+    """The size that Spark guesses for a join of joins of earlier rounds has thousands of digits, and filled the driver's memory."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long")
+    found = components.roots(edges)
+    assert found.select("root").distinct().count() == 1 and found.count() == 401
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
+
+
 def test_empty_table(spark):
     assert collisions.near_components(table(spark, []).where("false")).count() == 0
