@@ -1,9 +1,9 @@
 """Resuming a run as a stream: lanes that are done stay done over restarts, failed ones open again.
 
-Attempts (run, ord, lane_id, failed, result) come in any number of micro-batches. The state of a run is a map
-of its lanes; an attempt at a lane that is done is a repetition and goes, one that failed leaves the lane open for the next, and the
-first one that succeeds is let through and closes it. The map can start from an earlier run's checkpoint, in either of its shapes.
-Of attempts at one place the one that succeeds comes first, so that only failures before it count.
+Attempts (run, ord, lane_id, failed, result) come in any number of micro-batches. The state of a run is a table
+of its lanes, dealt to parts; an attempt at a lane that is done is a repetition and goes, one that failed leaves the lane open for the next, and the
+first one that succeeds is let through and closes it. The table can start from an earlier run's checkpoint, in either of its shapes.
+Of attempts at one place the one that succeeds comes first, so that only failures before it count; one of which it is not known whether it failed is none.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,43 +20,46 @@ from siftlake.sources.adapters import consumption
 from siftlake.streaming.sinks import first_success
 
 OUT = "run string, ord long, lane_id string, result string, tries int"
-DONE, OPEN = "done", "open"
 #: States that a run's lanes are dealt to; a query keeps the number that it was started with.
 PARTS = 64
+#: Attempts at lanes of one part, over all of its runs, that a large table is dealt by.
+PART_ROWS = 1 << 15
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
+_KNOWN = pa.schema([("lane_id", pa.string()), ("done", pa.bool_()), ("earlier", pa.int64())])
+
 
 class ResumeRun(StatefulProcessor):
-    """Some lanes of one run: a map from lane to its state and how often it was tried."""
+    """Some lanes of one run: a table of their states and of how often each was tried, read and written once for all rows of a micro-batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.lanes = handle.getMapState("lanes", "lane_id string", "state string, tries int")
+        self.lanes = handle.getValueState("lanes", "lanes binary")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for row in initialState.to_dict("records"):
-            done, tries = self._known(row["lane_id"])
-            if not done:
-                self._put(row["lane_id"], not row["failed"], tries + 1)
+        own = pd.DataFrame({"lane_id": initialState["lane_id"], "done": initialState["failed"].eq(False), "earlier": 1})
+        self._put(pd.concat([self._known(), own]).groupby("lane_id", dropna=False, as_index=False).agg({"done": "any", "earlier": "sum"}))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["ord", "failed"]).to_dict("records"):
-            done, tries = self._known(row["lane_id"])
-            if done:
-                continue
-            self._put(row["lane_id"], not row["failed"], tries + 1)
-            if not row["failed"]:
-                out.append((key[0], row["ord"], row["lane_id"], row["result"], tries + 1))
-        yield pd.DataFrame(out, columns=["run", "ord", "lane_id", "result", "tries"])
-
-    def _known(self, lane: str) -> tuple[bool, int]:
-        if not self.lanes.containsKey((lane,)):
-            return False, 0
-        state, tries = self.lanes.getValue((lane,))
-        return state == DONE, tries
-
-    def _put(self, lane: str, done: bool, tries: int) -> None:
-        self.lanes.updateValue((lane,), (DONE if done else OPEN, tries))
+        known = self._known()
+        tried = pd.concat(list(rows)).dropna(subset=["failed"]).astype({"failed": bool}).sort_values(["ord", "failed"]).merge(known, "left", "lane_id")
+        tried = tried[~tried["done"].eq(True)]
+        tried["earlier"] = tried["earlier"].fillna(0).astype(int) + tried.groupby("lane_id", dropna=False).cumcount() + 1
+        kept = tried[~tried["failed"]].drop_duplicates("lane_id")
+        ends = pd.concat([kept, tried.drop_duplicates("lane_id", keep="last")]).drop_duplicates("lane_id")  # where a lane's tries stop: at the first that succeeds
+        if len(ends):
+            self._put(pd.concat([ends.assign(done=~ends["failed"])[list(_KNOWN.names)], known]).drop_duplicates("lane_id"))
+        yield pd.DataFrame({"run": key[0], **{c: kept[c] for c in ("ord", "lane_id", "result")}, "tries": kept["earlier"]})
+
+    def _known(self) -> pd.DataFrame:
+        """Lanes by lane_id with done and earlier, the number of tries so far."""
+        held = self.lanes.get()
+        return (pa.ipc.open_stream(held[0]).read_all() if held else _KNOWN.empty_table()).to_pandas()
+
+    def _put(self, known: pd.DataFrame) -> None:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, _KNOWN) as stream:
+            stream.write_table(pa.Table.from_pandas(known, _KNOWN, preserve_index=False))
+        self.lanes.update((out.getvalue().to_pybytes(),))
 
     def close(self) -> None:
         pass

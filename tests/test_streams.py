@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql.streaming import StreamingQueryException
 
@@ -131,3 +132,61 @@ def test_rocks_setting_is_put_back(spark):
 def test_consumption_shapes(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([{"lane_id": "a", "failed": True}, {"lane_id": "b"}]))
     assert [(r["lane_id"], r["failed"]) for r in consumption(spark, str(tmp_path / "c.json")).orderBy("ord").collect()] == [("a", True), ("b", False)]
+
+
+class Held:
+    """A state variable, value or map, that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def getValueState(self, name, *schemas):  # noqa: N802
+        return self
+
+    getMapState = getValueState  # noqa: N815
+
+    def called(self, out=None):
+        self.calls += 1
+        return out
+
+    def get(self):
+        return self.called(self.value)
+
+    def update(self, value):
+        self.value = self.called(value)
+
+    def containsKey(self, key):  # noqa: N802
+        return self.called(key in self.map)
+
+    def getValue(self, key):  # noqa: N802
+        return self.called(self.map[key])
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.map[key] = self.called(value)
+
+
+def test_a_batch_asks_the_state_store_once_not_for_each_attempt():
+    attempts = [("r0", *a[1:]) for a in drawn(5)]
+    names = ["run", "ord", "lane_id", "failed", "result"]
+    before = [("r0", f"L{i}", i % 3 == 0) for i in range(0, 30, 2)] + [("r0", "L2", True)]
+    held, run = Held(), resume.ResumeRun()
+    run.init(held)
+    run.handleInitialState(("r0", 0), pd.DataFrame(before, columns=["run", "lane_id", "failed"]), None)
+    assert held.calls <= 2
+    made = []
+    for part in (attempts[:7], attempts[7:200], attempts[200:]):
+        frames = [pd.DataFrame(part[i : i + 50], columns=names) for i in range(0, len(part), 50)]
+        held.calls = 0
+        made += [tuple(r) for frame in run.handleInputRows(("r0", 0), iter(frames), None) for r in frame.itertuples(index=False)]
+        assert held.calls <= 2
+    assert sorted(made) == plain(attempts, before)
+
+
+def test_attempts_of_unknown_end_are_none(spark, tmp_path):
+    """As in the batch's query and its SQL."""
+    rows = [("r0", 1, "a", None, "x"), ("r0", 2, "a", True, "y"), ("r0", 3, "a", False, "z"), ("r0", 4, "b", None, "x")]
+    assert [tuple(r) for r in resume.resume_batch(spark.createDataFrame(rows, ATTEMPT)).collect()] == [("r0", 3, "a", "z", 2)]
+    run = resume.ResumeRun()
+    run.init(Held())
+    frame = pd.DataFrame(rows, columns=["run", "ord", "lane_id", "failed", "result"])
+    assert [tuple(r) for out in run.handleInputRows(("r0", 0), iter([frame]), None) for r in out.itertuples(index=False)] == [("r0", 3, "a", "z", 2)]
